@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from stepweave.llm import mixing, quality, sharding
+from stepweave.llm import mixing, packing, quality, sharding, token_files
 
 QUERIES = {
     "op1_sharding": sharding.query,
+    "op3_packing": packing.query,
     "op5_mixing": mixing.query,
+    "op7_token_files": token_files.query,
     "op10_quality": quality.query,
 }
 
-#: Where SQL can express the query. Sharding has a checksum that DuckDB lacks: see tests/llm.
+#: Where SQL can express the query. DuckDB has no crc32 and no tokenizer; tests/llm hold the others against brute force.
 ORACLE = {
     "op5_mixing": mixing.ORACLE,
     "op10_quality": quality.ORACLE,
