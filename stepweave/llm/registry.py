@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from stepweave.llm import mixing, packing, quality, sharding, token_files
+from stepweave.llm import mixing, packing, pii, quality, sharding, token_files
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op3_packing": packing.query,
     "op5_mixing": mixing.query,
     "op7_token_files": token_files.query,
+    "op9_pii": pii.query,
     "op10_quality": quality.query,
 }
 
