@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,3 +76,33 @@ def prefix_sums(rows: DataFrame, order: list[str], amount: str | None = None) ->
         .withColumns({"_before": F.col("_sum0") + F.col("_run") - value, "_rank": F.col("_n0") + F.col("_row") - 1})
         .drop("_range", "_sum0", "_n0", "_run", "_row")
     )
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of so many rows for what runs meanwhile: texts are long, and a batch of each task is in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before) if int(before) > 0 else rows, rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the smallest node it is connected to) for edges (a, b) of longs, by least labels and pointer jumps.
+
+    Each round takes the least label among neighbours and then that label's own label, so distances shrink
+    exponentially; rounds are cut in the shared folder and end when no label changes.
+    """
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    while True:
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("_near"))
+        new = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "_near").alias("_to"), F.col("root").alias("_was"))
+        jump = labels.select(F.col("node").alias("_at"), F.col("root").alias("_next"))
+        new = stored(new.join(jump, F.col("_to") == F.col("_at")).select("node", F.least("_to", "_next").alias("root"), "_was"), "labels")
+        labels = new.select("node", "root")
+        if new.filter("root <> _was").isEmpty():
+            return labels

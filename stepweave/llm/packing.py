@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stepweave.llm.common import stored
+from stepweave.llm.common import small_batches, stored
 from stepweave.llm.tokens import column_bytes, default_path, encoder, with_end
 
 #: Lengths in an enumerated combination; passes of the solver; parts in which pieces of one length are ranked.
@@ -161,7 +161,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 1024, end_
     A null or empty text is the end id alone. Repeated rows are packed as rows of their own; a null doc_id is kept. An
     empty table gives an empty result. Other columns of docs play no part.
     """
-    cuts = stored(pieces(docs, tokenizer or default_path(), window, end_id), "pieces")
+    with small_batches(docs.sparkSession):
+        cuts = stored(pieces(docs, tokenizer or default_path(), window, end_id), "pieces")
     counts = {r[0]: r[1] for r in cuts.groupBy("length").count().collect()}  # window rows at most
     table = cuts.sparkSession.sparkContext.broadcast(lookup_table(make_plan(counts, window)))  # bounded by the combinations of a window
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import partitions, shared_dir, stored
+from stepweave.llm.common import partitions, shared_dir, small_batches, stored
 from stepweave.llm.tokens import column_bytes, default_path, encoder, mix64, with_end
 
 #: Keys in an index bucket on average; bits per key and level; levels before keys are listed as they are.
@@ -188,7 +188,8 @@ def write(docs: DataFrame, uri: str, tokenizer: str | None = None, end_id: int =
 
     ordered = docs.select("doc_id", "text").repartitionByRange(n_shards or partitions(spark), "doc_id").sortWithinPartitions("doc_id")
     # runs once: what follows reads the table
-    entries = stored(ordered.mapInArrow(shard, f"doc_id {key_type}, occurrence long, shard long, first long, n long"), "entries")
+    with small_batches(spark):
+        entries = stored(ordered.mapInArrow(shard, f"doc_id {key_type}, occurrence long, shard long, first long, n long"), "entries")
     sums = sorted((r[0], r[1], r[2]) for r in entries.groupBy("shard").agg(F.sum("n"), F.count(F.lit(1))).collect())  # one row a shard
     starts, total = {}, 0
     for number, n, _ in sums:

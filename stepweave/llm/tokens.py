@@ -12,8 +12,9 @@ import functools
 
 import numpy as np
 
-#: Bytes handled at a time (a text may span several such blocks), slots of the chunk table, ids that it may hold.
-BLOCK, SLOTS, MAX_IDS = 1 << 21, 1 << 21, 1 << 24
+#: Bytes handled at a time (a text may span several such blocks), bytes of joined chunks in one call of the library,
+#: slots of the chunk table, ids that it may hold.
+BLOCK, JOINED, SLOTS, MAX_IDS = 1 << 20, 1 << 16, 1 << 20, 1 << 23
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -81,18 +82,20 @@ class Encoder:
     def encode_new(self, parts: list[bytes], joinable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Offsets in the store and numbers of ids of chunks."""
         off, cnt = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        single = ~joinable
         some = np.flatnonzero(joinable)
-        if len(some):
+        for some in np.split(some, np.flatnonzero(np.diff(np.cumsum(sizes[some]) // JOINED)) + 1) if len(some) else ():
             ids = np.array(self.tok.encode_batch_fast([b"".join([parts[i] for i in some]).decode()], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.cumsum([len(parts[i]) for i in some])
+            ends = np.cumsum(sizes[some])
             reached = np.cumsum(self.n_bytes[ids])
             last = np.searchsorted(reached, ends)
             if len(ids) and last[-1] == len(ids) - 1 and (reached[last] == ends).all():
                 first = np.concatenate([[0], last[:-1] + 1])
                 off[some], cnt[some] = self.add(ids) + first, last + 1 - first
             else:
-                joinable = np.zeros(len(parts), bool)
-        rest = np.flatnonzero(~joinable)
+                single[some] = True
+        rest = np.flatnonzero(single)
         for i, e in zip(rest, self.tok.encode_batch_fast([parts[i].decode() for i in rest], add_special_tokens=False) if len(rest) else (), strict=True):
             ids = np.array(e.ids, self.dtype)
             off[i], cnt[i] = self.add(ids), len(ids)
