@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from stepweave.llm import mixing, packing, pii, quality, sharding, token_files
+from stepweave.llm import jaccard, mixing, packing, pii, quality, sharding, token_files
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op3_packing": packing.query,
     "op5_mixing": mixing.query,
+    "op6_ngram_jaccard": jaccard.query,
     "op7_token_files": token_files.query,
     "op9_pii": pii.query,
     "op10_quality": quality.query,
@@ -16,5 +17,6 @@ QUERIES = {
 #: Where SQL can express the query. DuckDB has no crc32 and no tokenizer; tests/llm hold the others against brute force.
 ORACLE = {
     "op5_mixing": mixing.ORACLE,
+    "op6_ngram_jaccard": jaccard.ORACLE,
     "op10_quality": quality.ORACLE,
 }
