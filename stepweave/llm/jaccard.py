@@ -11,7 +11,9 @@ blocks, and blocks are verified exactly: small ones in one task each, by a searc
 nodes that nothing has reached yet; larger ones by joins over the lists, first with a few pivots, then with all pairs of
 a list that are still in different components.
 
-Which tokens count as frequent only changes the speed, so they are found by counts that leave out single finds.
+Frequent is what two documents have; in very large corpora the limit rises, so that the map of frequent tokens keeps its
+size. A token that only shares its place in that map with a frequent one counts as frequent everywhere, which changes
+the speed and not the result.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from stepweave.llm.tokens import SpanHasher, column_bytes, mix64
 
 #: Words of an n-gram; similarity as a percentage.
 WORDS, PERCENT = 5, 80
-#: Finds from which a token is frequent (doubled until at most MAX_FREQUENT are); tokens counted together in a task.
-FREQUENT, MAX_FREQUENT, COUNTED = 24, 1 << 20, 1 << 22
+#: Bits of the map of frequent tokens, tokens that may be frequent; tokens a task holds before it sends them.
+FREQUENT_BITS, MAX_FREQUENT, COUNTED = 28, 1 << 25, 1 << 22
 #: Bytes hashed at a time; tokens of a block up to which one task verifies it; bits of the filter of candidate nodes.
 BYTES, BLOCK_TOKENS, FILTER_BITS = 1 << 20, 1 << 22, 1 << 26
 #: Rounds of pivots for larger blocks before the rest is compared pair by pair.
@@ -99,12 +101,10 @@ def needed(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def prefix_signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Hashes of the single tokens and pairs under which a set is indexed."""
-    n, need = len(tokens), needed(len(tokens))
-    at = np.minimum(np.searchsorted(frequent, tokens), max(len(frequent) - 1, 0))
-    often = frequent[at] == tokens if len(frequent) else np.zeros(n, bool)
-    rare = tokens[~often][:need]
+def prefix_signatures(tokens: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Hashes of the single tokens and pairs under which a set is indexed; often: which of its tokens are frequent."""
+    need = needed(len(tokens))
+    n, rare = len(tokens), tokens[~often][:need]
     out, missing = [rare], need - len(rare)
     if missing > 0:
         common = tokens[often]
@@ -174,59 +174,97 @@ def block_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
-def nodes(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows: keep, node, n) of all documents, and (token, n): finds of tokens in several sets of a part of a task."""
-    spark = docs.sparkSession
+def nodes(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, node, n (size of the set) for every row of docs."""
     types = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held, size, seen = [], 0, set()
+        for batch in batches:
+            sets = token_sets(batch.column(len(keep)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=[*keep, "node", "n"])
+
+    with small_batches(docs.sparkSession):
+        return stored(docs.select(*keep, "text").mapInArrow(scan, f"{types}, node long, n long"), "nodes")
+
+
+def frequent_bits(docs: DataFrame) -> np.ndarray:
+    """A bit for each value of a token's first FREQUENT_BITS bits: set where frequent tokens fall.
 
-        def finds(schema, width):
-            token, n = np.unique(np.concatenate(held), return_counts=True)
-            token, n = token[n > 1], n[n > 1]
-            return pa.RecordBatch.from_arrays([*(pa.nulls(len(token), f.type) for f in schema), pa.array(token.view(np.int64)), pa.array(n), pa.array(np.ones(len(token), bool))], names=[*(f.name for f in schema), "node", "n", "_token"])
+    All tokens of all documents are counted, by their first 40 bits: each task sends the sorted rest of its tokens to
+    the bucket of their first 8 bits. The limit (2 at first) rises until at most MAX_FREQUENT tokens are frequent.
+    """
+    spark = docs.sparkSession
+
+    def send(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-        schema = None
+        def parts(held):
+            token = np.sort(np.concatenate(held))
+            ends = np.searchsorted(token, np.arange(1, 256, dtype=np.uint64) << np.uint64(56))
+            rest = ((token >> np.uint64(24)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array([x.tobytes() for x in np.split(rest, ends)], pa.binary())], names=["bucket", "rest"])
+
+        held, size, seen = [], 0, set()
         for batch in batches:
-            schema = [batch.schema.field(k) for k in range(len(keep))]
-            sets = token_sets(batch.column(len(keep)))
-            ids = [node_of(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.zeros(len(sets), bool))], names=[*keep, "node", "n", "_token"])
-            for s, i in zip(sets, ids, strict=True):
-                if len(s) and i not in seen:
+            for s in token_sets(batch.column(0)):
+                if len(s) and (i := node_of(s)) not in seen:
                     seen.add(i)
                     held.append(s)
                     size += len(s)
             if size > COUNTED:
-                yield finds(schema, len(keep))
+                yield parts(held)
                 held, size = [], 0
-                if len(seen) > 1 << 20:
-                    seen.clear()
         if held:
-            yield finds(schema, len(keep))
+            yield parts(held)
+
+    def count(table):
+        import pyarrow as pa
+
+        print_, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("rest")]), return_counts=True)
+        print_, n = print_[n > 1], np.minimum(n[n > 1], 255).astype(np.uint8)
+        return pa.table({"bucket": table.column("bucket")[:1], "rest": pa.array([print_.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
+
+    def tally(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            hist = sum((np.bincount(np.frombuffer(x.as_buffer(), np.uint8), minlength=256) for x in batch.column(2)), np.zeros(256, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([hist.tolist()], pa.list_(pa.int64()))], names=["hist"])
 
     with small_batches(spark):
-        table = stored(docs.select(*keep, "text").mapInArrow(scan, f"{types}, node long, n long, _token boolean"), "nodes")
-    return table.filter("not _token").drop("_token"), table.filter("_token").select(F.col("node").alias("token"), "n")
+        counts = stored(docs.select("text").mapInArrow(send, "bucket int, rest binary").groupBy("bucket").applyInArrow(count, "bucket int, rest binary, n binary"), "counts")
+    hist = sum((np.array(r[0]) for r in counts.mapInArrow(tally, "hist array<long>").collect()), np.zeros(256, np.int64))  # a few rows of 256 numbers
+    over = np.cumsum(hist[::-1])[::-1]
+    limit = next((k for k in range(2, 256) if over[k] <= MAX_FREQUENT), 256)
+
+    def bits(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            raw = []
+            for rest, n in zip(batch.column(1), batch.column(2), strict=True):
+                hit = np.zeros(1 << (FREQUENT_BITS - 8), np.uint8)
+                hit[np.frombuffer(rest.as_buffer(), np.uint32)[np.frombuffer(n.as_buffer(), np.uint8) >= limit] >> np.uint32(40 - FREQUENT_BITS)] = 1
+                raw.append(np.packbits(hit).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["bucket", "bits"])
+
+    out = np.zeros((256, 1 << (FREQUENT_BITS - 11)), np.uint8)
+    for bucket, raw in counts.mapInArrow(bits, "bucket int, bits binary").collect():  # FREQUENT_BITS bits in all
+        out[bucket] = np.frombuffer(raw, np.uint8)
+    return out.reshape(-1)
 
 
-def frequent_tokens(finds: DataFrame) -> np.ndarray:
-    """Sorted tokens with many finds: at most MAX_FREQUENT, by raising the limit."""
-    counts = stored(finds.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT), "finds")
-    limit = FREQUENT
-    while (n := counts.filter(F.col("n") >= limit).count()) > MAX_FREQUENT:
-        limit *= 2
-    rows = counts.filter(F.col("n") >= limit).select("token").toArrow() if n else None
-    return np.sort(rows.column(0).to_numpy().view(np.uint64)) if n else np.zeros(0, np.uint64)
+def frequent(tokens: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = (tokens >> np.uint64(64 - FREQUENT_BITS)).astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def index_lists(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def index_lists(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """(sig, first, node): every list of two nodes or more, with the least node of each list in all its rows."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)  # MAX_FREQUENT numbers at most
+    shared = spark.sparkContext.broadcast(bits)  # FREQUENT_BITS bits
 
     def emit(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -238,7 +276,7 @@ def index_lists(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 # sets of up to 3 have no similar one but themselves
                 if len(s) > 100 // (100 - PERCENT) - 2 and (i := node_of(s)) not in seen:
                     seen.add(i)
-                    sigs.append(prefix_signatures(s, shared.value))
+                    sigs.append(prefix_signatures(s, frequent(s, shared.value)))
                     owners.append(np.full(len(sigs[-1]), i, np.int64))
             if len(seen) > 1 << 20:
                 seen.clear()
@@ -357,10 +395,10 @@ def large_block_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     return links
 
 
-def links_of(docs: DataFrame, rows: DataFrame, finds: DataFrame) -> DataFrame:
+def links_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (a, b) between nodes that connect exactly what all similar pairs connect."""
     spark = docs.sparkSession
-    lists = index_lists(docs, frequent_tokens(finds))
+    lists = index_lists(docs, frequent_bits(docs))
     stars = lists.filter("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     blocks = components(stars)
     sizes = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"))
@@ -397,8 +435,8 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
     empty result. Columns of docs that aren't named play no part.
     """
     keep = list(keep)
-    rows, finds = nodes(docs, keep)
-    graph = components(links_of(docs, rows, finds))
+    rows = nodes(docs, keep)
+    graph = components(links_of(docs, rows))
     least = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("_least"))
     placed = least.join(graph, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "_least")
     smallest = placed.groupBy("root").agg(F.min("_least").alias("component_id"))
