@@ -14,17 +14,18 @@ from stepweave.sources import schema as sc
 
 
 def json_documents(spark: SparkSession, paths: str | list[str], ddl: str) -> DataFrame:
-    """One row for each JSON file, `_bad` null where it parsed."""
-    reader = spark.read.schema(f"{ddl}, _bad string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
-    return sc.with_defaults(reader.json(paths))
+    """One row for each JSON file: the declared fields, `_path`, and `_bad` with the text of a file that doesn't parse."""
+    raw = spark.read.text(paths, wholetext=True).select("value", F.input_file_name().alias("_path"))
+    parsed = F.from_json("value", f"{ddl}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return sc.with_defaults(raw.select(parsed.alias("d"), "_path").select("d.*", "_path"))
 
 
 def good_documents(spark: SparkSession, paths: str | list[str], ddl: str) -> DataFrame:
-    return json_documents(spark, paths, ddl).filter("_bad is null").drop("_bad")
+    return json_documents(spark, paths, ddl).filter("_bad is null").drop("_bad", "_path")
 
 
 def bad_documents(spark: SparkSession, paths: str | list[str], ddl: str) -> DataFrame:
-    return json_documents(spark, paths, ddl).withColumn("path", F.input_file_name()).filter("_bad is not null").select("path", "_bad")
+    return json_documents(spark, paths, ddl).filter("_bad is not null").select("_path", "_bad")
 
 
 def recipes(spark: SparkSession, paths: str | list[str], excluded: DataFrame | None = None, gold_only: bool = False) -> DataFrame:
