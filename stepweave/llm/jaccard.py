@@ -32,7 +32,9 @@ from stepweave.llm.tokens import SpanHasher, column_bytes, mix64
 #: Words of an n-gram; similarity as a percentage.
 WORDS, PERCENT = 5, 80
 #: Bits of the map of frequent tokens, tokens that may be frequent; tokens a task holds before it sends them.
-FREQUENT_BITS, MAX_FREQUENT, COUNTED = 28, 1 << 25, 1 << 22
+FREQUENT_BITS, MAX_FREQUENT, COUNTED = 28, 1 << 25, 1 << 20
+#: Nodes that a task remembers, to send equal sets of its documents once; forgetting some only sends them again.
+SEEN = 1 << 17
 #: Bytes hashed at a time; tokens of a block up to which one task verifies it; bits of the filter of candidate nodes.
 BYTES, BLOCK_TOKENS, FILTER_BITS = 1 << 20, 1 << 22, 1 << 26
 #: Rounds of pivots for larger blocks before the rest is compared pair by pair.
@@ -216,6 +218,8 @@ def frequent_bits(docs: DataFrame) -> np.ndarray:
             if size > COUNTED:
                 yield parts(held)
                 held, size = [], 0
+                if len(seen) > SEEN:
+                    seen.clear()
         if held:
             yield parts(held)
 
@@ -278,7 +282,7 @@ def index_lists(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                     seen.add(i)
                     sigs.append(prefix_signatures(s, frequent(s, shared.value)))
                     owners.append(np.full(len(sigs[-1]), i, np.int64))
-            if len(seen) > 1 << 20:
+            if len(seen) > SEEN:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(owners))], names=["sig", "node"])
 
@@ -347,7 +351,7 @@ def node_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
                     seen.add(i)
                     ids.append(i)
                     raw.append(s.tobytes())
-            if len(seen) > 1 << 20:
+            if len(seen) > SEEN:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["node", "tokens"])
 

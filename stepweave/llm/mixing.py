@@ -98,7 +98,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     plan = stored(plan.withColumn("_passes", passes.cast("int")).withColumn("_left", F.col("target") - F.col("_passes") * F.col("source_size")), "mix_plan")
     low = thresholds(rows.select("_src", "size", "_u"), plan.select("_src", "_left"))
     copies = F.col("_passes") + F.when(F.col("_u") < F.col("_low"), 1).otherwise(0)
-    out = rows.join(plan.drop("source", "_left").join(low, "_src"), "_src").withColumn("copies", F.least(copies, F.lit(MAX_PASSES)))
+    cuts = stored(plan.drop("source", "_left").join(low, "_src"), "mix_cuts")  # written, so that its true size decides the join
+    out = rows.join(cuts, "_src").withColumn("copies", F.least(copies, F.lit(MAX_PASSES)))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *[F.col(f"_carry_{c}").alias(c) for c in carry if c not in ("doc_id", "source")])
 
 

@@ -92,7 +92,8 @@ def judge(docs: DataFrame, max_rate: float = MAX_HOST_RATE, carry: tuple[str, ..
     for step in measure(F.col("text")):
         rows = rows.withColumns(step)
     rows = stored(rows.drop("text", "_w", "_l", "_h").withColumn("_host", source_key(F.col("source"))), "quality")
-    verdict = hosts(rows, max_rate).select("_host", "host_rejected")
+    # written, so that its true size decides how it is joined
+    verdict = stored(hosts(rows, max_rate).select("_host", "host_rejected"), "hosts")
     out = rows.join(verdict, "_host").withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
     names = ("doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return out.select(*names, *[F.col(f"_carry_{c}").alias(c) for c in carry if c not in names])
