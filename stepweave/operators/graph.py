@@ -74,15 +74,17 @@ def order_scopes(edges: DataFrame) -> DataFrame:
 def cyclic_core(edges: DataFrame, scope: str = "scope", a: str = "from_id", b: str = "to_id") -> DataFrame:
     """Edges that peeling leaves: sources go with their edges, round by round, until none is left. Acyclic scopes vanish."""
     left = cut(edges.select(F.col(scope).alias("scope"), F.col(a).alias("from_id"), F.col(b).alias("to_id")).distinct())
-    while True:
-        entered = left.select("scope", F.col("to_id").alias("from_id")).distinct()
-        inner = left.join(entered, ["scope", "from_id"], "left_semi")
-        leaves = inner.select("scope", F.col("from_id").alias("to_id")).distinct()
-        kept = cut(inner.join(leaves, ["scope", "to_id"], "left_semi").select("scope", "from_id", "to_id"))
-        before, after = left.count(), kept.count()
+    n = left.count()
+    while n:
+        # edges whose start is entered, and whose end is left, by edges of the same kind
+        starts = left.select("scope", F.col("to_id").alias("from_id")).distinct()
+        ends = left.select("scope", F.col("from_id").alias("to_id")).distinct()
+        kept = cut(left.join(starts, ["scope", "from_id"], "left_semi").join(ends, ["scope", "to_id"], "left_semi").select("scope", "from_id", "to_id"))
+        before, n = n, kept.count()
+        if before == n:
+            break
         left = kept
-        if before == after or not after:
-            return left
+    return left if n else left.filter(F.lit(False))
 
 
 def cyclic_scopes(edges: DataFrame, **names) -> DataFrame:

@@ -138,7 +138,7 @@ def gate(open_: DataFrame, model: Callable | None) -> DataFrame:
             for r in pdf.to_dict("records"):
                 try:
                     answer = model(r)
-                    scores.append(list(score_map(answer).items()))
+                    scores.append(score_map(answer))
                     choice.append(answer["verdict"]["choice"])
                 except Exception:  # noqa: BLE001  an outage of the gate is no verdict
                     scores.append(None)

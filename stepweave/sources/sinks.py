@@ -118,6 +118,8 @@ def send(rows: DataFrame, connect: Callable[[], Callable[[str], None]], clear: b
         driver(f"MATCH (n:{label}) DETACH DELETE n")
 
     def run(batches):
+        import pandas as pd
+
         for pdf in batches:
             execute, failed = connect(), []
             for s in pdf["statement"]:
@@ -125,7 +127,7 @@ def send(rows: DataFrame, connect: Callable[[], Callable[[str], None]], clear: b
                     execute(s)
                 except Exception as e:  # noqa: BLE001  reported, as a warning
                     failed.append(f"{type(e).__name__}: {e}: {s[:80]}")
-            yield pdf.iloc[:0][["statement"]].rename(columns={"statement": "error"}).reindex(range(len(failed))).assign(error=failed)
+            yield pd.DataFrame({"error": pd.Series(failed, dtype=object)})
 
     for section in range(1, 6):
         errors += [r[0] for r in rows.filter(F.col("section") == section).select("statement").mapInPandas(run, "error string").collect()]

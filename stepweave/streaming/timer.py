@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def work_time(ticks: DataFrame, cap: float, idle: str = "1 hour") -> DataFrame:
+def work_time(ticks: DataFrame, cap: float, idle: str | None = None) -> DataFrame:
     """Per tick of a stream (session string, key string, at double): active seconds on the key so far, gaps cut at cap.
 
     The state of a session is (key, active, last). Ticks of a micro-batch are taken in order of time; one that is older
-    than the state adds nothing, as a clock that goes back. A session without ticks for `idle` is forgotten.
+    than the state adds nothing, as a clock that goes back. A session without ticks for `idle` ("1 hour") is forgotten;
+    this is for streams that run on, as a query with such time-outs never ends by itself.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    milliseconds = int(float(idle.split()[0]) * {"second": 1e3, "minute": 6e4, "hour": 3.6e6, "day": 8.64e7}[idle.split()[1].rstrip("s")])
+    milliseconds = idle and int(float(idle.split()[0]) * {"second": 1e3, "minute": 6e4, "hour": 3.6e6, "day": 8.64e7}[idle.split()[1].rstrip("s")])
 
     def fold(group: tuple, batches: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
@@ -32,10 +33,11 @@ def work_time(ticks: DataFrame, cap: float, idle: str = "1 hour") -> DataFrame:
             key, last = k, at
             out.append((group[0], k, at, active))
         state.update((key, active, last))
-        state.setTimeoutDuration(milliseconds)
+        if milliseconds:
+            state.setTimeoutDuration(milliseconds)
         yield pd.DataFrame(out, columns=["session", "key", "at", "active"])
 
-    return ticks.select("session", "key", "at").groupBy("session").applyInPandasWithState(fold, "session string, key string, at double, active double", "key string, active double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return ticks.select("session", "key", "at").groupBy("session").applyInPandasWithState(fold, "session string, key string, at double, active double", "key string, active double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(events: DataFrame, at: str, by: list[str], window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
