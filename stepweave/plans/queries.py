@@ -98,9 +98,9 @@ def temp_extract(spark, d):
 
 @query(r"""SELECT doc_id, CASE WHEN contains(text, s) THEN s WHEN position(translate(s, '’“”', '''""') IN translate(text, '’“”', '''""')) > 0
   THEN substr(text, position(translate(s, '’“”', '''""') IN translate(text, '’“”', '''""')), length(s)) ELSE s END AS span
-FROM (SELECT doc_id, substr(replace(text, ' ', '’'), 1, 400) AS text, replace(substr(text, 5, 30), ' ', '''') AS s FROM documents)""")
+FROM (SELECT doc_id, replace(text, ' ', '’') AS text, replace(substr(text, 5, 30), ' ', '''') AS s FROM documents)""")
 def ground_span(spark, d):
-    docs = b.table(spark, d, "documents").select("doc_id", F.substring(F.replace("text", F.lit(" "), F.lit("’")), 1, 400).alias("text"), F.replace(F.substring("text", 5, 30), F.lit(" "), F.lit("'")).alias("s"))
+    docs = b.table(spark, d, "documents").select("doc_id", F.replace("text", F.lit(" "), F.lit("’")).alias("text"), F.replace(F.substring("text", 5, 30), F.lit(" "), F.lit("'")).alias("s"))
     return docs.select("doc_id", tx.ground_span(F.col("s"), F.col("text")).alias("span"))
 
 
@@ -119,10 +119,9 @@ def fingerprint(spark, d):
     return b.fused(spark, d).groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT substr(sha256(lower(regexp_replace(trim(text), '\\s+', '_', 'g'))), 1, 16) AS text_print, count(*) AS n FROM documents WHERE NOT regexp_matches(text, '\\x{A0}') GROUP BY 1 HAVING count(*) > 1""")
+@query("SELECT substr(sha256(text), 1, 16) AS text_print, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_texts(spark, d):
-    docs = b.table(spark, d, "documents").filter(~F.contains("text", F.lit(" ")))
-    return docs.groupBy(F.substring(F.sha2(tx.canonical_action(F.col("text")), 256), 1, 16).alias("text_print")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return b.table(spark, d, "documents").groupBy(F.substring(F.sha2("text", 256), 1, 16).alias("text_print")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size > 25 THEN p_brand || '_step' || printf('%02d', p_size) || '.' || (p_size - 24) ELSE p_brand || '_step' || printf('%02d', p_size) END AS artifact,
@@ -204,11 +203,11 @@ def set_counts(spark, d):
 # Joins
 
 
-@query(WITH_ACTIONS + r""", n AS (SELECT DISTINCT node_id, 'egg' AS e FROM fp WHERE k % 3 <> 1),
+@query(WITH_ACTIONS + r""", n AS (SELECT DISTINCT node_id, 'egg' AS e FROM fp WHERE event_type <> 'error'),
 bounds(seq, bound_id, entity, temperature_c) AS (VALUES (0, 'onset', 'egg', 62.0::DOUBLE), (1, 'full', 'egg', 70.0), (2, 'smoke', 'bolt', 150.0), (3, 'weep', 'gear', NULL))
 SELECT node_id, bound_id, temperature_c FROM n, bounds WHERE entity = e OR entity = 'egg'""")
 def bounds_theta_join(spark, d):
-    rows = b.fused(spark, d).filter("k % 3 <> 1").dropDuplicates(["node_id"]).withColumn("thermal", F.lit(True)).drop("seq")
+    rows = b.fused(spark, d).dropDuplicates(["node_id"]).withColumn("thermal", F.col("event_type") != "error").drop("seq")
     return fuse.bounds_of(rows, b.DIMS.bounds_df(spark), b.DIMS.default_entity).select("node_id", "bound_id", "temperature_c")
 
 
@@ -336,9 +335,9 @@ def dedup_provenance(spark, d):
     return fuse.nodes(rows).select("node_id", "n_observations", "n_recipes", "action_phrase", "node_type").join(first, "node_id")
 
 
-@query(WITH_ACTIONS + "SELECT node_id, string_agg(recipe_id || '/' || step_number || '/' || k, ',' ORDER BY recipe_id, step_number) AS observations FROM fp WHERE value < 20 GROUP BY node_id")
+@query(WITH_ACTIONS + "SELECT node_id, string_agg(recipe_id || '/' || step_number || '/' || k, ',' ORDER BY recipe_id, step_number) AS observations FROM fp GROUP BY node_id")
 def provenance_in_order(spark, d):
-    rows = b.fused(spark, d).filter("value < 20")
+    rows = b.fused(spark, d)
     listed = fuse.nested_provenance(fuse.provenance(rows.withColumn("source_span", F.col("k").cast("string"))))
     return listed.select("node_id", F.array_join(F.transform("provenance", lambda p: F.concat_ws("/", p["recipe_id"], p["step_number"].cast("string"), p["source_span"])), ",").alias("observations"))
 
@@ -392,9 +391,10 @@ def work_timer(spark, d):
     return review.work_time(rows, ["recipe_id"], "event_type", "at", 120.0, ["event_id"]).select("event_id", F.round("active", 3).alias("active"))
 
 
-@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE turn <> conv_id % 5) WHERE r = turn + 1")
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE r = turn + 1 + CASE WHEN turn >= conv_id % 5 THEN 1 ELSE 0 END")
 def contiguous_prefix(spark, d):
-    rows = b.table(spark, d, "conversations").filter("turn <> conv_id % 5").select("conv_id", "turn", F.lit("r").alias("recipe_id"), F.col("conv_id").alias("step_number"), (F.col("turn") + 1).alias("sub_step"))
+    gap = F.when(F.col("turn") >= F.col("conv_id") % 5, 1).otherwise(0)  # a sub-step is missing there
+    rows = b.table(spark, d, "conversations").select("conv_id", "turn", F.lit("r").alias("recipe_id"), F.col("conv_id").alias("step_number"), (F.col("turn") + 1 + gap).alias("sub_step"))
     return readers.contiguous(rows).select("conv_id", "turn")
 
 
@@ -424,70 +424,71 @@ def scope_drop_cascade(spark, d):
     return scope.apply_scope(rows, b.DIMS).select("p_partkey", why.alias("why"))
 
 
-@query(WITH_ACTIONS + """, g AS (SELECT recipe_id, bool_or(node_type = 'Plate' AND k < 3) AS plate, arg_max(post_label, step_number) AS last_state, max(step_number) AS last FROM act WHERE NOT (node_type = 'Plate' AND k >= 3) GROUP BY 1)
+@query(WITH_ACTIONS + """, g AS (SELECT recipe_id, bool_or(node_type = 'Plate' AND k < 3) AS plate, arg_max(post_label, step_number) AS last_state, max(step_number) AS last FROM act GROUP BY 1)
 SELECT recipe_id, last_state, last + 1 AS step_number, last_state IN ('coagulating', 'solid') AS added FROM g WHERE NOT plate""")
 def goal_completion(spark, d):
-    rows = b.actions(spark, d).filter("not (node_type = 'Plate' and k >= 3)").withColumns({"post": nested.resolve_conditions(F.col("post"), nested.literal_map(b.ALIASES))})
+    rows = b.actions(spark, d).withColumns({"node_type": F.when((F.col("node_type") == "Plate") & (F.col("k") >= 3), "Process").otherwise(F.col("node_type")), "post": nested.resolve_conditions(F.col("post"), nested.literal_map(b.ALIASES))})
     return scope.complete_to_goal(rows, b.DIMS)[1]
 
 
 # Graph
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT least(o_custkey, o_orderkey % 1500) AS a, greatest(o_custkey, o_orderkey % 1500) AS b FROM orders WHERE o_orderkey % 40 = 0),
+@query("""WITH RECURSIVE e AS (SELECT a, b FROM (SELECT p_partkey AS a, lag(p_partkey) OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS b FROM part) WHERE b IS NOT NULL),
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, c) AS (SELECT a, a FROM s UNION SELECT s.b, r.c FROM r JOIN s ON s.a = r.node)
 SELECT node, min(c) AS component FROM r GROUP BY node""")
 def components(spark, d):
-    edges = b.table(spark, d, "orders").filter("o_orderkey % 40 = 0").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 1500).alias("b"))
-    return graph.components(edges)
-
-
-def _scoped_edges(spark, d):
-    o = b.table(spark, d, "orders")
-    return o.select(F.col("o_orderpriority").alias("scope"), (F.col("o_custkey") % 400).cast("string").alias("from_id"), (F.col("o_orderkey") % 1300).cast("string").alias("to_id")).filter("from_id <> to_id and length(from_id) < 3")
+    """Chains of parts of a brand and type."""
+    w = Window.partitionBy("p_brand", "p_type").orderBy("p_partkey")
+    return graph.components(b.table(spark, d, "part").select(F.col("p_partkey").alias("a"), F.lag("p_partkey").over(w).alias("b")).filter("b is not null"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_orderpriority AS s, (o_custkey % 400) AS f, (o_orderkey % 1300) AS t FROM orders WHERE o_custkey % 400 <> o_orderkey % 1300 AND o_custkey % 400 < 100),
-c AS (SELECT * FROM e WHERE t < 100),
-r(s, a, z) AS (SELECT s, f, t FROM c UNION SELECT r.s, r.a, c.t FROM r JOIN c ON c.s = r.s AND c.f = r.z)
-SELECT DISTINCT s AS scope FROM r WHERE a = z""")
+@query(WITH_ACTIONS.replace("WITH ", "WITH RECURSIVE ", 1) + """, x AS (SELECT recipe_id || ':' || (step_number // 6) AS scope, step_number, event_type AS f FROM ev),
+e AS (SELECT DISTINCT scope, f, t FROM (SELECT scope, f, lead(f) OVER (PARTITION BY scope ORDER BY step_number) AS t FROM x) WHERE t IS NOT NULL),
+r(scope, a, z) AS (SELECT scope, f, t FROM e UNION SELECT r.scope, r.a, e.t FROM r JOIN e ON e.scope = r.scope AND e.f = r.z)
+SELECT DISTINCT scope FROM r WHERE a = z""")
 def cycle_scopes(spark, d):
-    return graph.cyclic_scopes(_scoped_edges(spark, d)).select("scope")
+    """Runs of six events of a branch in which a kind comes back."""
+    rows = b.events(spark, d).withColumn("scope", F.concat("recipe_id", F.lit(":"), F.floor(F.col("step_number") / 6).cast("string")))
+    w = Window.partitionBy("scope").orderBy("step_number")
+    edges = rows.select("scope", F.col("event_type").alias("from_id"), F.lead("event_type").over(w).alias("to_id")).filter("to_id is not null")
+    return graph.cyclic_scopes(edges).select("scope")
 
 
 @query()
 def break_cycles(spark, d):
-    """Removed edges of the order of the first events of each branch."""
-    rows = b.fused(spark, d).filter("step_number <= 6")
-    edges = fuse.next_edges(rows).unionByName(_required(spark, d).filter("rule_id = 'look_first'"))
+    """Removed edges of all branches' order."""
+    edges = fuse.next_edges(b.fused(spark, d)).unionByName(_required(spark, d))
     return graph.break_cycles(edges)[1].select("edge_type", "recipe_id", "from_id", "to_id")
 
 
 @query()
 def apply_merges(spark, d):
-    rows = b.fused(spark, d).filter("step_number <= 3")
-    nodes, edges = fuse.nodes(rows), fuse.next_edges(rows)
-    pairs = merge.candidate_pairs(merge.with_block(nodes)).orderBy("a", "b").limit(12)
-    labels = pairs.select(tx.pair_id(F.col("a"), F.col("b")).alias("pair_id"), F.col("a").alias("a_id"), F.col("b").alias("b_id"), F.lit("same").alias("label"))
+    """The order of all branches, cycles broken, after merging the closing steps that differ in wording only."""
+    rows = b.fused(spark, d)
+    nodes = fuse.nodes(rows)
+    edges = graph.break_cycles(fuse.next_edges(rows))[0]
+    closing = merge.candidate_pairs(merge.with_block(nodes)).filter("block like 'Plate | egg:liquid%'")
+    labels = closing.select(tx.pair_id(F.col("a"), F.col("b")).alias("pair_id"), F.col("a").alias("a_id"), F.col("b").alias("b_id"), F.lit("same").alias("label"))
     return merge.apply_merges(nodes, edges, labels)[1].select("edge_type", "recipe_id", "from_id", "to_id")
 
 
-@query(WITH_ACTIONS.replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT DISTINCT recipe_id, node_id AS f, lead(node_id) OVER (PARTITION BY recipe_id ORDER BY step_number) AS t FROM fp WHERE step_number <= 8),
+@query(WITH_ACTIONS.replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT DISTINCT recipe_id, node_id AS f, lead(node_id) OVER (PARTITION BY recipe_id ORDER BY step_number) AS t FROM fp),
 e AS (SELECT * FROM n WHERE t IS NOT NULL), st AS (SELECT recipe_id, node_id FROM fp WHERE step_number = 1),
-w(recipe_id, node, hop) AS (SELECT recipe_id, node_id, 0 FROM st UNION SELECT e.recipe_id, e.t, hop + 1 FROM w JOIN e ON e.recipe_id = w.recipe_id AND e.f = w.node WHERE hop < 8)
-SELECT recipe_id, node, min(hop)::BIGINT AS hop FROM w GROUP BY 1, 2""")
+w(recipe_id, node) AS (SELECT recipe_id, node_id FROM st UNION SELECT e.recipe_id, e.t FROM w JOIN e ON e.recipe_id = w.recipe_id AND e.f = w.node)
+SELECT recipe_id, node FROM w""")
 def branch_walk(spark, d):
-    rows = b.fused(spark, d).filter("step_number <= 8")
+    rows = b.fused(spark, d)
     starts = rows.filter("step_number = 1").select("recipe_id", F.col("node_id").alias("node"))
-    return graph.walk(fuse.next_edges(rows), starts)
+    return graph.walk(fuse.next_edges(rows), starts).select("recipe_id", "node")
 
 
-@query(WITH_ACTIONS + _REQUIRED_SQL + """, nx AS (SELECT DISTINCT recipe_id, f, t FROM (SELECT recipe_id, node_id AS f, lead(node_id) OVER (PARTITION BY recipe_id ORDER BY step_number) AS t FROM fp WHERE step_number <= 5) WHERE t IS NOT NULL),
+@query(WITH_ACTIONS + _REQUIRED_SQL + """, nx AS (SELECT DISTINCT recipe_id, f, t FROM (SELECT recipe_id, node_id AS f, lead(node_id) OVER (PARTITION BY recipe_id ORDER BY step_number) AS t FROM fp) WHERE t IS NOT NULL),
 br AS (SELECT recipe_id, f AS n FROM nx UNION SELECT recipe_id, t FROM nx)
 SELECT scope, count(*) AS n FROM (SELECT recipe_id AS scope FROM nx UNION ALL SELECT '*requires*' FROM req UNION ALL SELECT a.recipe_id FROM req JOIN br a ON a.n = req.from_id JOIN br b ON b.n = req.to_id AND b.recipe_id = a.recipe_id) GROUP BY scope""")
 def order_scopes(spark, d):
-    edges = fuse.next_edges(b.fused(spark, d).filter("step_number <= 5")).unionByName(_required(spark, d))
+    edges = fuse.next_edges(b.fused(spark, d)).unionByName(_required(spark, d))
     return graph.order_scopes(edges).groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -504,13 +505,13 @@ def union_next(spark, d):
     return edges.groupBy(F.col("from_id").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_set("to_id")), "|").alias("next_ids"))
 
 
-@query(WITH_ACTIONS + """, nx AS (SELECT DISTINCT recipe_id, f, t FROM (SELECT recipe_id, node_id AS f, lead(node_id) OVER (PARTITION BY recipe_id ORDER BY step_number) AS t FROM fp WHERE step_number <= 10) WHERE t IS NOT NULL),
+@query(WITH_ACTIONS + """, nx AS (SELECT DISTINCT recipe_id, f, t FROM (SELECT recipe_id, node_id AS f, lead(node_id) OVER (PARTITION BY recipe_id ORDER BY step_number) AS t FROM fp) WHERE t IS NOT NULL),
 br AS (SELECT recipe_id, f AS n FROM nx UNION SELECT recipe_id, t FROM nx),
-ph AS (SELECT node_id AS n, arg_min(action_phrase, (recipe_id, step_number)) AS p, arg_min(post_label, (recipe_id, step_number)) AS post FROM fp WHERE step_number <= 10 GROUP BY 1)
+ph AS (SELECT node_id AS n, arg_min(action_phrase, (recipe_id, step_number)) AS p, arg_min(post_label, (recipe_id, step_number)) AS post FROM fp GROUP BY 1)
 SELECT br.recipe_id, br.n AS node_id, any_value(p) AS action_phrase, any_value(post) AS post_label, coalesce(string_agg(t, '|' ORDER BY t), '') AS next_ids, CASE WHEN any_value(p) LIKE 'view%' THEN 'full|onset' ELSE '' END AS bounds
 FROM br JOIN ph USING (n) LEFT JOIN nx ON nx.recipe_id = br.recipe_id AND nx.f = br.n GROUP BY 1, 2""")
 def step_context(spark, d):
-    rows = b.fused(spark, d).filter("step_number <= 10")
+    rows = b.fused(spark, d)
     nodes = fuse.nodes(rows)
     found = fuse.bounds_of(nodes.drop("seq").withColumn("thermal", F.col("action_phrase").startswith("view")), b.DIMS.bounds_df(spark), "egg")
     q = query_api.GraphQuery(nodes, fuse.next_edges(rows).unionByName(fuse.bound_edges(found)))
@@ -544,10 +545,10 @@ def gate5(spark, d):
     return gates.gate5(nodes.withColumn("post", upper)).select("subject", "message")
 
 
-@query("SELECT conv_id, turn FROM conversations JOIN (SELECT conv_id, text AS first FROM conversations WHERE turn = 0) USING (conv_id) WHERE NOT contains(text, substr(first, 1, 2))")
+@query("SELECT conv_id, turn FROM conversations JOIN (SELECT conv_id, text AS first FROM conversations WHERE turn = 0) USING (conv_id) WHERE NOT contains(text, split_part(first, ' ', 1))")
 def gate6(spark, d):
     c = b.table(spark, d, "conversations").withColumns({"recipe_id": F.col("conv_id").cast("string"), "step_number": F.col("turn").cast("int")})
-    first = c.filter("turn = 0").select("recipe_id", F.substring("text", 1, 2).alias("source_span"))
+    first = c.filter("turn = 0").select("recipe_id", F.substring_index("text", " ", 1).alias("source_span"))
     rows = c.select("recipe_id", "step_number").join(first, "recipe_id").withColumn("node_id", F.concat_ws("/", "recipe_id", F.col("step_number").cast("string")))
     at = F.split("subject", "/")
     return gates.gate6(rows, c.select("recipe_id", "step_number", "text")).select(F.get(at, F.lit(0)).cast("long").alias("conv_id"), F.get(at, F.lit(1)).cast("long").alias("turn"))
