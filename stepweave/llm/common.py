@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,10 +32,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_STORED: list[str] = []
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Remove the tables that this driver's operators have written; results that still read them become unreadable."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _STORED:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Like cut, as a Parquet table: smaller, and read column by column."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _STORED.append(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # texts in small row groups: a writer holds one in memory
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -106,3 +120,24 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "root")
         if new.filter("root <> _was").isEmpty():
             return labels
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that gives freed memory back when its task ends: Python workers live on and idle."""
+
+    @functools.wraps(run)
+    def out(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # not every C library can
+
+    return out

@@ -26,17 +26,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stepweave.llm.common import components, partitions, small_batches, stored
+from stepweave.llm.common import components, partitions, small_batches, stored, trimmed
 from stepweave.llm.tokens import SpanHasher, column_bytes, mix64
 
 #: Words of an n-gram; similarity as a percentage.
 WORDS, PERCENT = 5, 80
 #: Bits of the map of frequent tokens, tokens that may be frequent; tokens a task holds before it sends them.
-FREQUENT_BITS, MAX_FREQUENT, COUNTED = 28, 1 << 25, 1 << 20
+FREQUENT_BITS, MAX_FREQUENT, COUNTED = 27, 1 << 24, 1 << 20
 #: Nodes that a task remembers, to send equal sets of its documents once; forgetting some only sends them again.
 SEEN = 1 << 17
 #: Bytes hashed at a time; tokens of a block up to which one task verifies it; bits of the filter of candidate nodes.
-BYTES, BLOCK_TOKENS, FILTER_BITS = 1 << 20, 1 << 22, 1 << 26
+BYTES, BLOCK_TOKENS, FILTER_BITS = 1 << 18, 1 << 22, 1 << 26
 #: Rounds of pivots for larger blocks before the rest is compared pair by pair.
 PIVOT_ROUNDS = 3
 
@@ -188,25 +188,27 @@ def nodes(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=[*keep, "node", "n"])
 
     with small_batches(docs.sparkSession):
-        return stored(docs.select(*keep, "text").mapInArrow(scan, f"{types}, node long, n long"), "nodes")
+        return stored(docs.select(*keep, "text").mapInArrow(trimmed(scan), f"{types}, node long, n long"), "nodes")
 
 
 def frequent_bits(docs: DataFrame) -> np.ndarray:
     """A bit for each value of a token's first FREQUENT_BITS bits: set where frequent tokens fall.
 
-    All tokens of all documents are counted, by their first 40 bits: each task sends the sorted rest of its tokens to
-    the bucket of their first 8 bits. The limit (2 at first) rises until at most MAX_FREQUENT tokens are frequent.
+    All tokens of all documents are counted, by their first bits: so many that there are several buckets for each
+    shuffle partition, and 32 more. Each task sends the sorted rest of its tokens to the bucket of their first ones. The
+    limit (2 at first) rises until at most MAX_FREQUENT tokens are frequent.
     """
     spark = docs.sparkSession
+    first = min(max((4 * partitions(spark) - 1).bit_length(), 8), 16)
 
     def send(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         def parts(held):
             token = np.sort(np.concatenate(held))
-            ends = np.searchsorted(token, np.arange(1, 256, dtype=np.uint64) << np.uint64(56))
-            rest = ((token >> np.uint64(24)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array([x.tobytes() for x in np.split(rest, ends)], pa.binary())], names=["bucket", "rest"])
+            ends = np.searchsorted(token, np.arange(1, 1 << first, dtype=np.uint64) << np.uint64(64 - first))
+            rest = ((token >> np.uint64(32 - first)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(1 << first), pa.int32()), pa.array([x.tobytes() for x in np.split(rest, ends)], pa.binary())], names=["bucket", "rest"])
 
         held, size, seen = [], 0, set()
         for batch in batches:
@@ -238,8 +240,8 @@ def frequent_bits(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([hist.tolist()], pa.list_(pa.int64()))], names=["hist"])
 
     with small_batches(spark):
-        counts = stored(docs.select("text").mapInArrow(send, "bucket int, rest binary").groupBy("bucket").applyInArrow(count, "bucket int, rest binary, n binary"), "counts")
-    hist = sum((np.array(r[0]) for r in counts.mapInArrow(tally, "hist array<long>").collect()), np.zeros(256, np.int64))  # a few rows of 256 numbers
+        counts = stored(docs.select("text").mapInArrow(trimmed(send), "bucket int, rest binary").groupBy("bucket").applyInArrow(count, "bucket int, rest binary, n binary"), "counts")
+    hist = sum((np.array(r[0]) for r in counts.mapInArrow(trimmed(tally), "hist array<long>").collect()), np.zeros(256, np.int64))  # a few rows of 256 numbers
     over = np.cumsum(hist[::-1])[::-1]
     limit = next((k for k in range(2, 256) if over[k] <= MAX_FREQUENT), 256)
 
@@ -249,13 +251,13 @@ def frequent_bits(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             raw = []
             for rest, n in zip(batch.column(1), batch.column(2), strict=True):
-                hit = np.zeros(1 << (FREQUENT_BITS - 8), np.uint8)
-                hit[np.frombuffer(rest.as_buffer(), np.uint32)[np.frombuffer(n.as_buffer(), np.uint8) >= limit] >> np.uint32(40 - FREQUENT_BITS)] = 1
+                hit = np.zeros(1 << (FREQUENT_BITS - first), np.uint8)
+                hit[np.frombuffer(rest.as_buffer(), np.uint32)[np.frombuffer(n.as_buffer(), np.uint8) >= limit] >> np.uint32(32 + first - FREQUENT_BITS)] = 1
                 raw.append(np.packbits(hit).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["bucket", "bits"])
 
-    out = np.zeros((256, 1 << (FREQUENT_BITS - 11)), np.uint8)
-    for bucket, raw in counts.mapInArrow(bits, "bucket int, bits binary").collect():  # FREQUENT_BITS bits in all
+    out = np.zeros((1 << first, 1 << (FREQUENT_BITS - first - 3)), np.uint8)
+    for bucket, raw in counts.mapInArrow(trimmed(bits), "bucket int, bits binary").collect():  # FREQUENT_BITS bits in all
         out[bucket] = np.frombuffer(raw, np.uint8)
     return out.reshape(-1)
 
@@ -325,8 +327,8 @@ def index_lists(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             last_sig, last_node, first = sig[-1], node[-1], heads[-1]
 
     with small_batches(spark):
-        sigs = docs.select("text").mapInArrow(emit, "sig long, node long").repartition(partitions(spark), "sig").sortWithinPartitions("sig", "node")
-        return stored(sigs.mapInArrow(lists, "sig long, first long, node long"), "lists")
+        sigs = docs.select("text").mapInArrow(trimmed(emit), "sig long, node long").repartition(partitions(spark), "sig").sortWithinPartitions("sig", "node")
+        return stored(sigs.mapInArrow(trimmed(lists), "sig long, first long, node long"), "lists")
 
 
 def node_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -355,7 +357,7 @@ def node_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["node", "tokens"])
 
-    return docs.select("text").mapInArrow(emit, "node long, tokens binary")
+    return docs.select("text").mapInArrow(trimmed(emit), "node long, tokens binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -374,7 +376,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
     with small_batches(pairs.sparkSession):
-        return stored(both.mapInArrow(test, "a long, b long"), "links")
+        return stored(both.mapInArrow(trimmed(test), "a long, b long"), "links")
 
 
 def large_block_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -440,7 +442,7 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
     """
     keep = list(keep)
     rows = nodes(docs, keep)
-    graph = components(links_of(docs, rows))
+    graph = components(stored(links_of(docs, rows), "links"))
     least = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("_least"))
     placed = least.join(graph, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "_least")
     smallest = placed.groupBy("root").agg(F.min("_least").alias("component_id"))

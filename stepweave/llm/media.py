@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.llm import flac
-from stepweave.llm.common import small_batches, stored
+from stepweave.llm.common import small_batches, stored, trimmed
 
 #: Payloads are zero-padded to a positive multiple of PAD bytes; bytes coded at a time (a longer row is alone).
 PAD, CHUNK = 64, 1 << 19
@@ -48,7 +48,7 @@ def encode_text(docs: DataFrame) -> DataFrame:
                 media = flac.encode([r + b"\0" * (-len(r) % PAD if r else PAD) for r in part])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows], pa.array([len(r) for r in part], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def feature(payload: bytes) -> str:
@@ -79,7 +79,7 @@ def digests(media: DataFrame) -> DataFrame:
                     names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
                 )
 
-    return media.mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(trimmed(run), f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
                         names=["doc_id", "block", "first_sample", "n_samples", "frame_offset", "frame_bytes", "pcm"],
                     )
 
-    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, block long, first_sample long, n_samples long, frame_offset long, frame_bytes long, pcm binary")
+    return media.select("doc_id", "media").mapInArrow(trimmed(run), f"doc_id {media.schema['doc_id'].dataType.simpleString()}, block long, first_sample long, n_samples long, frame_offset long, frame_bytes long, pcm binary")
 
 
 def write_pcm(media: DataFrame, path: str) -> None:

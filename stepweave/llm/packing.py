@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stepweave.llm.common import small_batches, stored
+from stepweave.llm.common import small_batches, stored, trimmed
 from stepweave.llm.tokens import column_bytes, default_path, encoder, with_end
 
 #: Lengths in an enumerated combination; passes of the solver; parts in which pieces of one length are ranked.
@@ -152,7 +152,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFra
             crc = np.fromiter((zlib.crc32(raw[a : a + 4 * m]) for a, m in zip(at.tolist(), length.tolist(), strict=True)), np.int64, len(doc))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc), pa.array(size[doc])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(cut), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 1024, end_id: int = 0) -> DataFrame:
@@ -185,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 1024, end_
             at = np.searchsorted(key, length * shift + rank, side="right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(t["sequence"][at] + rank - t["rank"][at]), pa.array(t["offset"][at])], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.mapInArrow(trimmed(place), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from stepweave.llm import trees
-from stepweave.llm.common import small_batches, stored
+from stepweave.llm.common import small_batches, stored, trimmed
 from stepweave.llm.tokens import column_bytes
 
 #: Labelled findings for the fit (bound), trees, wanted precision on held-out labels.
@@ -229,7 +229,7 @@ def scan(docs: DataFrame, model: tuple[list, float] | None = None) -> DataFrame:
             secrets = [[{"rule": r, "start": a, "end": b, "score": s, "sha256": hashlib.sha256(t[a:b].encode()).hexdigest()} for r, a, b, s in f if s >= model[1]] for t, f in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([len(s) for s in secrets], pa.int64()), pa.array(secrets, kind)], names=["doc_id", "n_candidates", "n_secrets", "secrets"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_candidates long, n_secrets long, secrets array<struct<rule:string,start:bigint,end:bigint,score:double,sha256:string>>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_candidates long, n_secrets long, secrets array<struct<rule:string,start:bigint,end:bigint,score:double,sha256:string>>")
 
 
 def redact(docs: DataFrame, model: tuple[list, float] | None = None, mark: str = "[SECRET]") -> DataFrame:
@@ -262,7 +262,7 @@ def redact(docs: DataFrame, model: tuple[list, float] | None = None, mark: str =
                         columns[k] = pa.array([len(changed[i]) if i in changed else n for i, n in enumerate(columns[k].to_pylist())], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

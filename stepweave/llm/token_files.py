@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import partitions, shared_dir, small_batches, stored
+from stepweave.llm.common import partitions, shared_dir, small_batches, stored, trimmed
 from stepweave.llm.tokens import column_bytes, default_path, encoder, mix64, with_end
 
 #: Keys in an index bucket on average; bits per key and level; levels before keys are listed as they are.
@@ -189,7 +189,7 @@ def write(docs: DataFrame, uri: str, tokenizer: str | None = None, end_id: int =
     ordered = docs.select("doc_id", "text").repartitionByRange(n_shards or partitions(spark), "doc_id").sortWithinPartitions("doc_id")
     # runs once: what follows reads the table
     with small_batches(spark):
-        entries = stored(ordered.mapInArrow(shard, f"doc_id {key_type}, occurrence long, shard long, first long, n long"), "entries")
+        entries = stored(ordered.mapInArrow(trimmed(shard), f"doc_id {key_type}, occurrence long, shard long, first long, n long"), "entries")
     sums = sorted((r[0], r[1], r[2]) for r in entries.groupBy("shard").agg(F.sum("n"), F.count(F.lit(1))).collect())  # one row a shard
     starts, total = {}, 0
     for number, n, _ in sums:
@@ -214,7 +214,7 @@ def write(docs: DataFrame, uri: str, tokenizer: str | None = None, end_id: int =
         return pa.table({"bucket": [bucket], "bytes": [size]})
 
     # a bucket gets about BUCKET_KEYS keys by their digest, however the keys are spread
-    built = entries.mapInArrow(bucketed, "bucket long, h long, shard long, first long, n long").groupBy("bucket").applyInArrow(index, "bucket long, bytes long")
+    built = entries.mapInArrow(trimmed(bucketed), "bucket long, h long, shard long, first long, n long").groupBy("bucket").applyInArrow(index, "bucket long, bytes long")
     built.agg(F.sum("bytes")).collect()
     return entries.select("doc_id", "occurrence")
 
@@ -282,8 +282,8 @@ def read(keys: DataFrame, uri: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(start), batch.column(3), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = partitions(spark)
-    found = keys.select("doc_id", "occurrence").mapInArrow(bucketed, f"doc_id {key_type}, bucket long, h long").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(places, f"doc_id {key_type}, shard long, first long, n long")
-    return found.repartition(n, "shard").sortWithinPartitions("shard", "first").mapInArrow(payload, f"doc_id {key_type}, start long, n_tokens long, ids_crc32 long")
+    found = keys.select("doc_id", "occurrence").mapInArrow(trimmed(bucketed), f"doc_id {key_type}, bucket long, h long").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(places), f"doc_id {key_type}, shard long, first long, n long")
+    return found.repartition(n, "shard").sortWithinPartitions("shard", "first").mapInArrow(trimmed(payload), f"doc_id {key_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,7 @@ def got_of(frame):
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in frame.collect()), key=str)
 
 
-@pytest.mark.parametrize(("most", "block"), [(1 << 25, 1 << 22), (0, 1 << 22), (50, 200), (1000, 1)], ids=["pairs", "singles", "large blocks", "all by joins"])
+@pytest.mark.parametrize(("most", "block"), [(1 << 24, 1 << 22), (0, 1 << 22), (50, 200), (1000, 1)], ids=["pairs", "singles", "large blocks", "all by joins"])
 def test_components(spark, monkeypatch, most, block):
     monkeypatch.setattr(jaccard, "MAX_FREQUENT", most)
     monkeypatch.setattr(jaccard, "BLOCK_TOKENS", block)
