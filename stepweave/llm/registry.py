@@ -17,9 +17,9 @@ QUERIES = {
     "op10_quality": quality.query,
 }
 
-#: Where SQL can express the query. DuckDB has no crc32, tokenizer, codec or fitted trees; tests/llm hold the others
-#: against brute force.
+#: Where SQL can express the query: it has no tokenizer, codec or fitted trees. tests/llm hold the others against brute force.
 ORACLE = {
+    "op1_sharding": sharding.ORACLE,
     "op4_chat_format": chat.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op6_ngram_jaccard": jaccard.ORACLE,

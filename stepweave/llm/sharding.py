@@ -52,3 +52,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return shard_documents(docs, 40).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
+
+
+#: The checksum is a fold over the bytes, with the table of the polynomial made by its rule.
+ORACLE = """
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+b AS (SELECT doc_id, n, list_transform(range(n), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT) AS b FROM h),
+d AS (SELECT doc_id, n + 16 AS size, xor(list_reduce(b, lambda a, x: xor(a // 256, t[(xor(a, x) % 256) + 1]), 4294967295::BIGINT), 4294967295)::BIGINT AS text_crc32 FROM b, tab),
+s AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total FROM d),
+p AS (SELECT doc_id, size, text_crc32, least(39, ((2 * before + size) * 40) // (2 * total))::INTEGER AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM p
+"""

@@ -22,6 +22,8 @@ PATTERNS = {
 def plain(text):
     out = []
     for k, kind in enumerate(pii.KINDS):
+        if kind == "email" and "@" not in (text or ""):
+            continue  # this plain search takes a time that grows with the square of a word
         for m in re.finditer(PATTERNS[kind], text or ""):
             d = re.sub("[^0-9]", "", m[0])
             ok = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else None, "card": 14 <= len(d) <= 19 and d == pii.luhn_fixed(d) if d else False, "phone": 10 <= len(d) <= 15}[kind]
