@@ -187,7 +187,7 @@ def break_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def walk(edges: DataFrame, starts: DataFrame, branch: str = "recipe_id", most: int = 1000) -> DataFrame:
     """branch, node, hop along NEXT edges from each branch's starts; a node is visited once, at its first hop."""
-    nexts = edges.filter("edge_type = 'NEXT'").select(branch, "from_id", "to_id").distinct()
+    nexts = cut(edges.filter("edge_type = 'NEXT'").select(branch, "from_id", "to_id").distinct())
     seen = cut(starts.select(branch, "node").distinct().withColumn("hop", F.lit(0)))
     front = seen
     for hop in range(1, most + 1):
