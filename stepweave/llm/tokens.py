@@ -14,7 +14,7 @@ import numpy as np
 
 #: Bytes handled at a time (a text may span several such blocks), bytes of joined chunks in one call of the library,
 #: slots of the chunk table, ids that it may hold.
-BLOCK, JOINED, SLOTS, MAX_IDS = 1 << 18, 1 << 16, 1 << 20, 1 << 23
+BLOCK, JOINED, SLOTS, MAX_IDS = 1 << 19, 1 << 16, 1 << 21, 1 << 24
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
