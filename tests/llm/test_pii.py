@@ -89,3 +89,33 @@ def test_redact(spark):
     got = {r.doc_id: r.text for r in out.collect()}
     assert out.columns == [*docs_of(spark, rows).columns, "spans"]
     assert got == {1: "é mail [EMAIL] now [IP]", 2: None, 3: "call [PHONE] now", 4: ""}
+
+
+def test_recall_by_kind(spark):
+    assert all(limit < float("inf") for limit in pii.fit(spark)[1].values())
+    fresh = pii.labelled_texts(3000, seed=78)
+    hit, total, wrong = Counter(), Counter(), Counter()
+    for r in pii.detect(docs_of(spark, [(i, t, "s") for i, (t, _) in enumerate(fresh)])).collect():
+        base, gold = set(map(tuple, r.base)), set(fresh[r.doc_id][1])
+        hit.update(pii.KINDS[k] for s, k, e in map(tuple, r.spans) if (s, e) in gold)
+        wrong.update(pii.KINDS[k] for s, k, e in map(tuple, r.spans) if (s, k, e) not in base and (s, e) not in gold)
+        for s, e in gold:
+            v = fresh[r.doc_id][0][s:e]
+            total["email" if re.search("@|at", v) else "ip" if ":" in v else "card" if len(re.sub("[^0-9]", "", v)) == 16 else "phone"] += 1
+    assert all(hit[k] / total[k] > 0.75 and wrong[k] <= 0.04 * hit[k] for k in pii.KINDS), (hit, wrong, total)
+
+
+def test_separated_cards_and_short_addresses(spark):
+    values = ["4111.1111.1111.1111", "4111_1111_1111_1111", "4111/1111/1111/1111", "2001:db8::8a2e:370:7334", "fe80::1", "2001:db8:85a3::", "::ffff:192.0.2.128"]
+    clean = ["Face::Bed", "1:2:3:4:5:6:7::8:9", "1::2::3", "std::dec", "fe80::1x"]
+    lead = {"card": "pay with card ", "ip": "ping host "}
+    kind = lambda v: "ip" if ":" in v else "card"
+    rows = [(i, f"{lead[kind(v)]}{v} dear son", "s") for i, v in enumerate(values)] + [(100 + i, f"lorem dear {v} son", "s") for i, v in enumerate(clean)]
+    got = {r.doc_id: {(rows[r.doc_id][1][s:e], pii.KINDS[k]) for s, k, e in map(tuple, r.spans)} if r.doc_id < 100 else r.spans for r in pii.detect(docs_of(spark, rows)).collect()}
+    assert all((v, kind(v)) in got[i] for i, v in enumerate(values)), got
+    assert all(not got[i] for i in got if i >= 100), got
+
+
+def test_labels_without_a_threshold(spark):
+    with pytest.raises(ValueError, match="card"):
+        pii.fit(spark, pii.labelled_texts(600, seed=3))
