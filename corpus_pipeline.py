@@ -9,10 +9,21 @@ from stepweave.llm import jaccard, mixing, packing, quality, secrets
 from stepweave.llm.common import stored
 
 
+def carried(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """docs with private names for the columns that a stage only carries, and these names; a stage's own can't clash with them."""
+    others = [f for f in docs.columns if f not in ("doc_id", "text", "source")]
+    return docs.select("doc_id", "text", "source", *[F.col(f).alias(f"_own_{f}") for f in others]), ("text", *[f"_own_{f}" for f in others])
+
+
+def given_back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, in its order, from rows that carry them."""
+    return rows.select(*[F.col(f) if f in ("doc_id", "text", "source") else F.col(f"_own_{f}").alias(f) for f in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or their host's verdict reject go."""
-    judged = quality.judge(docs, carry=tuple(f for f in docs.columns if f not in ("doc_id", "source")))
-    return judged.filter("kept").select(docs.columns)
+    own, carry = carried(docs)
+    return given_back(quality.judge(own, carry=carry).filter("kept"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +38,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are left out, kept, or repeated once, as the mix takes them."""
-    mixed = mixing.mix(docs, carry=tuple(f for f in docs.columns if f not in ("doc_id", "source")))
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    own, carry = carried(docs)
+    mixed = mixing.mix(own, carry=carry).filter("copies > 0")
+    return given_back(mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))), docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 from cases import docs_of
+from pyspark.sql import functions as F
 from test_jaccard import brute
 from test_tables import check_packing, check_mix, library, plain_quality  # noqa: F401
 
@@ -57,3 +58,18 @@ def test_no_documents(spark, no_docs):
         docs = stage(spark, docs, "")
     assert docs.collect() == []
     assert docs_of(spark, []).count() == 0
+
+
+def test_stages_keep_clashing_columns(spark, odd_docs):
+    from cases import clashing
+
+    wide = clashing(odd_docs).withColumns({n: F.concat(F.lit(f"{n} "), F.coalesce("text", F.lit(""))) for n in ("size", "target", "source_size", "word_chars", "n_words", "base_failed", "kept", "copies", "_copy", "_host", "_own_size")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        narrow = Counter((r.doc_id, r.text, r.source) for r in stage(spark, odd_docs, "").collect())
+        out = stage(spark, wide, "")
+        assert out.columns == wide.columns
+        got = out.collect()
+        assert Counter((r.doc_id, r.text, r.source) for r in got) == narrow, name
+        if name != "secret_scan":
+            assert all(r[n] == f"{n} {r.text or ''}" for r in got for n in ("size", "target", "source_size", "n_words", "kept", "_copy", "_own_size")), name
+        assert all(r["taken"] == "clash" for r in got), name
