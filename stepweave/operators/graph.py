@@ -6,6 +6,7 @@ they hold for any size; enumerating or breaking cycles works scope by scope, and
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -185,18 +186,22 @@ def break_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, edges.join(removed, "_edge", "left_semi").drop("_edge")
 
 
-def walk(edges: DataFrame, starts: DataFrame, branch: str = "recipe_id", most: int = 1000) -> DataFrame:
-    """branch, node, hop along NEXT edges from each branch's starts; a node is visited once, at its first hop."""
+def walk(edges: DataFrame, starts: DataFrame, branch: str = "recipe_id", most: int | None = None) -> DataFrame:
+    """branch, node, hop along NEXT edges from each branch's starts; a node is visited once, at its first hop.
+
+    Visited nodes end it. With `most`, a walk of more hops is an error.
+    """
     nexts = cut(edges.filter("edge_type = 'NEXT'").select(branch, "from_id", "to_id").distinct())
     seen = cut(starts.select(branch, "node").distinct().withColumn("hop", F.lit(0)))
     front = seen
-    for hop in range(1, most + 1):
+    for hop in itertools.count(1):
         step = front.join(nexts, [branch]).filter("node = from_id").select(branch, F.col("to_id").alias("node")).distinct()
         front = cut(step.join(seen, [branch, "node"], "left_anti").withColumn("hop", F.lit(hop)))
         if front.isEmpty():
-            break
+            return seen
+        if most is not None and hop > most:
+            raise ValueError(f"a walk has more than {most} hops")
         seen = cut(seen.unionByName(front))
-    return seen
 
 
 def empty_edges(spark: SparkSession) -> DataFrame:

@@ -194,3 +194,18 @@ def test_rules_are_checked(spark):
     assert got == {("one", "no reason"), ("three", "unknown class nowhere"), ("order rules", "form a cycle: crack -> mix -> crack"), ("p", "kind must be structural or parametric"), ("p", "needs at least two alternatives"), ("p", "unknown branch r9"), ("preference p / c", "quote not found"), ("rule two", "no step 7")}
     overlap = spark.createDataFrame([("Mix  eggs", "a"), ("mix eggs", "b"), ("x", "a")], "phrase string, cls string")
     assert [tuple(r) for r in gates.class_overlaps(overlap).collect()] == [("mix eggs", ["a", "b"])]
+
+
+def test_walk_is_whole(spark):
+    import inspect
+
+    import pytest
+
+    from stepweave.operators.graph import walk
+
+    edges = spark.createDataFrame([("b", f"n{i}", f"n{i + 1}", "NEXT") for i in range(5)], "recipe_id string, from_id string, to_id string, edge_type string")
+    starts = spark.createDataFrame([("b", "n0")], "recipe_id string, node string")
+    assert {(r.node, r.hop) for r in walk(edges, starts, most=5).collect()} == {(f"n{i}", i) for i in range(6)}
+    with pytest.raises(ValueError, match="more than 4 hops"):
+        walk(edges, starts, most=4)
+    assert inspect.signature(walk).parameters["most"].default is None
