@@ -1,9 +1,10 @@
 """A FLAC codec in NumPy: many frames are coded side by side, one array lane each.
 
 The encoder writes mono 8-bit streams: STREAMINFO with the MD5 of the samples, a SEEKTABLE with every frame, and frames
-of BLOCK samples with a fixed or linear predictor and one Rice partition. The decoder checks CRC-8 and CRC-16 of every
-frame and the MD5 of every stream; frames of any other kind (several channels, other sizes, several or escaped
-partitions, wasted bits, constant, verbatim) go one by one through `decode_frame`.
+of BLOCK samples with a fixed or linear predictor and one Rice partition. The decoder takes streams of 1 to 8 channels
+and 4 to 32 bits to PCM; it checks CRC-8 and CRC-16 of every frame and the MD5 of every stream that has one. Frames of
+another kind than the encoder's (several channels, other sizes, several or escaped partitions, wasted bits, constant,
+verbatim) go one by one through `decode_frame`.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ class Corrupt(ValueError):
     """A checksum, a reserved code or a length that doesn't fit."""
 
 
+class Unsupported(ValueError):
+    """A sound stream that isn't what is asked for: payloads are mono 8-bit streams."""
+
+
 def crc_table(width: int, poly: int) -> np.ndarray:
     top, out = 1 << (width - 1), []
     for i in range(256):
@@ -213,7 +218,7 @@ def metadata(media: bytes) -> dict:
         body = media[at + 4 : at + 4 + size]
         if kind == 0:
             packed = int.from_bytes(body[10:18], "big")
-            out |= {"block": int.from_bytes(body[:2], "big"), "rate": packed >> 44, "channels": (packed >> 41 & 7) + 1, "bits": (packed >> 36 & 31) + 1, "samples": packed & (1 << 36) - 1, "md5": body[18:34]}
+            out |= {"block": int.from_bytes(body[:2], "big"), "longest": int.from_bytes(body[7:10], "big"), "rate": packed >> 44, "channels": (packed >> 41 & 7) + 1, "bits": (packed >> 36 & 31) + 1, "samples": packed & (1 << 36) - 1, "md5": body[18:34]}
         elif kind == 3:
             out["seek"] = [(int.from_bytes(body[i : i + 8], "big"), int.from_bytes(body[i + 8 : i + 16], "big"), int.from_bytes(body[i + 16 : i + 18], "big")) for i in range(0, size - 17, 18) if body[i : i + 8] != b"\xff" * 8]
         at += 4 + size
@@ -322,7 +327,7 @@ def decode_lanes(buf: np.ndarray, start: np.ndarray, total: np.ndarray, size: np
     wide = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.int64)
 
     def field(at: np.ndarray, k) -> np.ndarray:
-        i = at >> 3
+        i = np.minimum(at >> 3, len(buf))  # what a lane of another kind would read behind the last frame
         return (wide[i] << 16 | wide[i + 1] << 8 | wide[i + 2]) >> (24 - (at & 7) - k) & ((1 << k) - 1)
 
     at = 8 * (start + head)
@@ -337,8 +342,8 @@ def decode_lanes(buf: np.ndarray, start: np.ndarray, total: np.ndarray, size: np
     for j in range(deepest):
         has = ok & (order > j)
         warm[j, has] = field(at[has] + 8 * (j + 1), 8).astype(np.uint8).view(np.int8)
-    for o, c in enumerate(FIXED):
-        for j, v in enumerate(c):
+    for o in range(1, min(deepest, len(FIXED) - 1) + 1):  # orders that no lane has need no rows
+        for j, v in enumerate(FIXED[o]):
             coef[j, ok & fixed & (order == o)] = v
     at = at + 8 * (1 + order)
     lane = np.flatnonzero(ok & lpc)
@@ -403,24 +408,41 @@ def frame_table(media: bytes, meta: dict) -> list[tuple[int, int, int, int]]:
         return [(s[0], meta["frames"] + s[1], e - s[1], s[2]) for s, e in zip(seek, ends, strict=True)]
     at, first, out = meta["frames"], 0, []
     while at < len(media):
-        channels, size = decode_frame(media[at:], meta["bits"])
+        window = meta["longest"] or 1 << 16
+        while True:  # only a frame's own bytes, as far as they are known
+            try:
+                channels, size = decode_frame(media[at : at + window], meta["bits"])
+                break
+            except (Corrupt, IndexError):
+                if at + window >= len(media):
+                    raise
+                window *= 2
         out.append((first, at, size, len(channels[0])))
         first, at = first + len(channels[0]), at + size
     return out
 
 
-def decode(media: list[bytes]) -> tuple[list[bytes], list[list[tuple[int, int, int, int]]]]:
-    """Unsigned bytes of mono 8-bit streams, with their frame tables; Corrupt where a checksum doesn't fit."""
+def interleaved(channels: list[list[int]], width: int) -> bytes:
+    """PCM of a frame: samples by time and channel, signed, little-endian, `width` bytes each."""
+    samples = np.array(channels, np.int64).T.astype("<i4")
+    return samples.reshape(-1, 1).view(np.uint8)[:, :width].tobytes()
+
+
+def decode_pcm(media: list[bytes]) -> tuple[list[bytes], list[list[tuple[int, int, int, int]]], list[dict]]:
+    """PCM of streams (see `interleaved`), their frame tables and their metadata; Corrupt where a checksum doesn't fit."""
     metas = [metadata(m) for m in media]
     tables = [frame_table(m, meta) for m, meta in zip(media, metas, strict=True)]
     doc = np.repeat(np.arange(len(media)), [len(t) for t in tables])
     flat = np.array([f for t in tables for f in t], np.int64).reshape(-1, 4)
     base = np.cumsum([0, *(len(m) for m in media)])
     buf = np.frombuffer(b"".join(media), np.uint8)
-    out = [bytearray(meta["samples"]) for meta in metas]
+    step = [meta["channels"] * (-(-meta["bits"] // 8)) for meta in metas]  # bytes of one time
+    out = [bytearray(meta["samples"] * k) for meta, k in zip(metas, step, strict=True)]
     order = np.argsort(-flat[:, 3], kind="stable")
-    for a in range(0, len(order), LANES):
-        lanes = order[a : a + LANES]
+    a = 0
+    while a < len(order):
+        lanes = order[a : a + max(1, BLOCK * LANES // max(int(flat[order[a], 3]), BLOCK))]
+        a += len(lanes)
         first, at, total, size = flat[lanes].T
         at = at + base[doc[lanes]]
         # only these frames' bytes
@@ -429,9 +451,29 @@ def decode(media: list[bytes]) -> tuple[list[bytes], list[list[tuple[int, int, i
         x, ok = decode_lanes(part, local, total, size, first // BLOCK)
         for i, lane in enumerate(lanes.tolist()):
             d, n = int(doc[lane]), int(size[i])
-            samples = x[:n, i] if ok[i] else np.array(decode_frame(part[local[i] : local[i] + total[i]].tobytes(), metas[d]["bits"])[0][0])
-            out[d][first[i] : first[i] + n] = (samples + 128).astype(np.uint8).tobytes()
-    for payload, meta in zip(out, metas, strict=True):
-        if hashlib.md5((np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()).digest() != meta["md5"]:
+            if ok[i] and step[d] == 1:
+                pcm = x[:n, i].astype(np.int8).tobytes()
+            else:
+                channels, _ = decode_frame(part[local[i] : local[i] + total[i]].tobytes(), metas[d]["bits"])
+                if len(channels) != metas[d]["channels"] or len(channels[0]) != n:
+                    raise Corrupt("a frame of another size")
+                pcm = interleaved(channels, step[d] // len(channels))
+            out[d][first[i] * step[d] : (first[i] + n) * step[d]] = pcm
+    for pcm, meta in zip(out, metas, strict=True):
+        if meta["md5"] != bytes(16) and hashlib.md5(pcm).digest() != meta["md5"]:  # zeros: not known
             raise Corrupt("MD5 of a stream")
-    return [bytes(p) for p in out], tables
+    return [bytes(p) for p in out], tables, metas
+
+
+def payload(pcm: bytes, meta: dict) -> bytes:
+    """The unsigned bytes of signed 8-bit mono samples."""
+    if (meta["channels"], meta["bits"]) != (1, 8):
+        raise Unsupported(f"{meta['channels']} channels of {meta['bits']} bits hold no payload")
+    return (np.frombuffer(pcm, np.uint8) ^ 0x80).tobytes()
+
+
+def decode(media: list[bytes]) -> tuple[list[bytes], list[list[tuple[int, int, int, int]]]]:
+    """Unsigned bytes of mono 8-bit streams, with their frame tables; Corrupt where a checksum doesn't fit, Unsupported for
+    any other stream."""
+    pcm, tables, metas = decode_pcm(media)
+    return [payload(p, meta) for p, meta in zip(pcm, metas, strict=True)], tables

@@ -40,6 +40,21 @@ def test_round_trips():
     assert len(streams[3]) < 0.95 * len(data[3]) and len(streams[-1]) < len(data[-1])
 
 
+@pytest.mark.parametrize("data", [[b"\0" * 64], [b"a" * 64], [bytes(range(64))], [b"\0" * 4096], [b"\0" * 64, b"b" * 4096], [b"\0" * 64] * 1500, [bytes(k * k % 251 for k in range(64))], [b"ab" * 64, b"\0" * 64]], ids=str)
+def test_groups_without_linear_predictors(data):
+    streams = flac.encode(data)
+    assert flac.decode(streams)[0] == data == [one_by_one(s) for s in streams]
+
+
+@pytest.mark.parametrize("n", [1, 511, 512, 513, 1024, 1025])
+def test_every_size_of_a_group(n):
+    """Short and long frames of every predictor, in groups that end before, at and after a full one."""
+    rng = np.random.default_rng(n)
+    kinds = [lambda k: np.zeros(k, np.uint8), lambda k: rng.integers(0, 256, k, dtype=np.uint8), lambda k: (np.arange(k) * 3 % 256).astype(np.uint8), lambda k: (np.sin(np.arange(k) / 3) * 90 + 128).astype(np.uint8)]
+    data = [kinds[i % 4](64 * (1 + i % 3)).tobytes() for i in range(n - 1)] + [kinds[3](1024).tobytes()]
+    assert flac.decode(flac.encode(data))[0] == data
+
+
 def test_linear_predictors_are_used():
     wave = (np.sin(np.arange(8192) / 2.3) * 100 + np.sin(np.arange(8192) / 7) * 20 + 128).astype(np.uint8).tobytes()
     stream = flac.encode([wave])[0]
@@ -132,9 +147,51 @@ def test_other_kinds_of_frames():
     assert [a - b for a, b in zip(*mid, strict=True)] == list(range(16))
 
 
+def whole_stream(frames, channels, bits, samples, pcm, rate=44100):
+    packed = rate << 44 | (channels - 1) << 41 | (bits - 1) << 36 | samples
+    info = (16).to_bytes(2, "big") * 2 + bytes(6) + packed.to_bytes(8, "big") + hashlib.md5(pcm).digest()
+    return b"fLaC" + bytes([0x80]) + len(info).to_bytes(3, "big") + info + b"".join(frames)
+
+
+def test_streams_of_other_formats(spark):
+    """Stereo with 16 bits and without seek points: PCM blocks, but no payload."""
+
+    def verbatim(values, bits):
+        def put(w):
+            w.put(0, 1), w.put(1, 6), w.put(0, 1)
+            for v in values:
+                w.put(v, bits)
+
+        return put
+
+    left, right = list(range(-300, -284)), list(range(1000, 1016))
+    pcm = np.array([left, right], "<i2").T.tobytes()
+    stream = whole_stream([frame(1, 16, 4, [verbatim(left, 16), verbatim(right, 16)])] * 3, 2, 16, 48, pcm * 3)
+    got, tables, _ = flac.decode_pcm([stream, flac.encode([b"x" * 64])[0], stream])
+    assert got[0] == got[2] == pcm * 3 and got[1] == bytes([ord("x") ^ 0x80]) * 64
+    assert [(f[0], f[3]) for f in tables[0]] == [(0, 16), (16, 16), (32, 16)]
+    with pytest.raises(flac.Unsupported):
+        flac.decode([stream])
+    rows = media.pcm_blocks(spark.createDataFrame([(1, 0, bytearray(stream))], "doc_id long, n_bytes long, media binary")).orderBy("block").collect()
+    assert [bytes(r.pcm) for r in rows] == [pcm] * 3 and [r.first_sample for r in rows] == [0, 16, 32]
+    bad = bytearray(stream)
+    bad[-1] ^= 1
+    with pytest.raises(flac.Corrupt):
+        flac.decode_pcm([bytes(bad)])
+
+
+@pytest.mark.parametrize("texts", [[None], [""], [None, ""], ["a"], ["a" * 5000, None], [" " * 64, "b" * 63, ""]], ids=str)
+def test_tables_of_short_texts(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in media.digests(media.pcm(media.encode_text(docs))).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        data = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.n_blocks) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), -(-len(data) // flac.BLOCK))
+
+
 def test_query_columns(spark, odd_docs, odd_rows, no_docs):
     stored = media.encode_text(clashing(odd_docs)).cache()
-    got = media.digests(stored).collect()
+    got = media.digests(media.pcm(stored)).collect()
     want = []
     for doc_id, text, _ in odd_rows:
         raw = (text or "").encode()
@@ -146,7 +203,7 @@ def test_query_columns(spark, odd_docs, odd_rows, no_docs):
     by_text = {}
     for r in got:
         assert by_text.setdefault(r.payload_sha256, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
-    assert media.digests(media.encode_text(no_docs)).collect() == []
+    assert media.digests(media.pcm(media.encode_text(no_docs))).collect() == []
 
 
 def test_pcm_blocks(spark, odd_docs, odd_rows, tmp_path):
