@@ -6,12 +6,16 @@ Trees boosted on labelled candidates score format and context (characters, digit
 and a threshold for each kind, calibrated on held-out labels for precision, selects the spans to add.
 
 All of it is one projection: regular expressions, array functions and CASE expressions; no shuffle, no Python. Pattern
-matching is linear in the text: loops are possessive, and a match can only begin where a run of its characters does.
+matching is linear in the text: loops are possessive, and a match can only begin where a run of its characters does. Places
+of matches come from running sums and candidates meet base spans by one sort and a running maximum (see `running`), so
+the work follows the number of matches and not its square. Expressions are built as SQL text: made call by call, their
+thousands of nodes would take the driver longer than the parser.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import random
 
 import numpy as np
@@ -36,7 +40,7 @@ HEX = "[0-9A-Fa-f]{1,4}"
 TAIL = rf"(?:(?:{HEX}:){{0,5}}[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}|{HEX}(?::{HEX}){{0,6}})"
 #: Generators of candidates, by kind.
 LOOSE = {
-    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}|@) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]{1,63}+){1,8}+",
+    "email": r"(?i)(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\{at\}|@) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]++)++",
     "ip": rf"(?<![0-9A-Fa-f:])(?:{HEX}:){{5,7}}{HEX}(?![0-9A-Fa-f:])|(?<![0-9A-Za-z_:])(?!(?:::)?(?:{HEX}::?){{7}}{HEX})(?:{HEX}(?::{HEX}){{0,6}}::{TAIL}?|::{TAIL})(?![0-9A-Za-z_]|:[0-9A-Za-z:])",
     "card": r"(?<![0-9])[0-9]{4}([._/-])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}(?![0-9])",
     "phone": r"(?<![0-9+])\(?[0-9]{3}\)?[\x20./-]{1,2}[0-9]{3}[\x20./-][0-9]{4}(?![0-9])",
@@ -64,54 +68,110 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def matches(text: Column, pattern: str) -> Column:
+_names = itertools.count()
+
+
+def with_value(value: str, body) -> str:
+    """Like let, of SQL text."""
+    name = f"v{next(_names)}"
+    return f"get(transform(array({value}), {name} -> {body(name)}), 0)"
+
+
+def pattern(p: str) -> str:
+    return f"r'{p}'"
+
+
+#: Elements of an array that `running` folds one after another.
+RUN = 64
+
+
+def running(values: str, plus, levels: int = 3) -> str:
+    """Running results (plus: sum or maximum, say) of an array of longs without null, in steps of RUN elements.
+
+    An array that a fold extends is copied by each step. Here only pieces of RUN elements are folded so, then their last
+    results (again in pieces, `levels` deep), and each piece is moved on by the result before it.
+    """
+    a, x, i, y = (f"{n}{next(_names)}" for n in "axiy")
+    fold = lambda v: f"aggregate({v}, cast(array() as array<bigint>), ({a}, {x}) -> concat({a}, array(if(size({a}) = 0, {x}, {plus(f'get({a}, size({a}) - 1)', x)}))))"
+    if not levels:
+        return fold(values)
+
+    def pieces(v: str) -> str:
+        cut = f"transform(sequence(0, cast(floor((size({v}) - 1) / {RUN}) as int)), {i} -> {fold(f'slice({v}, {i} * {RUN} + 1, {RUN})')})"
+        ahead = lambda p: running(f"transform({p}, {x} -> get({x}, size({x}) - 1))", plus, levels - 1)
+        moved = lambda p, h: f"flatten(transform({p}, ({x}, {i}) -> if({i} = 0, {x}, transform({x}, {y} -> {plus(f'get({h}, {i} - 1)', y)}))))"
+        return with_value(cut, lambda p: with_value(ahead(p), lambda h: moved(p, h)))
+
+    return with_value(values, lambda v: f"if(size({v}) <= {RUN}, {fold(v)}, {pieces(v)})")
+
+
+def add(a: str, b: str) -> str:
+    return f"{a} + {b}"
+
+
+def most(a: str, b: str) -> str:
+    return f"greatest({a}, {b})"
+
+
+def matches(text: str, regex: str) -> str:
     """Leftmost non-overlapping matches with code point offsets and what stands around them. text has no MARK."""
-    none = F.array().cast("array<int>")
-    parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK)
-    ends = lambda p: F.aggregate(p, none, lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + F.length(x))))
-    odd = lambda p: F.when(F.size(p) > 2, F.sequence(F.lit(1), F.size(p) - 2, F.lit(2))).otherwise(none)
-    row = lambda p, e: lambda i: F.struct(F.get(e, i - 1).alias("start"), F.get(e, i).alias("end"), F.get(p, i).alias("v"), F.right(F.get(p, i - 1), F.lit(CONTEXT)).alias("before"), F.left(F.get(p, i + 1), F.lit(1)).alias("after"))
-    return let(parts, lambda p: let(ends(p), lambda e: F.transform(odd(p), row(p, e))))
+    parts = f"split(regexp_replace({text}, {pattern(regex)}, '{MARK}$0{MARK}'), '{MARK}')"
+    ends = lambda p: running(f"transform({p}, x -> cast(length(x) as bigint))", add)
+    row = lambda p, e: f"named_struct('start', cast(get({e}, i - 1) as int), 'end', cast(get({e}, i) as int), 'v', get({p}, i), 'before', right(get({p}, i - 1), {CONTEXT}), 'after', left(get({p}, i + 1), 1))"
+    # a text without a match is one part
+    found = lambda p: f"if(size({p}) > 2, {with_value(ends(p), lambda e: f'transform(sequence(1, size({p}) - 2, 2), i -> {row(p, e)})')}, cast(array() as {SPAN}))"
+    return with_value(parts, found)
+
 
+def uncovered(found: str, base: str) -> str:
+    """The spans of `found` that no single span of `base` covers; both in order of start, as is the result.
 
-def digits(v: Column) -> Column:
-    return F.regexp_replace(v, F.lit("[^0-9]"), F.lit(""))
+    Sorted together, a base span before a candidate that starts with it; a candidate is covered if the furthest end of
+    the base spans before it isn't less than its own.
+    """
+    mixed = f"array_sort(concat(transform({base}, b -> named_struct('start', b.start, 'i', -1, 'end', b.end)), transform({found}, (x, i) -> named_struct('start', x.start, 'i', i, 'end', x.end))))"
+    reach = lambda m: running(f"transform({m}, x -> cast(if(x.i < 0, x.end, -1) as bigint))", most)
+    open_ = lambda m, r: f"filter(transform({m}, (x, j) -> if(x.i >= 0 and get({r}, j) < x.end, x.i, null)), i -> i is not null)"
+    kept = with_value(mixed, lambda m: with_value(reach(m), lambda r: f"transform({open_(m, r)}, i -> get({found}, i))"))
+    return f"if(size({found}) = 0 or size({base}) = 0, {found}, {kept})"
 
 
-def valid(kind: str, v: Column) -> Column:
+def digits(v: str) -> str:
+    return f"regexp_replace({v}, '[^0-9]', '')"
+
+
+def valid(kind: str, v: str) -> str:
     if kind == "ip":
-        return v.rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$")
+        return f"{v} rlike {pattern(rf'^{BYTE}(?:\.{BYTE}){{3}}$')}"
     if kind == "card":
-        return F.length(digits(v)).between(14, 19) & F.call_function("luhn_check", digits(v))
+        return f"(length({digits(v)}) between 14 and 19) and luhn_check({digits(v)})"
     if kind == "phone":
-        return F.length(digits(v)).between(10, 15)
-    return F.lit(True)
+        return f"length({digits(v)}) between 10 and 15"
+    return "true"
 
 
-def base_columns(text: Column) -> dict[str, Column]:
+def base_columns(text: str) -> dict[str, Column]:
     """Base spans by kind; text has no MARK."""
-    none, digit = F.array().cast(SPAN), F.col("_digit")
-    asks = {"email": F.contains(text, F.lit("@")), "ip": digit & F.contains(text, F.lit(".")), "card": digit, "phone": digit & F.contains(text, F.lit("+"))}
-    holds = lambda k: lambda x: valid(k, x["v"])
-    return {f"_{k}": F.when(asks[k], F.filter(matches(text, BASE[k]), holds(k))).otherwise(none) for k in KINDS}
+    asks = {"email": f"contains({text}, '@')", "ip": f"_digit and contains({text}, '.')", "card": "_digit", "phone": f"_digit and contains({text}, '+')"}
+    return {f"_{k}": F.expr(f"if({asks[k]}, filter({matches(text, BASE[k])}, s -> {valid(k, 's.v')}), cast(array() as {SPAN}))") for k in KINDS}
 
 
-def loose_columns(text: Column) -> dict[str, Column]:
-    none, digit = F.array().cast(SPAN), F.col("_digit")
-    asks = {"email": F.col("_at"), "ip": F.contains(text, F.lit("::")) | (digit & F.contains(text, F.lit(":"))), "card": digit, "phone": digit}
-    return {f"_loose_{k}": F.when(asks[k], matches(text, LOOSE[k])).otherwise(none) for k in KINDS}
+def loose_columns(text: str) -> dict[str, Column]:
+    asks = {"email": "_at", "ip": f"contains({text}, '::') or (_digit and contains({text}, ':'))", "card": "_digit", "phone": "_digit"}
+    return {f"_loose_{k}": F.expr(f"if({asks[k]}, {matches(text, LOOSE[k])}, cast(array() as {SPAN}))") for k in KINDS}
 
 
-def features(kind: str, x: Column) -> Column:
-    v, before = x["v"], x["before"]
-    count = lambda p: F.regexp_count(v, F.lit(p))
-    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+def features(kind: str, x: str) -> str:
+    v, before = f"{x}.v", f"{x}.before"
+    count = lambda p: f"regexp_count({v}, {pattern(p)})"
+    flag = lambda c: f"coalesce({c}, false)"
+    said = lambda p: flag(f"{before} rlike {pattern(p)}")
     values = {
-        "kind": F.lit(KINDS.index(kind)), "chars": F.length(v), "digits": count("[0-9]"), "letters": count("[A-Za-z]"), "separators": count("[^0-9A-Za-z]"), "dots": count(r"\."), "colons": count(":"), "parens": count(r"[(\[{]"),
-        "luhn": flag(F.call_function("luhn_check", digits(v))), "joined_left": flag(before.rlike(r"[A-Za-z0-9._:/-]$")), "joined_right": flag(x["after"].rlike(r"^[A-Za-z0-9_:/-]")),
-        "indexed": flag(before.rlike(r"[A-Za-z0-9_)\]]\[$")),
+        "kind": str(KINDS.index(kind)), "chars": f"length({v})", "digits": count("[0-9]"), "letters": count("[A-Za-z]"), "separators": count("[^0-9A-Za-z]"), "dots": count(r"\."), "colons": count(":"), "parens": count(r"[(\[{]"),
+        "luhn": flag(f"luhn_check({digits(v)})"), "joined_left": said(r"[A-Za-z0-9._:/-]$"), "joined_right": flag(f"{x}.after rlike {pattern(r'^[A-Za-z0-9_:/-]')}"), "indexed": said(r"[A-Za-z0-9_)\]]\[$"),
+        **{n: said(p) for n, p in WORDS.items()},
     }
-    return F.struct(*[c.cast("double").alias(n) for n, c in values.items()], *[flag(before.rlike(p)).cast("double").alias(n) for n, p in WORDS.items()])
+    return "named_struct(" + ", ".join(f"'{n}', cast({c} as double)" for n, c in values.items()) + ")"
 
 
 def with_spans(docs: DataFrame, text: Column, model: bool) -> DataFrame:
@@ -119,15 +179,14 @@ def with_spans(docs: DataFrame, text: Column, model: bool) -> DataFrame:
     out = docs.withColumn("_text", F.coalesce(text, F.lit("")))
     out = out.withColumn("_text", F.when(F.contains("_text", F.lit(MARK)), F.translate("_text", MARK, STAND_IN)).otherwise(F.col("_text")))
     out = out.withColumns({"_digit": F.col("_text").rlike("[0-9]"), "_at": F.col("_text").rlike(r"(?i)[(\[{]at[)\]}]|@")})
-    out = out.withColumns(base_columns(F.col("_text")))
-    span = lambda k: lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(k)).alias("k"), x["end"].alias("end"))
-    out = out.withColumn("_base", F.array_sort(F.concat(*[F.transform(f"_{k}", span(k)) for k in KINDS])))
+    found = {**base_columns("_text"), **(loose_columns("_text") if model else {})}
+    out = out.withColumns(found)
+    spans = ", ".join(f"transform(_{k}, x -> named_struct('start', x.start, 'k', {i}, 'end', x.end))" for i, k in enumerate(KINDS))
+    out = out.withColumn("_base", F.expr(f"array_sort(concat({spans}))"))
     if model:
-        out = out.withColumns(loose_columns(F.col("_text")))
         # what a base span already covers is no candidate
-        fresh = lambda x: ~F.exists("_base", lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"]))
-        rated = lambda k: F.transform(F.filter(f"_loose_{k}", fresh), lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(k)).alias("k"), x["end"].alias("end"), features(k, x).alias("f")))
-        out = out.withColumns({f"_rated_{k}": rated(k) for k in KINDS})
+        rated = lambda i, k: F.expr(f"transform({uncovered(f'_loose_{k}', '_base')}, c -> named_struct('start', c.start, 'k', {i}, 'end', c.end, 'f', {features(k, 'c')}))")
+        out = out.withColumns({f"_rated_{k}": rated(i, k) for i, k in enumerate(KINDS)})
     return out
 
 
@@ -233,38 +292,54 @@ def detect(docs: DataFrame, model: tuple[list, dict[str, float]] | None = None,
     """One row per row of docs: doc_id, base and spans (arrays of struct(start, k, end), k an index of KINDS, by start,
     kind and end; code points, end exclusive), `carry`.
 
-    A null or empty text has no spans. Repeated rows are alike; other columns of docs play no part.
+    A null or empty text has no spans. Repeated rows are alike, an empty table gives an empty result, and texts of any
+    length are searched whole, in a time that follows their length and number of matches. Spans of several kinds at one
+    place are all listed. Other columns of docs play no part.
     """
     fitted, limits = model or fit(docs.sparkSession)
     rows = with_spans(docs.select("doc_id", "text", *[F.col(c).alias(f"_carry_{c}") for c in carry]), F.col("text"), True)
 
+    score = " + ".join(trees.sql(t, lambda f: f"x.f.{FEATURES[f]}") for t in fitted)
+
     def chosen(k: str) -> Column:
-        score = lambda x: functools.reduce(lambda a, b: a + b, [trees.column(t, lambda f: x["f"][FEATURES[f]]) for t in fitted])
-        picked = F.filter(f"_rated_{k}", lambda x: score(x) >= limits[k])
-        return F.transform(picked, lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end")))
+        return F.expr(f"transform(filter(_rated_{k}, x -> {score} >= {limits[k]!r}D), x -> named_struct('start', x.start, 'k', x.k, 'end', x.end))")
 
-    spans = F.array_sort(F.array_distinct(F.concat("_base", *[chosen(k) for k in KINDS])))
+    spans = F.array_sort(F.concat("_base", *[chosen(k) for k in KINDS]))  # none twice: a chosen one isn't a base one
     return rows.select("doc_id", F.col("_base").alias("base"), spans.alias("spans"), *[F.col(f"_carry_{c}").alias(c) for c in carry if c not in ("doc_id", "base", "spans")])
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with each run of overlapping spans replaced by the kind of its first one in brackets."""
-    tag = lambda k: F.element_at(F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS]), k + 1)
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def redacted(text: str, spans: str) -> Column:
+    """The text with each run of overlapping spans replaced by the kind of its first one in brackets.
+
+    A span begins a run if it starts at or behind the furthest end before it. What stays is cut from blocks of the text:
+    a cut from a whole text counts its characters from the start, each time.
+    """
+    block = 512
+    tags = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
+
+    def part(b: str, start: str, end: str) -> str:
+        first, last = f"cast(floor({start} / {block}) as int)", f"cast(floor({end} / {block}) as int)"
+        inside = f"substring(get({b}, {first}), {start} % {block} + 1, {end} - {start})"
+        head, tail = f"substring(coalesce(get({b}, {first}), ''), {start} % {block} + 1, {block})", f"substring(coalesce(get({b}, {last}), ''), 1, {end} % {block})"
+        across = f"concat({head}, array_join(slice({b}, {first} + 2, greatest({last} - {first} - 1, 0)), ''), {tail})"
+        return f"if({end} <= {start}, '', if({first} = {last}, {inside}, {across}))"
 
-    def step(a: Column, s: Column) -> Column:
-        new = s["start"] >= a["at"]
-        gap = F.when(new, F.concat(F.substring(text, a["at"] + 1, s["start"] - a["at"]), tag(s["k"]))).otherwise("")
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], gap).alias("out"))
+    def joined(b: str, r: str) -> str:
+        before = f"if(i = 0, 0, cast(get({r}, i - 1) as int))"
+        opens = f"filter(transform({spans}, (x, i) -> if(x.start >= {before}, named_struct('at', {before}, 'to', x.start, 'k', x.k), null)), x -> x is not null)"
+        pieces = f"array_join(transform({opens}, x -> concat({part(b, 'x.at', 'x.to')}, get(array({tags}), x.k))), '')"
+        return f"concat({pieces}, {with_value(f'cast(get({r}, size({r}) - 1) as int)', lambda e: part(b, e, f'length({text})'))})"
 
-    return F.aggregate(spans, begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    blocks = f"regexp_extract_all({text}, {pattern(f'(?s).{{1,{block}}}')}, 0)"
+    reach = running(f"transform({spans}, x -> cast(x.end as bigint))", most)
+    return F.expr(with_value(blocks, lambda b: with_value(reach, lambda r: joined(b, r))))
 
 
 def redact(docs: DataFrame, model: tuple[list, dict[str, float]] | None = None) -> DataFrame:
-    """docs with all detected spans in text replaced; a null text stays null."""
+    """docs with all detected spans in text replaced; a null text stays null. Rows, columns and their order are those of docs."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     found = detect(docs.withColumnsRenamed({c: f"_own_{c}" for c in others}), model, ("text", *[f"_own_{c}" for c in others]))
-    return found.withColumn("text", F.when(F.size("spans") > 0, redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))).select("doc_id", "text", *[F.col(f"_own_{c}").alias(c) for c in others]).select(docs.columns)
+    return found.withColumn("text", F.when(F.size("spans") > 0, redacted("text", "spans")).otherwise(F.col("text"))).select("doc_id", "text", *[F.col(f"_own_{c}").alias(c) for c in others]).select(docs.columns)
 
 
 def listed(spans: str) -> Column:
@@ -276,4 +351,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     of = lambda i: lambda s: s["k"] == i
     counts = [F.size(F.filter("base", of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    n_spans, n_added = F.size("spans").cast("long"), (F.size("spans") - F.size("base")).cast("long")
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"), n_spans.alias("n_spans"), n_added.alias("n_added"))

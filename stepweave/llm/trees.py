@@ -80,14 +80,12 @@ def scale(tree: Tree, by: float) -> Tree:
     return (*tree[:2], scale(tree[2], by), scale(tree[3], by)) if isinstance(tree, tuple) else tree * by
 
 
-def column(tree: Tree, feature: Callable[[int], object]):
-    """The tree as a Spark column over the columns that `feature` gives."""
-    from pyspark.sql import functions as F
-
+def sql(tree: Tree, feature: Callable[[int], str]) -> str:
+    """The tree as SQL text over the values that `feature` names."""
     if not isinstance(tree, tuple):
-        return F.lit(float(tree))
+        return f"{float(tree)!r}D"
     f, t, a, b = tree
-    return F.when(feature(f) <= t, column(a, feature)).otherwise(column(b, feature))
+    return f"if({feature(f)} <= {float(t)!r}D, {sql(a, feature)}, {sql(b, feature)})"
 
 
 def calibrate(score: np.ndarray, y: np.ndarray, precision: float) -> float:

@@ -102,7 +102,7 @@ def test_recall_by_kind(spark):
         for s, e in gold:
             v = fresh[r.doc_id][0][s:e]
             total["email" if re.search("@|at", v) else "ip" if ":" in v else "card" if len(re.sub("[^0-9]", "", v)) == 16 else "phone"] += 1
-    assert all(hit[k] / total[k] > 0.75 and wrong[k] <= 0.04 * hit[k] for k in pii.KINDS), (hit, wrong, total)
+    assert all(hit[k] / total[k] >= 0.9 and wrong[k] <= 0.04 * hit[k] for k in pii.KINDS), (hit, wrong, total)
 
 
 def test_separated_cards_and_short_addresses(spark):
@@ -119,3 +119,56 @@ def test_separated_cards_and_short_addresses(spark):
 def test_labels_without_a_threshold(spark):
     with pytest.raises(ValueError, match="card"):
         pii.fit(spark, pii.labelled_texts(600, seed=3))
+
+
+def test_many_matches_in_one_text(spark):
+    """200,000 matches of every kind of work: places, base spans over candidates, and cuts of the text."""
+    import time
+
+    unit = "a.b@c.de 1.2.3.4 fe80::1 x(at)y.com "
+    text, begun = "é" + unit * 50_000, time.time()
+    docs = docs_of(spark, [(1, text, "s")])
+    r = pii.detect(docs).collect()[0]
+    assert len(r.base) == 100_000 and [tuple(x) for x in r.base[:2]] == [(1, 0, 9), (10, 1, 17)] and tuple(r.base[-1]) == (1 + len(unit) * 49_999 + 9, 1, 1 + len(unit) * 49_999 + 16)
+    assert len(r.spans) >= 150_000
+    assert pii.redact(docs).collect()[0].text.startswith("é[EMAIL] [IP] ")
+    assert time.time() - begun < 120
+
+
+def test_running_and_uncovered(spark):
+    rng = random.Random(3)
+    rows = [[rng.randrange(100) for _ in range(n)] for n in (0, 1, 2, 63, 64, 65, 129, 4096, 4097, 20_000)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, v array<long>")
+    import itertools
+
+    got = df.select("i", F.expr(pii.running("v", pii.add)).alias("sums"), F.expr(pii.running("v", pii.most)).alias("tops")).collect()
+    for r in got:
+        assert r.sums == list(itertools.accumulate(rows[r.i])) and r.tops == list(itertools.accumulate(rows[r.i], max))
+
+    def spans(n):
+        out = sorted((s, s + rng.randrange(1, 12)) for s in (rng.randrange(300) for _ in range(n)))
+        return [(a, b, "", "", "") for a, b in out]
+
+    pairs = [(i, spans(rng.randrange(0, 200)), [(a, 0, b) for a, b, *_ in spans(rng.randrange(0, 100))]) for i in range(40)]
+    df = spark.createDataFrame(pairs, f"i int, found {pii.SPAN}, base array<struct<start:int,k:int,end:int>>")
+    for r in df.select("i", F.expr(pii.uncovered("found", "base")).alias("kept")).collect():
+        _, found, base = pairs[r.i]
+        assert sorted((k.start, k.end) for k in r.kept) == sorted((a, b) for a, b, *_ in found if not any(x <= a and y >= b for x, _, y in base))
+
+
+def test_redaction_against_plain(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("aé日\U0001f600 \n") for _ in range(rng.choice([0, 5, 511, 512, 513, 3000])))
+        spots = sorted((a, k, min(len(text), a + rng.randint(1, 700))) for a, k in ((rng.randrange(len(text)), rng.randrange(4)) for _ in range(rng.randint(1, 9)))) if text else []
+        rows.append((i, text, spots))
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<start:int,k:int,end:int>>").filter("size(spans) > 0")
+    for r in df.select("i", pii.redacted("text", "spans").alias("out")).collect():
+        _, text, spots = rows[r.i]
+        out, at = "", 0
+        for a, k, b in spots:
+            if a >= at:
+                out += text[at:a] + f"[{pii.KINDS[k].upper()}]"
+            at = max(at, b)
+        assert r.out == out + text[at:]
