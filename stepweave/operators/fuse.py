@@ -1,7 +1,8 @@
 """Fusing actions into a step graph: fingerprints, provenance, order, rules, bounds, dimensions.
 
-Actions carry `seq`, their global order (branch, step, sub-step); nothing relies on the order of rows. Provenance is a
-table with one row for each observation; `nested_provenance` folds it into arrays for small graphs and file sinks.
+Actions carry `seq`, their global order (branch, step, sub-step); nothing relies on the order of rows. Its high bits are
+the range of the order that a row was dealt to, so what follows the order of a branch works range by range (`neighbours`)
+and a branch of any length is no single task. Provenance is a table with one row for each observation.
 """
 
 from __future__ import annotations
@@ -13,6 +14,12 @@ from pyspark.sql.window import Window
 from stepweave.functions import nested
 from stepweave.functions import text as tx
 from stepweave.operators.dims import Dims
+from stepweave.operators.graph import cut
+
+#: Bits of seq that count rows inside a range of the order.
+RANGE_BITS = 33
+#: Observations in one row of `nested_provenance`.
+SEGMENT = 1000
 
 EDGE_COLUMNS = ("from_id", "to_id", "edge_type", "recipe_id", "weight", "rule_id", "reason", "bound_id", "temperature_c", "severity", "k2_transition", "seq")
 _TYPES = {"weight": "double", "temperature_c": "double", "seq": "long"}
@@ -25,11 +32,29 @@ def as_edges(df: DataFrame) -> DataFrame:
 
 
 def with_seq(actions: DataFrame) -> DataFrame:
-    """seq as an order that is the same on every machine: branches by id, steps, sub-steps, without one global sort task."""
-    rank = F.dense_rank().over(Window.orderBy("recipe_id"))
-    branches = actions.select("recipe_id").distinct().withColumn("_branch", rank)  # one row a branch
-    inside = F.row_number().over(Window.partitionBy("recipe_id").orderBy("step_number", "sub_step"))
-    return actions.join(branches, "recipe_id").withColumn("seq", F.col("_branch") * F.lit(1 << 32) + inside).drop("_branch")
+    """seq: larger for what is later in the order of branches (by id), steps and sub-steps; rows that tie in all three come
+    in any order. One shuffle into ranges and a sort inside each; written, so that all that follows sees one order."""
+    order = ["recipe_id", "step_number", "sub_step"]
+    n = int(actions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(actions.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id()))
+
+
+def neighbours(rows: DataFrame, columns: list[str], before: bool = False, key: str = "recipe_id") -> DataFrame:
+    """Rows (key, seq, ...) with `_near`, the struct of columns of the next row of the key by seq (before: the last one),
+    null at its end.
+
+    Inside a range that is a window over the key's rows there; between ranges, over one row for each key and range.
+    """
+    value = F.struct(*columns)
+    ranged = rows.withColumn("_range", F.shiftright("seq", RANGE_BITS))
+    inside = Window.partitionBy(key, "_range").orderBy("seq")
+    edge = (F.max_by if before else F.min_by)(value, "seq").alias("_edge")
+    across = Window.partitionBy(key).orderBy("_range")
+    step = F.lag if before else F.lead
+    ends = ranged.groupBy(key, "_range").agg(edge).select(F.col(key).alias("_key"), F.col("_range").alias("_at"), step("_edge").over(across).alias("_edge"))
+    near = ranged.withColumns({"_near": step(value).over(inside), "_last": step(F.lit(1)).over(inside).isNull()})
+    joined = near.join(ends, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at")))
+    return joined.withColumn("_near", F.when(F.col("_last"), F.col("_edge")).otherwise(F.col("_near"))).drop("_range", "_last", "_key", "_at", "_edge")
 
 
 def fingerprints(actions: DataFrame, aliases: Column) -> DataFrame:
@@ -43,13 +68,16 @@ def provenance(actions: DataFrame) -> DataFrame:
 
 
 def nodes(actions: DataFrame) -> DataFrame:
-    """One row a fingerprint: the first observation's values, the names of all, counts and mean confidence.
+    """One row a fingerprint: the first observation's values (of safety_bounds the first that aren't empty), the names of
+    all, counts and mean confidence.
 
     Aggregated before the shuffle; only distinct names are collected, never observations.
     """
     first = lambda c: F.min_by(c, "seq").alias(c)
-    kept = [c for c in ("node_type", "action_phrase", "pre", "post", "timing", "safety_bounds") if c in actions.columns]
-    base = actions.groupBy("node_id").agg(*map(first, kept), F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n_observations"), F.avg("confidence").alias("mean_confidence"))
+    kept = [first(c) for c in ("node_type", "action_phrase", "pre", "post", "timing") if c in actions.columns]
+    if "safety_bounds" in actions.columns:
+        kept.append(F.coalesce(F.min_by("safety_bounds", F.when(F.size("safety_bounds") > 0, F.col("seq"))), F.min_by("safety_bounds", "seq")).alias("safety_bounds"))
+    base = actions.groupBy("node_id").agg(*kept, F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n_observations"), F.avg("confidence").alias("mean_confidence"))
     named = [_ordered_names(actions, c) for c in ("ingredients", "tools")]
     shared = actions.select("node_id", "recipe_id").distinct().groupBy("node_id").agg(F.count(F.lit(1)).alias("n_recipes"))
     out = base.join(shared, "node_id")
@@ -67,15 +95,23 @@ def _ordered_names(actions: DataFrame, column: str) -> DataFrame:
 
 
 def nested_provenance(observations: DataFrame) -> DataFrame:
-    """node_id, provenance (array by seq): for graphs whose nodes have a bounded number of observations."""
+    """node_id, segment, provenance (array in order of seq): SEGMENT observations a row, so a node may have any number.
+
+    Observations are numbered by node inside ranges of seq, and ranges by their counts.
+    """
     entry = F.struct("seq", "recipe_id", "step_number", "source_span", "extractor_model", "verdict", "confidence")
-    return observations.groupBy("node_id").agg(F.array_sort(F.collect_list(entry)).alias("provenance"))
+    ranged = observations.withColumn("_range", F.shiftright("seq", RANGE_BITS))
+    ahead = Window.partitionBy("node_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("node_id", "_range").agg(F.count(F.lit(1)).alias("_n")).select("node_id", "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    turn = F.row_number().over(Window.partitionBy("node_id", "_range").orderBy("seq")) - 1
+    placed = ranged.withColumn("_turn", turn).join(counts, ["node_id", "_range"])
+    segment = F.floor((F.col("_turn") + F.col("_before")) / SEGMENT)
+    return placed.groupBy("node_id", segment.alias("segment")).agg(F.array_sort(F.collect_list(entry)).alias("provenance"))
 
 
 def next_edges(actions: DataFrame) -> DataFrame:
     """Consecutive actions of a branch; each (from, to, branch) once, at its first place."""
-    order = Window.partitionBy("recipe_id").orderBy("seq")
-    pairs = actions.select("recipe_id", "seq", F.col("node_id").alias("from_id"), F.lead("node_id").over(order).alias("to_id")).filter("to_id is not null")
+    pairs = neighbours(actions.select("recipe_id", "seq", "node_id"), ["node_id"]).select("recipe_id", "seq", F.col("node_id").alias("from_id"), F.col("_near.node_id").alias("to_id")).filter("to_id is not null")
     return as_edges(pairs.groupBy("from_id", "to_id", "recipe_id").agg(F.min("seq").alias("seq")).withColumn("edge_type", F.lit("NEXT")))
 
 

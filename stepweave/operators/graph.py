@@ -6,18 +6,31 @@ they hold for any size; enumerating or breaking cycles works scope by scope, and
 
 from __future__ import annotations
 
-import itertools
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges of a branch or scope up to which one task walks it or breaks its cycles.
+TASK_EDGES = 1 << 16
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir). A local one is set only where none is and the driver is
+    the only executor; on a cluster it would be no shared one, so that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="stepweave-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the folder that all executors share; a local one is set only where none is."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="stepweave-"))
+    """Materialise in the shared folder: a lost executor costs a task, and all that reads it sees the same rows."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -73,8 +86,41 @@ def order_scopes(edges: DataFrame) -> DataFrame:
 
 
 def cyclic_core(edges: DataFrame, scope: str = "scope", a: str = "from_id", b: str = "to_id") -> DataFrame:
-    """Edges that peeling leaves: sources go with their edges, round by round, until none is left. Acyclic scopes vanish."""
-    left = cut(edges.select(F.col(scope).alias("scope"), F.col(a).alias("from_id"), F.col(b).alias("to_id")).distinct())
+    """Edges that peeling leaves: nodes that nothing leads to, or that lead nowhere, go with their edges until none is left.
+
+    Acyclic scopes vanish. Scopes of up to TASK_EDGES edges are peeled in one task each, in a time by their edges; larger
+    ones by rounds of joins, as many as their longest path outside cycles.
+    """
+    distinct = cut(edges.select(F.col(scope).alias("scope"), F.col(a).alias("from_id"), F.col(b).alias("to_id")).distinct())
+    large = cut(distinct.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TASK_EDGES).select("scope"))
+
+    def peel(pdf):
+        after, before = {}, {}
+        for u, v in zip(pdf["from_id"], pdf["to_id"], strict=True):
+            after.setdefault(u, set()).add(v)
+            before.setdefault(v, set()).add(u)
+        todo = [n for n in {*after, *before} if n not in before or n not in after]
+        gone = set()
+        while todo:
+            n = todo.pop()
+            if n in gone:
+                continue
+            gone.add(n)
+            for near, back in ((after, before), (before, after)):
+                for m in near.get(n, ()):
+                    back[m].discard(n)
+                    if not back[m]:
+                        todo.append(m)
+        return pdf[~(pdf["from_id"].isin(gone) | pdf["to_id"].isin(gone))]
+
+    kinds = ", ".join(f"{c} {t}" for c, t in distinct.dtypes)
+    small = distinct.join(large, "scope", "left_anti").groupBy("scope").applyInPandas(peel, kinds)
+    if large.isEmpty():
+        return cut(small)
+    return cut(small.unionByName(_core_by_joins(cut(distinct.join(large, "scope", "left_semi").select("scope", "from_id", "to_id")))))
+
+
+def _core_by_joins(left: DataFrame) -> DataFrame:
     n = left.count()
     while n:
         # edges whose start is entered, and whose end is left, by edges of the same kind
@@ -124,21 +170,48 @@ def find_cycle(edges: list[tuple]) -> list[int]:
 
 
 def simple_cycles(edges: list[tuple], most: int = 3) -> list[list]:
-    """Up to `most` simple cycles as lists of nodes, each from its least node on, in order."""
+    """Up to `most` simple cycles as lists of nodes, each from its least node on.
+
+    Every cycle is looked for from its least node, over greater nodes that lead back to it. A node from which the search
+    came back empty stays closed until a node after it is on a found cycle, so the time for a cycle is at most linear.
+    """
     after: dict = {}
     for u, v in edges:
         after.setdefault(u, set()).add(v)
     out: list[list] = []
     for start in sorted(after):
-        stack = [(start, [start])]
+        if len(out) >= most:
+            break
+        path, closed, waiting = [start], {start}, {}
+        stack = [iter(sorted(v for v in after[start] if v >= start))]
+        found = [False]
         while stack and len(out) < most:
-            node, path = stack.pop()
-            for v in sorted(after.get(node, ()), reverse=True):
-                if v == start:
-                    out.append(path)
-                elif v > start and v not in path:
-                    stack.append((v, [*path, v]))
-    return out[:most]
+            v = next(stack[-1], None)
+            if v is None:
+                stack.pop()
+                node, hit = path.pop(), found.pop()
+                if hit:
+                    reopen = [node]
+                    while reopen:
+                        x = reopen.pop()
+                        if x in closed:
+                            closed.discard(x)
+                            reopen += waiting.pop(x, ())
+                    if found:
+                        found[-1] = True
+                else:
+                    for x in after.get(node, ()):
+                        if x >= start:
+                            waiting.setdefault(x, set()).add(node)
+            elif v == start:
+                out.append(list(path))
+                found[-1] = True
+            elif v not in closed:
+                path.append(v)
+                closed.add(v)
+                found.append(False)
+                stack.append(iter(sorted(x for x in after.get(v, ()) if x >= start)))
+    return out
 
 
 def cycles(scopes: DataFrame, most: int = 3) -> DataFrame:
@@ -159,7 +232,8 @@ def break_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Of a cycle a NEXT edge goes before a REQUIRES edge, the lightest first, ties by branch and nodes. The scope of all
     REQUIRES edges is cleared first, since its edges are in the branches' scopes too; then branches, each by itself.
-    Only scopes that peeling finds cyclic are gathered.
+    Only what peeling leaves is gathered: by scope, and by connected part where a scope has more than TASK_EDGES such
+    edges (a cycle never leaves its part, so that changes nothing).
     """
     edges = cut(edges.withColumn("_edge", F.monotonically_increasing_id()))
     removed = None
@@ -168,6 +242,12 @@ def break_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         scopes = order_scopes(left).filter(wanted)
         core = cyclic_core(scopes).distinct()
         todo = scopes.join(core, ["scope", "from_id", "to_id"], "left_semi").select("scope", "_edge", "from_id", "to_id", "edge_type", "recipe_id", "weight")
+        large = cut(todo.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TASK_EDGES).select("scope"))
+        todo = todo.withColumn("part", F.lit(0).cast("long"))
+        if not large.isEmpty():
+            spots = todo.join(large, "scope", "left_semi").select(F.xxhash64("scope", "from_id").alias("a"), F.xxhash64("scope", "to_id").alias("b"))
+            parts = components(spots).select(F.col("node").alias("_spot"), F.col("component").alias("_part"))
+            todo = todo.join(parts, F.xxhash64("scope", "from_id") == F.col("_spot"), "left").withColumn("part", F.coalesce("_part", F.col("part"))).drop("_spot", "_part")
 
         def drop(pdf):
             pdf = pdf.sort_values(["edge_type", "weight", "recipe_id", "from_id", "to_id", "_edge"], na_position="first", ignore_index=True)
@@ -180,28 +260,78 @@ def break_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
             return pd.DataFrame({"_edge": pd.Series(gone, dtype="int64")})
 
-        new = cut(todo.groupBy("scope").applyInPandas(drop, "_edge long").distinct())
+        new = cut(todo.groupBy("scope", "part").applyInPandas(drop, "_edge long").distinct())
         removed = new if removed is None else cut(removed.union(new).distinct())
     kept = edges.join(removed, "_edge", "left_anti").drop("_edge")
     return kept, edges.join(removed, "_edge", "left_semi").drop("_edge")
 
 
 def walk(edges: DataFrame, starts: DataFrame, branch: str = "recipe_id", most: int | None = None) -> DataFrame:
-    """branch, node, hop along NEXT edges from each branch's starts; a node is visited once, at its first hop.
+    """branch, node, hop along NEXT edges from each branch's starts; hop is the least number of edges from a start.
 
-    Visited nodes end it. With `most`, a walk of more hops is an error.
+    Branches of up to TASK_EDGES edges are walked in one task each; larger ones by joins, where chains (nodes with one
+    edge in and one out) are first shortened by pointer jumps, so that a long chain takes rounds by its logarithm. With
+    `most`, a walk of more hops is an error.
     """
     nexts = cut(edges.filter("edge_type = 'NEXT'").select(branch, "from_id", "to_id").distinct())
-    seen = cut(starts.select(branch, "node").distinct().withColumn("hop", F.lit(0)))
-    front = seen
-    for hop in itertools.count(1):
-        step = front.join(nexts, [branch]).filter("node = from_id").select(branch, F.col("to_id").alias("node")).distinct()
-        front = cut(step.join(seen, [branch, "node"], "left_anti").withColumn("hop", F.lit(hop)))
-        if front.isEmpty():
-            return seen
-        if most is not None and hop > most:
+    begin = cut(starts.select(branch, "node").distinct())
+    sizes = nexts.groupBy(branch).agg(F.count(F.lit(1)).alias("n"))
+    large = cut(sizes.filter(F.col("n") > TASK_EDGES).select(branch))
+    few, begun = nexts.join(large, branch, "left_anti"), begin.join(large, branch, "left_anti")
+    kinds = dict(nexts.dtypes)
+
+    def search(pdf):
+        import pandas as pd
+
+        own = pdf[branch].iloc[0]
+        after: dict = {}
+        for u, v in zip(pdf["from_id"], pdf["to_id"], strict=True):
+            if u is not None:
+                after.setdefault(u, []).append(v)
+        front = list(dict.fromkeys(v for u, v in zip(pdf["from_id"], pdf["to_id"], strict=True) if u is None))
+        hops, hop = dict.fromkeys(front, 0), 0
+        while front:
+            hop += 1
+            front = list(dict.fromkeys(v for u in front for v in after.get(u, ()) if v not in hops))
+            hops.update(dict.fromkeys(front, hop))
+        return pd.DataFrame({branch: [own] * len(hops), "node": list(hops), "hop": list(hops.values())}, columns=[branch, "node", "hop"])
+
+    rows = few.unionByName(begun.select(branch, F.lit(None).cast(kinds["from_id"]).alias("from_id"), F.col("node").cast(kinds["to_id"]).alias("to_id")))
+    out = rows.groupBy(branch).applyInPandas(search, f"{branch} {kinds[branch]}, node {kinds['to_id']}, hop int")
+    if not large.isEmpty():
+        out = out.unionByName(_walk_by_joins(nexts.join(large, branch, "left_semi"), begin.join(large, branch, "left_semi"), branch))
+    if most is not None:
+        out = cut(out)
+        if not out.filter(F.col("hop") > most).isEmpty():
             raise ValueError(f"a walk has more than {most} hops")
-        seen = cut(seen.unionByName(front))
+    return out
+
+
+def _walk_by_joins(nexts: DataFrame, starts: DataFrame, branch: str) -> DataFrame:
+    """Like walk, by rounds of joins: inner nodes of chains get their distance from the chain's head, heads theirs from the
+    starts over edges that stand for whole chains."""
+    at = [branch, "node"]
+    into = nexts.groupBy(branch, F.col("to_id").alias("node")).agg(F.count(F.lit(1)).alias("_in"), F.first("from_id").alias("head"))
+    outof = nexts.groupBy(branch, F.col("from_id").alias("node")).agg(F.count(F.lit(1)).alias("_out"))
+    inner = into.filter("_in = 1").join(outof.filter("_out = 1"), at).join(starts, at, "left_anti")
+    chain = cut(inner.select(*at, "head", F.lit(1).cast("long").alias("d")))
+    n, bound = chain.count(), 1
+    while bound <= n:  # a ring of inner nodes has no head and is never reached: jumps end by their number
+        up = chain.select(branch, F.col("node").alias("head"), F.col("head").alias("_head"), F.col("d").alias("_d"))
+        chain = cut(chain.join(up, [branch, "head"], "left").select(*at, F.coalesce("_head", "head").alias("head"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d"), F.col("_head").isNotNull().alias("_moved")))
+        moved = not chain.filter("_moved").isEmpty()
+        chain, bound = chain.drop("_moved"), 2 * bound
+        if not moved:
+            break
+    long = nexts.withColumnRenamed("from_id", "node").join(chain, at, "left").select(branch, F.coalesce("head", "node").alias("from_id"), "to_id", F.coalesce(F.col("d") + 1, F.lit(1)).alias("d"))
+    long = cut(long.join(chain.select(branch, F.col("node").alias("to_id")), [branch, "to_id"], "left_anti"))
+    known = front = cut(starts.withColumn("hop", F.lit(0).cast("long")))
+    while not front.isEmpty():
+        step = front.withColumnRenamed("node", "from_id").join(long, [branch, "from_id"]).groupBy(branch, F.col("to_id").alias("node")).agg(F.min(F.col("hop") + F.col("d")).alias("hop"))
+        better = cut(step.join(known.withColumnRenamed("hop", "_hop"), at, "left").filter("_hop is null or hop < _hop").select(*at, "hop"))
+        known, front = cut(known.join(better, at, "left_anti").unionByName(better)), better
+    inside = chain.join(known.withColumnRenamed("node", "head"), [branch, "head"]).select(*at, (F.col("hop") + F.col("d")).alias("hop"))
+    return known.unionByName(inside).withColumn("hop", F.col("hop").cast("int"))
 
 
 def empty_edges(spark: SparkSession) -> DataFrame:

@@ -93,8 +93,10 @@ def apply_merges(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> tuple
     """(mapping node -> representative, contracted edges, report) from the current `same` labels.
 
     Groups are taken largest first; one is skipped where its pairs disagree (not transitive), its members' blocks differ,
-    or folding it, on top of those folded before, would close a cycle in an order scope. The driver holds the labels'
-    groups only, which people made; each try runs on the cluster.
+    or folding it, on top of those folded before, would close a cycle in an order scope. Folding more never opens a cycle
+    between groups, so groups are tried together, twice as many after each success and half as many after a failure:
+    tries grow with the groups that are skipped and the logarithm of all. The driver holds the labels' groups only, which
+    people made; each try runs on the cluster.
     """
     spark = nodes.sparkSession
     labels = current_labels(labels, nodes)
@@ -105,9 +107,8 @@ def apply_merges(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> tuple
     members: dict = {}
     for r in sorted(blocks, key=lambda r: r["node_id"]):
         members.setdefault(r["component"], []).append(r)
-    kept: list[tuple[str, str]] = []
     report: list[dict] = []
-    merged = edges
+    todo: list[tuple[dict, list[tuple[str, str]]]] = []
     for component, rows in sorted(members.items(), key=lambda kv: (-len(kv[1]), kv[0])):
         entry = {"group": [r["action_phrase"] for r in rows], "nodes": [r["node_id"] for r in rows], "representative": reps[component], "reason": None}
         if component in broken:
@@ -115,15 +116,26 @@ def apply_merges(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> tuple
         elif len({r["block"] for r in rows}) > 1:
             entry["reason"] = "members differ in node type or transition"
         else:
-            tried = kept + [(r["node_id"], reps[component]) for r in rows]
-            candidate = cut(redirect(edges, spark.createDataFrame(tried, "node string, representative string")))
-            scopes = order_scopes(candidate)
-            if cyclic_core(scopes).isEmpty():
-                kept, merged = tried, candidate
-            else:
-                found = cycles(scopes).collect()
-                entry["reason"] = "order cycle: " + "; ".join(f"{r['scope']}: {' -> '.join(r['cycle'])}" for r in found)
+            todo.append((entry, [(r["node_id"], reps[component]) for r in rows]))
         report.append(entry)
+    kept: list[tuple[str, str]] = []
+    merged = edges
+
+    step = 1  # groups tried at a time
+    while todo:
+        mapping = spark.createDataFrame(kept + [pair for _, pairs in todo[:step] for pair in pairs], "node string, representative string")
+        candidate = redirect(edges, mapping)
+        scopes = order_scopes(candidate)
+        core = cyclic_core(scopes)
+        if core.isEmpty():
+            kept += [pair for _, pairs in todo[:step] for pair in pairs]
+            merged, todo, step = candidate, todo[step:], 2 * step
+        elif step > 1:
+            step //= 2
+        else:
+            todo[0][0]["reason"] = "order cycle: " + "; ".join(f"{r['scope']}: {' -> '.join(r['cycle'])}" for r in cycles(core).collect())
+            todo = todo[1:]
+    merged = cut(merged)
     return spark.createDataFrame(kept, "node string, representative string"), merged, report
 
 
