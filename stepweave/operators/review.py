@@ -26,6 +26,19 @@ def status(version: str) -> Column:
     return F.when(F.col("expected").isNull(), "open").when(~is_current(version), "outdated").otherwise("done")
 
 
+def first_open(queue: DataFrame, gold: DataFrame, version: str) -> DataFrame:
+    """The first step of the queue (KEY) that has no current review: one row, or none."""
+    done = gold.filter(status(version) == "done").select(*KEY)
+    return queue.join(done, KEY, "left_anti").orderBy(*KEY).limit(1)
+
+
+def visible(actions: DataFrame, branch: str | None = None, node_types: tuple[str, ...] = (), blind: DataFrame | None = None) -> DataFrame:
+    """Actions that a reviewer sees: of one branch or all, of some types or all, without the steps (KEY) to be done blind."""
+    rows = actions.filter(F.col("recipe_id") == branch) if branch else actions
+    rows = rows.filter(F.col("node_type").isin(*node_types)) if node_types else rows
+    return rows.join(blind.select(*KEY), KEY, "left_anti") if blind is not None else rows
+
+
 def clean_expected(expected: Column, aliases: Column) -> Column:
     conditions = lambda c: F.transform(nested.clean_conditions(F.transform(c, lambda x: F.struct(x["entity_id"].alias("entity_id"), x["k2_label"].alias("physics_state"), x["k2_label"].alias("k2_label"))), aliases), lambda x: F.struct(x["entity_id"].alias("entity_id"), x["k2_label"].alias("k2_label")))
     return F.struct(

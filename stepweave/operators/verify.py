@@ -18,8 +18,28 @@ from stepweave.operators.dims import Dims
 from stepweave.sources import schema as sc
 
 KEY = ["recipe_id", "step_number", "sub_step"]
-#: The questions a gate model scores.
-QUESTIONS = ("grounded", "states", "labels", "scope", "complete")
+# The keys under which a gate model's answer has the scores of its five questions, and its choices.
+QUESTIONS = ("node_type_matches", "preconditions_supported", "postconditions_supported", "entities_are_objects", "action_faithful")
+CHOICES = ("accept", "revise", "reject")
+# Parts of the names of errors, and of their messages, after which the next model is asked.
+RETRYABLE_TYPES = ("RateLimitError", "ServiceUnavailableError", "Timeout", "APIConnectionError", "InternalServerError", "OverloadedError", "NotFoundError", "InstructorRetryException", "IncompleteOutputException")
+RETRYABLE_WORDS = ("rate limit", "ratelimit", "too many requests", "resource_exhausted", "server error", "service unavailable", "overloaded", "timeout", "connection", "502", "503", "529", "not a valid model", "model not found")
+
+#: What each question asks of an action: the request that a gate model gets beside the action itself.
+ASKED = {
+    "node_type_matches": "Is the type of the action (a change of state, a move, or serving) the one that the step's text describes?",
+    "preconditions_supported": "Does the text say or clearly presuppose every state before the action?",
+    "postconditions_supported": "Does this action itself, as the text has it, bring about every state after it?",
+    "entities_are_objects": "Is every entity a thing of its own under its base name, and none a mere state or form of another?",
+    "action_faithful": "Does the phrase name only what the text says is done?",
+    "verdict": "Taken by itself, is the action to be accepted, revised or rejected?",
+}
+
+
+def request(step_text: str, action: dict, hint: str | None = None) -> dict:
+    """What a gate or critic model is asked: questions with their kind (a probability or a choice), text, action, hint."""
+    kind = {q: {"type": "noul", "instructions": ASKED[q]} for q in QUESTIONS} | {"verdict": {"type": "choice", "instructions": ASKED["verdict"], "choices": list(CHOICES)}}
+    return {"questions": kind, "step_text": step_text, "extraction": action, **({"revision_hint": hint} if hint else {})}
 
 
 class Retryable(Exception):
@@ -27,14 +47,14 @@ class Retryable(Exception):
 
 
 def is_retryable(error: Exception) -> bool:
-    """By type or wording: overload, time-outs, lost connections."""
-    said = f"{type(error).__name__} {error}".lower()
-    return isinstance(error, (Retryable, TimeoutError, ConnectionError)) or any(w in said for w in ("rate limit", "429", "503", "overloaded", "timeout", "timed out", "unavailable", "connection"))
+    """By type or wording: overload, time-outs, lost connections, answers that don't fit, models that aren't there."""
+    named = any(t in type(error).__name__ for t in RETRYABLE_TYPES)
+    return isinstance(error, (Retryable, TimeoutError, ConnectionError)) or named or any(w in str(error).lower() for w in RETRYABLE_WORDS)
 
 
 def call_with_fallback(models: list[tuple[str, Callable]], request, tries: int = 2, delay: float = 0.0, sleep: Callable[[float], None] = time.sleep):
     """(name, answer) of the first model that answers: each is tried a few times, waiting longer each time; an error that
-    a retry can't mend ends the call."""
+    neither a retry nor another model can mend ends the call."""
     last: Exception | None = None
     for name, model in models:
         for turn in range(tries):
@@ -120,7 +140,7 @@ def failed_checks(scores: Column, choice: Column, threshold: float) -> Column:
 def score_map(answers: dict) -> dict[str, float]:
     """Flat scores of a gate model's answer {question: {"noul": p}, "verdict": {"choice", "probabilities"}}; its shape is checked."""
     missing = [q for q in QUESTIONS if "noul" not in (answers.get(q) or {})]
-    if missing or "choice" not in (answers.get("verdict") or {}):
+    if missing or (answers.get("verdict") or {}).get("choice") not in CHOICES:
         raise ValueError(f"the gate model's answer lacks {missing or 'verdict'}")
     sure = (answers["verdict"].get("probabilities") or {}).get("accept")
     return {q: float(answers[q]["noul"]) for q in QUESTIONS} | {"verdict_accept": float(sure) if sure is not None else float(answers["verdict"]["choice"] == "accept")}

@@ -80,23 +80,18 @@ def store(g: Graph, path: str) -> None:
 
 
 def finalise(gold: DataFrame, steps: DataFrame, dims: Dims, labels: DataFrame | None = None, allow_unreviewed: bool = False, extracted: DataFrame | None = None) -> tuple[Graph, list[dict]]:
-    """(final graph, merge report) from reviewed steps. Blockers raise: steps not reviewed, actions out of scope, orders
-    against a rule, actions of no class."""
+    """(final graph, merge report) from reviewed steps. What `gates.blockers` finds raises: steps not reviewed (unless
+    allowed), actions that the scope rule would drop, orders against a rule, actions of no class, heat without its tick."""
     current = gold.filter(review.is_current(dims.definition_version))
-    left = steps.join(dims.excluded_df(steps.sparkSession).select("recipe_id"), "recipe_id", "left_anti").join(current, ["recipe_id", "step_number"], "left_anti")
-    if not allow_unreviewed and not left.isEmpty():
-        raise ValueError(f"{left.count()} steps are not reviewed")
     queue = steps.join(dims.excluded_df(steps.sparkSession).select("recipe_id"), "recipe_id", "left_anti")
     actions = review.gold_actions(current, queue, dims, extracted)
     scoped = scope.apply_scope(actions.withColumn("temperature_c", F.lit(None).cast("double")), dims)
-    out = scoped.filter("reason is not null")
-    if not out.isEmpty():
-        raise ValueError(f"the scope rule would drop reviewed actions: {[tuple(r) for r in out.select('recipe_id', 'step_number', 'reason').limit(5).collect()]}")
     complete, _ = scope.complete_to_goal(scope.in_scope(scoped), dims)
     g = fuse_graph(complete, dims)
-    for name, rows in (("against a rule", g.violations), ("of no class", g.unclassified)):
-        if not rows.isEmpty():
-            raise ValueError(f"{rows.count()} actions are {name}")
+    unclassified = g.unclassified.withColumn("cls", F.lit(None).cast("string"))
+    found = graph.cut(gates.blockers(queue, queue if allow_unreviewed else current, scoped, unclassified, g.violations, scope.in_scope(scoped).filter("node_type = 'Process'")))
+    if not found.isEmpty():
+        raise ValueError("; ".join(f"{r['kind']}: {r['n']} ({', '.join(r['some'])})" for r in found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set("subject")), 1, 5).alias("some")).orderBy("kind").collect()))
     if labels is None:
         return g, []
     mapping, edges, report = merge.apply_merges(g.nodes, g.edges, labels)

@@ -143,6 +143,55 @@ def savings(times: DataFrame, total_steps: int) -> DataFrame:
     return row.select(F.round(per, 1).alias("seconds_saved_per_step"), tx.percent(F.round(per), F.round("s")).alias("pct_saved_per_step"), F.round(F.col("s") * total_steps / 60, 1).alias("by_hand_minutes"), F.round(F.col("c") * total_steps / 60, 1).alias("corrected_minutes"))
 
 
+def nodes_of_steps(provenance: DataFrame) -> DataFrame:
+    """recipe_id, step_number, node_id: of a step's observations the last one counts."""
+    return provenance.groupBy(*KEY).agg(F.max_by("node_id", "seq").alias("node_id"))
+
+
+def safety_coverage(gold: DataFrame, provenance: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Reviewed steps that need a safety bound, and those whose node in the graph has one."""
+    wanted = gold.filter("expected.in_scope and expected.has_safety_bound").select(*KEY)
+    rows = wanted.join(nodes_of_steps(provenance), KEY, "left").join(nodes.select("node_id", (F.size("safety_bounds") > 0).alias("_has")), "node_id", "left")
+    has = F.count_if(F.coalesce("_has", F.lit(False)))
+    return rows.agg(F.count(F.lit(1)).alias("safety_expected"), has.alias("safety_present"), tx.percent(has, F.count(F.lit(1))).alias("safety_pct"))
+
+
+def in_rows(block: DataFrame, section: str) -> DataFrame:
+    """section, name, value of a block of one row, a row for each of its numbers."""
+    numbers = [c for c, t in block.dtypes if t in ("int", "bigint", "double") or t.startswith("decimal")]
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in numbers])
+    return block.select(F.lit(section).alias("section"), F.explode(pairs).alias("p")).select("section", "p.*")
+
+
+def correction(rows: DataFrame, queue: DataFrame | None = None, gold: DataFrame | None = None, version: str = "", run_id: str = "", auto_graph: tuple[DataFrame, DataFrame] | None = None, final_graph: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """The whole report on compared steps as rows (section, name, value): accuracy over all steps and by mode, effort, time
+    by mode, savings; with the queue and gold coverage; with graphs (nodes, edges) their summaries and difference."""
+    by_mode = accuracy(rows)
+    parts = [in_rows(by_mode.filter(F.col("mode").isNull()), "accuracy all")]
+    times = time_stats(rows)
+    for mode in ("corrected", "from_scratch"):
+        parts += [in_rows(by_mode.filter(F.col("mode") == mode), f"accuracy {mode}"), in_rows(times.filter(F.col("mode") == mode), f"time {mode}")]
+    parts += [in_rows(effort(rows), "effort")]
+    if queue is not None and gold is not None:
+        parts += [in_rows(savings(times, queue.count()), "savings"), in_rows(coverage(queue, gold, version, run_id), "coverage")]
+    if auto_graph and final_graph:
+        parts += [in_rows(graph_summary(*auto_graph), "graph auto"), in_rows(graph_summary(*final_graph), "graph final"), in_rows(graph_diff(auto_graph[0], final_graph[0]), "graph difference")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def report(sections: DataFrame, title: str = "Report") -> str:
+    """Rows (section, name, value) as a text of one table a section: what an evaluation prints."""
+    from stepweave.sources.sinks import markdown
+
+    by: dict[str, list[dict]] = {}
+    for r in sections.orderBy("section", "name").collect():  # a few numbers
+        by.setdefault(r["section"], []).append({"name": r["name"], "value": r["value"]})
+    return "\n".join([f"# {title}", "", *(markdown(s, rows) for s, rows in by.items())])
+
+
 def coverage(queue: DataFrame, gold: DataFrame, version: str, run_id: str) -> DataFrame:
     from stepweave.operators.review import is_current
 

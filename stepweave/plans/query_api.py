@@ -1,7 +1,7 @@
 """Read-only queries over a finished graph.
 
-The step contexts (node, states after it, bounds, what follows) are built once as a table, partitioned by nothing but
-their keys; every call is then a point filter. Unknown nodes and branches raise, as lookups do.
+The step contexts (node, states after it, bounds, what follows) are built once, in the shared folder, sorted by branch
+and node; every call is then a point filter over them. Unknown nodes and branches raise, as lookups do.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepweave.operators.graph import cut
+
 
 class GraphQuery:
     def __init__(self, nodes: DataFrame, edges: DataFrame, preferences: DataFrame | None = None, bounds: DataFrame | None = None):
@@ -27,7 +29,11 @@ class GraphQuery:
 
     @cached_property
     def step_context(self) -> DataFrame:
-        """recipe_id, node_id, action_phrase, post, bounds, next_ids: what `step` looks up."""
+        """recipe_id, node_id, node_type, action_phrase, pre, post, bounds, next_ids: what `step` looks up."""
+        return cut(self.contexts().repartitionByRange("recipe_id", "node_id").sortWithinPartitions("recipe_id", "node_id"))
+
+    def contexts(self) -> DataFrame:
+        """The rows of step_context as a plan."""
         after = self.nexts.groupBy("recipe_id", F.col("from_id").alias("node_id")).agg(F.array_sort(F.collect_set("to_id")).alias("next_ids"))
         out = self.on_branch.join(self.nodes.select("node_id", "node_type", "action_phrase", "pre", "post"), "node_id").join(after, ["recipe_id", "node_id"], "left")
         bounds = self.bound_rows.groupBy("node_id").agg(F.array_sort(F.collect_set("bound_id")).alias("bounds"))
@@ -82,6 +88,17 @@ class GraphQuery:
             raise ValueError(f"node {node_id} is not on branch {branch}")
         return row
 
+    def around(self) -> DataFrame:
+        """recipe_id, node_id, previous_ids, next_ids: a node's neighbours on each of its branches, sorted."""
+        at, none = ["recipe_id", "node_id"], F.array().cast("array<string>")
+        side = lambda own, other, name: self.nexts.groupBy("recipe_id", F.col(own).alias("node_id")).agg(F.array_sort(F.collect_set(other)).alias(name))
+        both = side("to_id", "from_id", "previous_ids").join(side("from_id", "to_id", "next_ids"), at, "full_outer")
+        return both.withColumns({c: F.coalesce(c, none) for c in ("previous_ids", "next_ids")})
+
+    def followers(self) -> DataFrame:
+        """node_id, next_ids: what follows a node on any branch, sorted."""
+        return self.nexts.groupBy(F.col("from_id").alias("node_id")).agg(F.array_sort(F.collect_set("to_id")).alias("next_ids"))
+
     def requirements(self) -> DataFrame:
         """node_id, required_id, action_phrase, rule_id, reason: what must come before a node."""
         return self.edges.filter("edge_type = 'REQUIRES'").select(F.col("to_id").alias("node_id"), F.col("from_id").alias("required_id"), "rule_id", "reason").join(self.nodes.select(F.col("node_id").alias("required_id"), "action_phrase"), "required_id")
@@ -90,12 +107,17 @@ class GraphQuery:
         self.node(node_id)
         return self.requirements().filter(F.col("node_id") == node_id)
 
+    def branch_preferences(self) -> DataFrame:
+        """recipe_id, point, choice, ...: every branch's choices, and with each its alternatives' number."""
+        rows = self._preferences
+        many = rows.groupBy("point").agg(F.count(F.lit(1)).alias("alternatives"))
+        known = self.nexts.select("recipe_id").distinct()
+        return rows.withColumn("recipe_id", F.explode("recipes")).join(known, "recipe_id", "left_semi").join(many, "point")
+
     def preferences(self, branch: str) -> DataFrame:
         """The choices of this branch, and with each its alternatives' number."""
         self._known(branch)
-        rows = self._preferences
-        many = rows.groupBy("point").agg(F.count(F.lit(1)).alias("alternatives"))
-        return rows.filter(F.array_contains("recipes", branch)).join(many, "point").orderBy("seq")
+        return self.branch_preferences().filter(F.col("recipe_id") == branch).drop("recipe_id").orderBy("seq")
 
     def walk(self, branch: str) -> list[str]:
         """Nodes from the entry on, in order."""

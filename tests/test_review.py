@@ -88,7 +88,7 @@ def test_cascade_asks_only_what_is_open(spark, open_actions):
 
     got = {r.step_number: r for r in verify.verify(actions, steps, DIMS, gate, [("critic", critic)]).collect()}
     assert {k: (r.verdict, r.critic_model) for k, r in got.items()} == {1: ("reject", "deterministic"), 2: ("accept", "gate"), 3: ("revise", "critic"), 4: ("accept", "critic")}
-    assert got[3].issues[0].startswith("grounded=0.50") and got[2].scores["grounded"] == 0.9 and "Invented temperature 99.0" in got[1].issues[0]
+    assert got[3].issues[0].startswith("node_type_matches=0.50") and got[2].scores["node_type_matches"] == 0.9 and "Invented temperature 99.0" in got[1].issues[0]
     cached = verify.verify(actions, steps, DIMS, gate, [("critic", critic)])
     again = verify.verify(actions, steps, DIMS, None, [], cached=cached.filter("step_number > 0"))
     assert again.count() == 4
@@ -218,7 +218,7 @@ def test_final_graph_from_reviews(spark):
     steps = spark.createDataFrame([("r1", 1, "Crack, mix."), ("r1", 2, "Cook it."), ("r2", 1, "Cook."), ("gone", 1, "x")], schema.STEP)
     gold = gold_of(spark, [("r1", 1, e("crack and mix", False, "liquid", "liquid"), [e("crack eggs", False, "liquid", "liquid"), e("mix eggs", True, "liquid", "liquid")], "corrected", 1.0), ("r1", 2, e("cook eggs", True, "liquid", "solid"), [], "corrected", 1.0), ("r2", 1, e("cook eggs", True, "liquid", "solid"), [], "corrected", 1.0)])
     timed = spark.createDataFrame([("r1", 1, 1, "Crack", (60.0, None))], "recipe_id string, step_number int, sub_step int, source_span string, timing struct<duration_s:double,deadline:string>")
-    with pytest.raises(ValueError, match="not reviewed"):
+    with pytest.raises(ValueError, match="unreviewed: 1"):
         build.finalise(gold, steps, dims)
     dims = Dims(**{**dims.__dict__, "excluded": {"gone": "x"}})
     g, _ = build.finalise(gold, steps, dims, extracted=timed)
