@@ -6,51 +6,46 @@ with its tie-breaks, merging), the query has none and tests hold it against smal
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stepweave.functions import nested
 from stepweave.functions import text as tx
+from stepweave.operators import contain, fuse, gates, graph, merge, review, scope, verify
 from stepweave.operators import dims as dm
-from stepweave.operators import fuse, gates, graph, merge, review, scope, verify
 from stepweave.plans import bindings as b
-from stepweave.plans import metrics, query_api
+from stepweave.plans import metrics, query_api, review_queries  # noqa: F401  the last registers its own
+from stepweave.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 from stepweave.sources import html, readers, schema, sinks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 WITH_ACTIONS = "WITH " + b.ACTIONS_SQL
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: b.longs(f(spark, sf_dir))
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+#: The engine's fixed patterns in DuckDB's spelling: no Unicode flag, flags for a part only.
+JUNK_SQL = "|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else p for p in tx.JUNK)
+THERMAL_SQL, TIME_SQL, TEMPERATURE_SQL = (p.replace("(?iU)", "(?i)") for p in (tx.THERMAL, tx.TIME_MENTION, tx.TEMPERATURE))
+MENTION_SQL = tx.TEMPERATURE_MENTION.replace("(?iU)", "(?i)")
+HINTS_SQL = " ".join(f"WHEN regexp_matches(lower(s), '{'|'.join(parts)}') THEN '{label}'" for label, parts in tx.STATE_HINTS)
 
 
 # Text
 
 
-@query(r"""SELECT doc_id, line_no::BIGINT AS line_no FROM (
+@query(rf"""SELECT doc_id, line_no::BIGINT AS line_no FROM (
   SELECT doc_id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
-WHERE length(regexp_replace(line, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')) < 15 OR regexp_matches(line, '[Ss]ee\s+also|[Oo]ther\s+\w+\s+[Rr]ecipes|[Tt]ry\s*:|[Pp]rint\s+[Rr]ecipe|[Ss]ubscribe|[Pp]in\s+[Tt]his|(?i:^\s*notes?\s*:?\s*$)')""")
+WHERE length(regexp_replace(line, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g')) < {tx.MIN_STEP_CHARS} OR regexp_matches(line, '{JUNK_SQL}')""")
 def junk_lines(spark, d):
     return b.lines(spark, d).filter(tx.is_junk(F.col("line"))).select("doc_id", "line_no")
 
 
-@query(r"""SELECT doc_id, count(*) AS kept, (any_value(n) - count(*))::BIGINT AS dropped FROM (
-  SELECT doc_id, unnest(l) AS line, len(l) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
-WHERE length(trim(line)) >= 15 GROUP BY doc_id HAVING count(*) >= 2""")
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+k AS (SELECT doc_id, count(*) FILTER (WHERE NOT junk) AS kept, count(*) FILTER (WHERE junk) AS dropped FROM (
+  SELECT doc_id, length(regexp_replace(line, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g')) < {tx.MIN_STEP_CHARS} OR regexp_matches(line, '{JUNK_SQL}') AS junk FROM l) GROUP BY doc_id)
+SELECT count(*) AS recipes, count(*) FILTER (WHERE kept >= 2) AS recipes_enough, sum(kept)::BIGINT AS steps_kept, sum(dropped)::BIGINT AS steps_dropped, round(sum(dropped) * 100.0::DOUBLE / (sum(kept) + sum(dropped)), 1) AS junk_drop_pct FROM k""")
 def step_filter_min2(spark, d):
-    by = b.lines(spark, d).groupBy("doc_id").agg(F.count_if(~tx.is_junk(F.col("line"))).alias("kept"), F.count_if(tx.is_junk(F.col("line"))).alias("dropped"))
-    return by.filter("kept >= 2")
+    """Lines of documents as steps of a page's linked data, through the parser, and their totals."""
+    docs = b.table(spark, d, "documents")
+    page = F.to_json(F.struct(F.lit("Recipe").alias("@type"), F.lit("x").alias("name"), F.split("text", "\n").alias("recipeInstructions")))
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit('<script type="application/ld+json">'), F.replace(page, F.lit("<"), F.lit("\\u003c")), F.lit("</script>")).alias("html"))
+    return metrics.ingest_stats(html.parse(pages))
 
 
 @query(r"""SELECT doc_id, term FROM documents, (VALUES ('the'), ('and'), ('token'), ('de'), ('für')) t(term)
@@ -63,13 +58,10 @@ def mention_whole_word(spark, d):
 @query(r"""SELECT doc_id, t AS term FROM documents, (SELECT DISTINCT split_part(p_name, ' ', 1) AS t FROM part)
 WHERE regexp_matches(text, '(^|[^\p{L}\p{N}_])(?i:' || t || ')($|[^\p{L}\p{N}_])')""")
 def mention_terms_of_table(spark, d):
-    terms = b.part_names(spark, d).select(F.col("adjective").alias("t")).distinct()
-    listed = terms.agg(F.array_sort(F.collect_set("t")).alias("terms"))  # a dimension: few words
-    docs = b.table(spark, d, "documents").join(listed, F.lit(True))
-    return docs.select("doc_id", F.explode(tx.mentioned(F.col("text"), [], F.col("terms"))).alias("term"))
+    return contain.mentioned_terms(b.table(spark, d, "documents"), b.part_names(spark, d).select(F.col("adjective").alias("term")))
 
 
-@query(r"""SELECT p_partkey, regexp_matches(p_name, '(?i)\b(heat|cook|warm|melt|fry|saut|simmer|boil|scorch|burn|flame|brown|toast)\b') AS thermal,
+@query(rf"""SELECT p_partkey, regexp_matches(p_name, '{THERMAL_SQL}') AS thermal,
   regexp_matches(replace(p_name, 'hot', 'heat'), '(?i)\b(heat|cook|warm)\b') AS thermal_reworded FROM part""")
 def thermal_flag(spark, d):
     return b.part_names(spark, d).select("p_partkey", tx.is_thermal(F.col("p_name")).alias("thermal"), tx.is_thermal(F.replace("p_name", F.lit("hot"), F.lit("heat"))).alias("thermal_reworded"))
@@ -86,14 +78,15 @@ def canonical_action(spark, d):
     return p.select("p_partkey", tx.canonical_action(F.concat(F.lit("  "), "p_name", F.lit("  "), "p_type")).alias("canonical"), tx.normal_phrase(F.concat("p_name", F.lit("   "), "p_type")).alias("phrase"))
 
 
-@query(r"""SELECT o_orderkey, list_transform(regexp_extract_all(t, '(?i)\b(\d{1,4})\s*(?:°\s*)?([CF])\b', 1), lambda x: x::DOUBLE)[1] AS first_temperature,
-  len(list_distinct(regexp_extract_all(t, '(?i)\b(\d{1,4})\s*(?:°\s*)?([CF])\b', 1)))::BIGINT AS n_temperatures,
-  array_to_string(list_sort(list_distinct(regexp_extract_all(t, '(?i)\b(\d+)\s*(second|minute|hour|sec|min|hr)s?\b|\b(constantly|until set|until firm)\b'))), '|') AS times
+@query(rf"""SELECT o_orderkey, list_transform(regexp_extract_all(t, '{TEMPERATURE_SQL}', 1), lambda x: x::DOUBLE)[1] AS first_temperature,
+  len(list_distinct(regexp_extract_all(t, '{TEMPERATURE_SQL}', 1)))::BIGINT AS n_temperatures,
+  array_to_string(list_sort(list_distinct(regexp_extract_all(t, '{TIME_SQL}'))), '|') AS times,
+  array_to_string(list_sort(list_distinct(regexp_extract_all(t, '{MENTION_SQL}'))), '|') AS mentions
 FROM (SELECT o_orderkey, 'cook at ' || (o_custkey % 300) || ' °C or ' || (o_orderkey % 90) || 'F for ' || (o_orderkey % 60) || ' minutes, 0.95 until set' AS t FROM orders)""")
 def temp_extract(spark, d):
     text = F.concat(F.lit("cook at "), (F.col("o_custkey") % 300).cast("string"), F.lit(" °C or "), (F.col("o_orderkey") % 90).cast("string"), F.lit("F for "), (F.col("o_orderkey") % 60).cast("string"), F.lit(" minutes, 0.95 until set"))
     found = tx.temperatures(F.col("t"))
-    return b.table(spark, d, "orders").withColumn("t", text).select("o_orderkey", F.get(found, F.lit(0)).alias("first_temperature"), F.size(found).alias("n_temperatures"), F.array_join(tx.time_mentions(F.col("t")), "|").alias("times"))
+    return b.table(spark, d, "orders").withColumn("t", text).select("o_orderkey", F.get(found, F.lit(0)).alias("first_temperature"), F.size(found).alias("n_temperatures"), F.array_join(tx.time_mentions(F.col("t")), "|").alias("times"), F.array_join(tx.temperature_mentions(F.col("t")), "|").alias("mentions"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN contains(text, s) THEN s WHEN position(translate(s, '’“”', '''""') IN translate(text, '’“”', '''""')) > 0
@@ -104,8 +97,7 @@ def ground_span(spark, d):
     return docs.select("doc_id", tx.ground_span(F.col("s"), F.col("text")).alias("span"))
 
 
-@query(r"""SELECT p_partkey, CASE split_part(p_name, ' ', 1) WHEN 'new' THEN 'liquid' WHEN 'old' THEN 'solid' WHEN 'hot' THEN 'coagulating' WHEN 'cold' THEN 'solid' WHEN 'red' THEN 'scorched' ELSE
-  CASE WHEN regexp_matches(lower(s), 'liquid|raw|whisk|beat|fluid') THEN 'liquid' WHEN regexp_matches(lower(s), 'coagulat|gel|soft|creamy|thicken') THEN 'coagulating' WHEN regexp_matches(lower(s), 'solid|set|firm|cooked|toast|baked') THEN 'solid' WHEN regexp_matches(lower(s), 'scorch|burn|brown|rubber|dry|over') THEN 'scorched' ELSE 'liquid' END END AS label
+@query(rf"""SELECT p_partkey, CASE split_part(p_name, ' ', 1) WHEN 'new' THEN 'liquid' WHEN 'old' THEN 'solid' WHEN 'hot' THEN 'coagulating' WHEN 'cold' THEN 'solid' WHEN 'red' THEN 'scorched' ELSE CASE {HINTS_SQL} ELSE '{tx.LABELS[0]}' END END AS label
 FROM (SELECT *, CASE WHEN split_part(p_name, ' ', 1) IN ('new', 'old', 'hot', 'cold', 'red') THEN split_part(p_name, ' ', 1) ELSE CASE WHEN p_size % 4 = 0 THEN 'Soft ' WHEN p_size % 4 = 1 THEN 'firm-' WHEN p_size % 4 = 2 THEN 'over ' ELSE '' END || p_name END AS s FROM part)""")
 def label_compile(spark, d):
     known = F.col("adjective").isin("new", "old", "hot", "cold", "red")
@@ -189,15 +181,14 @@ def invented_values(spark, d):
     return o.select("o_orderkey", F.array_join(F.transform(F.array_sort(found), lambda x: x.cast("string")), "|").alias("invented"))
 
 
-@query("""SELECT doc_id, (CASE WHEN starts_with(source, 'src1') THEN 1 ELSE 0 END + CASE WHEN lang = 'en' THEN 1 ELSE 0 END)::BIGINT AS tp, CASE WHEN starts_with(source, 'src1') THEN 0 ELSE 1 END::BIGINT AS fp, CASE WHEN lang = 'en' THEN 0 ELSE 1 END::BIGINT AS fn FROM (
-  SELECT doc_id, source, lang FROM documents)""")
+@query("""SELECT doc_id, (CASE WHEN starts_with(source, 'src1') THEN 1 ELSE 0 END + CASE WHEN lang = 'en' THEN 1 ELSE 0 END)::BIGINT AS tp,
+  (CASE WHEN starts_with(source, 'src1') THEN 0 ELSE 1 END + CASE WHEN lang = 'en' THEN 0 ELSE 1 END)::BIGINT AS fp, CASE WHEN lang = 'en' THEN 0 ELSE 1 END::BIGINT AS fn FROM documents""")
 def set_counts(spark, d):
     one, two = F.col("source").startswith("src1"), F.col("lang") == "en"
     found = F.array(F.lit("always"), F.when(one, "a").otherwise("only found"))
     gold = F.array_compact(F.array(F.when(two, "always"), F.when(~two, "missed"), F.when(one, "a")))
     tp, fp, fn = nested.set_counts(found, gold)
-    # the counts by definition, for the two kinds of rows
-    return b.table(spark, d, "documents").select("doc_id", tp.alias("tp"), (fp - F.when(two, 0).otherwise(1)).alias("fp"), fn.alias("fn"))
+    return b.table(spark, d, "documents").select("doc_id", tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
 
 
 # Joins
@@ -280,31 +271,23 @@ def redirect_edges(spark, d):
 
 @query("SELECT item_id, doc_id FROM benchmark, documents WHERE contains(documents.text, benchmark.text)")
 def containment_join(spark, d):
-    """Passages in documents, whatever their number: both meet by the hash of the passage's first words, then containment."""
-    k = 6
-    words = lambda t: F.split(t, " ")
-    asked = b.table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")).filter("passage is not null").withColumn("w", words("passage"))
-    docs = b.table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
-    # a passage of few words, or whose first or last word may be cut, is looked up by its second to last-but-one words
-    inner = asked.withColumn("key", F.when(F.size("w") >= k + 2, F.xxhash64(F.array_join(F.slice("w", 2, k), " "))))
-    grams = docs.withColumn("w", words("body")).filter(F.size("w") >= k).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " "))))).alias("key"))
-    long_ = inner.filter("key is not null")
-    met = grams.join(long_.select("key", "item_id", "passage"), "key").join(docs, "doc_id").filter(F.contains("body", F.col("passage")))
-    short = [r for r in inner.filter("key is null").select("item_id", "passage").limit(1001).collect()]
-    if len(short) > 1000:
-        raise ValueError("more than 1000 passages are too short to be looked up by their words")
-    tests = F.array_compact(F.array(*[F.when(F.contains("body", F.lit(r["passage"])), F.lit(r["item_id"])) for r in short])) if short else F.array().cast("array<bigint>")
-    return met.select("item_id", "doc_id").union(docs.select(F.explode(tests).alias("item_id"), "doc_id")).distinct()
+    return contain.containing(b.table(spark, d, "benchmark"), b.table(spark, d, "documents"))
+
+
+@query("SELECT p_partkey AS item_id, doc_id FROM (SELECT DISTINCT p_partkey, split_part(p_name, ' ', 1) AS t FROM part WHERE p_partkey < 40) p, documents WHERE contains(text, t)")
+def containment_of_words(spark, d):
+    """Passages of one word, which may be a part of a word."""
+    words = b.part_names(spark, d).filter("p_partkey < 40").select(F.col("p_partkey").alias("item_id"), F.col("adjective").alias("text"))
+    return contain.containing(words, b.table(spark, d, "documents"))
 
 
 @query("""SELECT recipe, point, choice, n.n::BIGINT AS alternatives FROM (
   SELECT unnest(recipes) AS recipe, point, choice FROM (VALUES ('pace', 'slow', ['u1', 'u2', 'u3']), ('pace', 'fast', ['u4', 'u5']), ('route', 'direct', ['u2', 'u5', 'u6']), ('route', 'around', ['u1'])) p(point, choice, recipes))
-JOIN (SELECT DISTINCT 'u' || user_id AS recipe FROM events) USING (recipe), (SELECT 2 AS n) n""")
+JOIN (SELECT 'u' || user_id AS recipe FROM events GROUP BY 1 HAVING count(*) > 1) USING (recipe), (SELECT 2 AS n) n""")
 def preferences_explode(spark, d):
-    branches = b.events(spark, d).select(F.col("recipe_id").alias("recipe")).distinct()
-    prefs = b.DIMS.preferences_df(spark)
-    many = prefs.groupBy("point").agg(F.count(F.lit(1)).alias("alternatives"))
-    return prefs.select(F.explode("recipes").alias("recipe"), "point", "choice").join(branches, "recipe").join(many, "point").select("recipe", "point", "choice", "alternatives")
+    edges = fuse.next_edges(b.fused(spark, d))
+    q = query_api.GraphQuery(spark.createDataFrame([], "node_id string"), edges, b.DIMS.preferences_df(spark))
+    return q.branch_preferences().select(F.col("recipe_id").alias("recipe"), "point", "choice", "alternatives")
 
 
 @query(WITH_ACTIONS + _MAP_SQL + """, e AS (SELECT DISTINCT recipe_id, f, t FROM nx WHERE t IS NOT NULL)
@@ -328,18 +311,17 @@ def prefer_r2(spark, d):
 
 
 @query(WITH_ACTIONS + """SELECT node_id, count(*) AS n_observations, count(DISTINCT recipe_id) AS n_recipes, arg_min(action_phrase, (recipe_id, step_number)) AS action_phrase, arg_min(node_type, (recipe_id, step_number)) AS node_type,
-round(sum(k)::DOUBLE / count(*) / 10, 6) AS mean_confidence, arg_min(recipe_id, (recipe_id, step_number)) AS first_branch, arg_min(step_number, (recipe_id, step_number)) AS first_step FROM fp GROUP BY node_id""")
+round(sum(k)::DOUBLE / count(*) / 10, 6) AS mean_confidence, count(DISTINCT CASE WHEN k > 5 THEN 'bolt' ELSE 'gear' END) + 1 AS n_ingredients, 'plate' AS tools FROM fp GROUP BY node_id""")
 def dedup_provenance(spark, d):
     rows = b.fused(spark, d)
-    first = rows.groupBy("node_id").agg(F.min_by("recipe_id", "seq").alias("first_branch"), F.min_by("step_number", "seq").alias("first_step"), F.round(F.sum("k").cast("double") / F.count(F.lit(1)) / 10, 6).alias("mean_confidence"))
-    return fuse.nodes(rows).select("node_id", "n_observations", "n_recipes", "action_phrase", "node_type").join(first, "node_id")
+    return fuse.nodes(rows).select("node_id", "n_observations", "n_recipes", "action_phrase", "node_type", F.round("mean_confidence", 6).alias("mean_confidence"), F.size("ingredients").alias("n_ingredients"), F.array_join("tools", "|").alias("tools"))
 
 
-@query(WITH_ACTIONS + "SELECT node_id, string_agg(recipe_id || '/' || step_number || '/' || k, ',' ORDER BY recipe_id, step_number) AS observations FROM fp GROUP BY node_id")
+@query(WITH_ACTIONS + f"SELECT node_id, segment, string_agg(recipe_id || '/' || step_number || '/' || k, ',' ORDER BY recipe_id, step_number) AS observations FROM (SELECT *, (row_number() OVER (PARTITION BY node_id ORDER BY recipe_id, step_number) - 1) // {fuse.SEGMENT} AS segment FROM fp) GROUP BY node_id, segment")
 def provenance_in_order(spark, d):
     rows = b.fused(spark, d)
     listed = fuse.nested_provenance(fuse.provenance(rows.withColumn("source_span", F.col("k").cast("string"))))
-    return listed.select("node_id", F.array_join(F.transform("provenance", lambda p: F.concat_ws("/", p["recipe_id"], p["step_number"].cast("string"), p["source_span"])), ",").alias("observations"))
+    return listed.select("node_id", "segment", F.array_join(F.transform("provenance", lambda p: F.concat_ws("/", p["recipe_id"], p["step_number"].cast("string"), p["source_span"])), ",").alias("observations"))
 
 
 @query(WITH_ACTIONS + "SELECT node_id, count(DISTINCT recipe_id) AS n_recipes FROM fp GROUP BY node_id HAVING count(DISTINCT recipe_id) > 1")
@@ -404,10 +386,11 @@ def first_kept(spark, d):
     return review.auto_steps(rows).select(F.col("step_number").alias("conv_id"), F.col("auto").alias("turn"), F.col("reason").alias("role"))
 
 
-@query("SELECT conv_id, turn, role, lead(role) OVER w AS next_role, (row_number() OVER w)::BIGINT AS place FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+@query("SELECT conv_id, turn, role, lag(role) OVER w AS last_role, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def positions(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return b.table(spark, d, "conversations").select("conv_id", "turn", "role", F.lead("role").over(w).alias("next_role"), F.row_number().over(w).alias("place"))
+    rows = fuse.with_seq(b.table(spark, d, "conversations").select(F.format_string("%012d", "conv_id").alias("recipe_id"), F.col("turn").alias("step_number"), F.lit(1).alias("sub_step"), "conv_id", "turn", "role"))
+    last = fuse.neighbours(rows, ["role"], before=True).withColumn("last_role", F.col("_near.role")).drop("_near")
+    return fuse.neighbours(last, ["role"]).select("conv_id", "turn", "role", "last_role", F.col("_near.role").alias("next_role"))
 
 
 # Scope and goal
@@ -456,6 +439,14 @@ def cycle_scopes(spark, d):
     return graph.cyclic_scopes(edges).select("scope")
 
 
+@query(WITH_ACTIONS.replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT DISTINCT recipe_id AS scope, f, t FROM (SELECT recipe_id, node_id AS f, lead(node_id) OVER (PARTITION BY recipe_id ORDER BY step_number) AS t FROM fp) WHERE t IS NOT NULL),
+r(scope, a, z) AS (SELECT scope, f, t FROM e UNION SELECT r.scope, r.a, e.t FROM r JOIN e ON e.scope = r.scope AND e.f = r.z)
+SELECT DISTINCT scope AS subject, 2::BIGINT AS gate FROM r WHERE a = z""")
+def gate2(spark, d):
+    """Whole branches whose order holds a cycle, by the gate, which names up to three cycles of each."""
+    return gates.gate2(fuse.next_edges(b.fused(spark, d))).select("subject", "gate").distinct()
+
+
 @query()
 def break_cycles(spark, d):
     """Removed edges of all branches' order."""
@@ -463,15 +454,20 @@ def break_cycles(spark, d):
     return graph.break_cycles(edges)[1].select("edge_type", "recipe_id", "from_id", "to_id")
 
 
+def merge_inputs(spark, d):
+    """(nodes, edges, labels): all branches with NEXT and REQUIRES edges, cycles broken; all steps of a block are labelled
+    the same, in every block."""
+    rows = b.fused(spark, d)
+    nodes = graph.cut(fuse.nodes(rows))
+    edges = graph.break_cycles(fuse.next_edges(rows).unionByName(_required(spark, d)))[0]
+    pairs = merge.candidate_pairs(merge.with_block(nodes))
+    return nodes, graph.cut(edges), pairs.select(tx.pair_id(F.col("a"), F.col("b")).alias("pair_id"), F.col("a").alias("a_id"), F.col("b").alias("b_id"), F.lit("same").alias("label"))
+
+
 @query()
 def apply_merges(spark, d):
-    """The order of all branches, cycles broken, after merging the closing steps that differ in wording only."""
-    rows = b.fused(spark, d)
-    nodes = fuse.nodes(rows)
-    edges = graph.break_cycles(fuse.next_edges(rows))[0]
-    closing = merge.candidate_pairs(merge.with_block(nodes)).filter("block like 'Plate | egg:liquid%'")
-    labels = closing.select(tx.pair_id(F.col("a"), F.col("b")).alias("pair_id"), F.col("a").alias("a_id"), F.col("b").alias("b_id"), F.lit("same").alias("label"))
-    return merge.apply_merges(nodes, edges, labels)[1].select("edge_type", "recipe_id", "from_id", "to_id")
+    """The order of all branches after merging the steps of every block, as far as no cycle comes of it."""
+    return merge.apply_merges(*merge_inputs(spark, d))[1].select("edge_type", "recipe_id", "from_id", "to_id")
 
 
 @query(WITH_ACTIONS.replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT DISTINCT recipe_id, node_id AS f, lead(node_id) OVER (PARTITION BY recipe_id ORDER BY step_number) AS t FROM fp),
@@ -502,7 +498,7 @@ def graph_diff(spark, d):
 @query(WITH_ACTIONS + "SELECT f AS node_id, string_agg(DISTINCT t, '|' ORDER BY t) AS next_ids FROM (SELECT node_id AS f, lead(node_id) OVER (PARTITION BY recipe_id ORDER BY step_number) AS t FROM fp) WHERE t IS NOT NULL GROUP BY 1")
 def union_next(spark, d):
     edges = fuse.next_edges(b.fused(spark, d))
-    return edges.groupBy(F.col("from_id").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_set("to_id")), "|").alias("next_ids"))
+    return query_api.GraphQuery(spark.createDataFrame([], "node_id string"), edges).followers().select("node_id", F.array_join("next_ids", "|").alias("next_ids"))
 
 
 @query(WITH_ACTIONS + """, nx AS (SELECT DISTINCT recipe_id, f, t FROM (SELECT recipe_id, node_id AS f, lead(node_id) OVER (PARTITION BY recipe_id ORDER BY step_number) AS t FROM fp) WHERE t IS NOT NULL),
@@ -515,7 +511,7 @@ def step_context(spark, d):
     nodes = fuse.nodes(rows)
     found = fuse.bounds_of(nodes.drop("seq").withColumn("thermal", F.col("action_phrase").startswith("view")), b.DIMS.bounds_df(spark), "egg")
     q = query_api.GraphQuery(nodes, fuse.next_edges(rows).unionByName(fuse.bound_edges(found)))
-    return q.step_context.select("recipe_id", "node_id", "action_phrase", F.get("post", F.lit(0))["k2_label"].alias("post_label"), F.array_join("next_ids", "|").alias("next_ids"), F.array_join("bounds", "|").alias("bounds"))
+    return q.contexts().select("recipe_id", "node_id", "action_phrase", F.get("post", F.lit(0))["k2_label"].alias("post_label"), F.array_join("next_ids", "|").alias("next_ids"), F.array_join("bounds", "|").alias("bounds"))
 
 
 # Gates
@@ -554,18 +550,20 @@ def gate6(spark, d):
     return gates.gate6(rows, c.select("recipe_id", "step_number", "text")).select(F.get(at, F.lit(0)).cast("long").alias("conv_id"), F.get(at, F.lit(1)).cast("long").alias("turn"))
 
 
-@query("""WITH p AS (SELECT printf('%08d', p_partkey) AS k, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS n, p_size FROM part)
+@query("""WITH p AS (SELECT printf('%08d', p_partkey) AS k, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS n, p_size FROM part),
+m AS (SELECT DISTINCT n FROM p)
 SELECT k AS subject, 'uses' AS kind FROM p WHERE n NOT IN ('bolt', 'gear', 'rod', 'plate', 'ring')
 UNION ALL SELECT k, 'names' FROM p WHERE n IN ('gizmo', 'anvil') OR a = 'blue'
-UNION ALL SELECT k, 'excluded' FROM p WHERE p_size % 50 IN (7, 9)""")
+UNION ALL SELECT k, 'excluded' FROM p WHERE p_size % 50 IN (7, 9)
+UNION ALL SELECT n, 'ingredient' FROM m WHERE n NOT IN ('bolt', 'gear', 'rod') UNION ALL SELECT n, 'tool' FROM m WHERE n NOT IN ('plate', 'ring')""")
 def gate7(spark, d):
     p = b.part_names(spark, d).withColumn("node_id", F.format_string("%08d", "p_partkey"))
     state = F.array(F.struct(F.col("noun").alias("entity_id"), F.lit("new").alias("physics_state"), F.lit("liquid").alias("k2_label"))).cast(nested.CONDITIONS)
     nodes = p.select("node_id", F.col("p_name").alias("action_phrase"), state.alias("pre"), F.array().cast(nested.CONDITIONS).alias("post"), F.array().cast("array<string>").alias("ingredients"), F.array().cast("array<string>").alias("tools"))
     seen = p.select("node_id", F.concat(F.lit("u"), (F.col("p_size") % 50).cast("string")).alias("recipe_id"))
-    none = spark.createDataFrame([], "id string, name string")
-    kind = F.when(F.col("message").startswith("uses"), "uses").when(F.col("message").startswith("action"), "names").otherwise("excluded")
-    return gates.gate7(nodes, seen, none, none, b.DIMS).select("subject", kind.alias("kind"))
+    named = p.select(F.concat(F.lit("x_"), "noun").alias("id"), F.col("noun").alias("name")).distinct()
+    kind = F.when(F.col("message").startswith("uses"), "uses").when(F.col("message").startswith("action"), "names").when(F.col("message").startswith("ingredient"), "ingredient").when(F.col("message").startswith("tool"), "tool").otherwise("excluded")
+    return gates.gate7(nodes, seen, named, named, b.DIMS).select("subject", kind.alias("kind"))
 
 
 @query("SELECT printf('%08d', p_partkey) AS key, c AS check FROM part, (VALUES ('size'), ('price')) t(c) WHERE (c = 'size' AND p_size < 10) OR (c = 'price' AND p_retailprice > 1000)")
@@ -590,13 +588,6 @@ def verdict_histogram(spark, d):
 _REVIEW_SQL = "WITH r AS (SELECT l.doc_id, CASE WHEN l.doc_id % 3 = 0 THEN 'from_scratch' ELSE 'corrected' END AS mode, quality, toxic, coalesce(n_chars >= 400, false) AS auto, quality = 1 AS gold, source, CASE WHEN l.doc_id % 5 <> 0 THEN (l.doc_id % 97)::DOUBLE END AS s FROM labels l LEFT JOIN documents d USING (doc_id)) "
 
 
-@query(_REVIEW_SQL + "SELECT mode, count(*) AS steps, count(*) FILTER (WHERE auto = gold) AS agreed, count(*) FILTER (WHERE auto AND NOT gold) AS wrongly_kept, count(*) FILTER (WHERE NOT auto AND gold) AS wrongly_dropped FROM r GROUP BY GROUPING SETS ((mode), ())")
-def accuracy_grouping_sets(spark, d):
-    rows = b.reviews(spark, d).withColumns({"auto_in_scope": F.coalesce(F.col("auto") == 1, F.lit(False)), "gold_in_scope": F.col("quality") == 1})
-    out = rows.rollup("mode").agg(F.count(F.lit(1)).alias("steps"), F.count_if(F.col("auto_in_scope") == F.col("gold_in_scope")).alias("agreed"), F.count_if(F.col("auto_in_scope") & ~F.col("gold_in_scope")).alias("wrongly_kept"), F.count_if(~F.col("auto_in_scope") & F.col("gold_in_scope")).alias("wrongly_dropped"))
-    return out
-
-
 def _compared(spark, d):
     """Reviews in the shape of compared steps."""
     r = b.reviews(spark, d)
@@ -611,13 +602,25 @@ def _compared(spark, d):
     return rows.withColumns({**sides, "unchanged": (both & (F.size("fields_changed") == 0)) | neither, "unchanged_ignoring_wording": (both & (F.size(F.array_remove("fields_changed", "action_phrase")) == 0)) | neither})
 
 
-@query(_REVIEW_SQL + """, b AS (SELECT * FROM r WHERE auto AND gold)
-SELECT sum(doc_id % 3)::BIGINT AS tp, sum(doc_id % 2)::BIGINT AS fp, sum(doc_id % 5)::BIGINT AS fn, round(sum(doc_id % 3) / sum(doc_id % 3 + doc_id % 2)::DOUBLE, 6) AS precision, round(sum(doc_id % 3) / sum(doc_id % 3 + doc_id % 5)::DOUBLE, 6) AS recall FROM b""")
+_CHANGED = {"tools": "toxic = 1", "node_type": "source > 'src5'", "action_phrase": "doc_id % 4 = 0"}
+_KEPT = "count(*) FILTER (WHERE auto AND gold)"
+
+
+@query(_REVIEW_SQL + """SELECT mode, count(*) AS steps, round(100.0::DOUBLE * count(*) FILTER (WHERE auto = gold) / count(*), 1) AS scope_agreement_pct, count(*) FILTER (WHERE auto AND NOT gold) AS wrongly_kept, count(*) FILTER (WHERE NOT auto AND gold) AS wrongly_dropped,
+""" + _KEPT + " AS steps_kept_by_both, " + ", ".join(f"round(100.0::DOUBLE * count(*) FILTER (WHERE auto AND gold AND NOT coalesce({c}, false)) / {_KEPT}, 1) AS {f}_pct" for f, c in _CHANGED.items()) + """,
+round(100.0::DOUBLE * count(*) FILTER (WHERE (auto AND gold AND NOT toxic = 1 AND NOT coalesce(source > 'src5', false)) OR (NOT auto AND NOT gold)) / count(*), 1) AS unchanged_ignoring_wording_pct,
+round(sum(doc_id % 3) FILTER (WHERE auto AND gold) / sum(doc_id % 3 + doc_id % 2) FILTER (WHERE auto AND gold)::DOUBLE, 3) AS pre_conditions_precision,
+round(sum(doc_id % 3) FILTER (WHERE auto AND gold) / sum(doc_id % 3 + doc_id % 5) FILTER (WHERE auto AND gold)::DOUBLE, 3) AS pre_conditions_recall FROM r GROUP BY GROUPING SETS ((mode), ())""")
+def accuracy_grouping_sets(spark, d):
+    return metrics.accuracy(_compared(spark, d)).select("mode", "steps", "scope_agreement_pct", "wrongly_kept", "wrongly_dropped", "steps_kept_by_both", *[f"{f}_pct" for f in _CHANGED], "unchanged_ignoring_wording_pct", "pre_conditions_precision", "pre_conditions_recall")
+
+
+@query(_REVIEW_SQL + """, b AS (SELECT mode, sum(doc_id % 3) AS tp, sum(doc_id % 2) AS fp, sum(doc_id % 5) AS fn FROM r WHERE auto AND gold GROUP BY mode),
+p AS (SELECT mode, tp / (tp + fp)::DOUBLE AS p, tp / (tp + fn)::DOUBLE AS r FROM b)
+SELECT mode, round(p, 3) AS precision, round(r, 3) AS recall, round(2 * p * r / (p + r), 3) AS f1 FROM p""")
 def prf_micro(spark, d):
-    rows = _compared(spark, d)
-    tp, fp, fn = (F.sum(f"pre_conditions_{k}") for k in ("tp", "fp", "fn"))
-    p, r, _ = tx.precision_recall_f1(tp, fp, fn)
-    return rows.agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"))
+    out = metrics.accuracy(_compared(spark, d)).filter("mode is not null")
+    return out.select("mode", *[F.col(f"pre_conditions_{k}").alias(k) for k in ("precision", "recall", "f1")])
 
 
 @query(_REVIEW_SQL + """, f AS (SELECT doc_id, unnest(list_filter([CASE WHEN toxic = 1 THEN 'tools' END, CASE WHEN source > 'src5' THEN 'node_type' END, CASE WHEN doc_id % 4 = 0 THEN 'action_phrase' END], lambda x: x IS NOT NULL)) AS field FROM r WHERE auto AND gold)
@@ -674,18 +677,10 @@ def graph_summary(spark, d):
 # Verification
 
 
-@query(WITH_ACTIONS + """SELECT recipe_id, step_number, CASE WHEN k % 4 = 3 AND k <> 7 THEN 'reject' WHEN k = 5 THEN 'revise' END AS verdict FROM act WHERE (k % 4 = 3 AND k <> 7) OR k = 5""")
-def deterministic_verdicts(spark, d):
-    rows = b.actions(spark, d).withColumns({"timing": F.lit(None).cast("struct<duration_s:double,deadline:string>"), "temperature_c": F.when(F.col("k") % 4 == 3, F.when(F.col("k") == 7, 70.0).otherwise(55.0)), "pre": nested.resolve_conditions(F.col("pre"), nested.literal_map({"eggs": "bolt"})), "post": nested.resolve_conditions(F.col("post"), nested.literal_map({"eggs": "gear"})), "ingredients": F.array(F.lit("bolt"))})
-    rows = rows.withColumn("source_span", F.when(F.col("k") == 5, "not there").otherwise("step"))
-    steps = rows.select("recipe_id", "step_number", F.lit("a step").alias("text"))
-    return verify.deterministic(verify.checks(rows, steps, b.DIMS), b.DIMS)[0].select("recipe_id", "step_number", "verdict")
-
-
 @query("SELECT o_orderkey, o_orderkey % 10 >= 8 AND o_custkey % 10 >= 8 AND o_orderstatus <> 'F' AS accepted FROM orders")
 def gate_acceptance(spark, d):
     score = lambda c: (F.col(c) % 10) / F.lit(10.0)
-    pairs = [("grounded", score("o_orderkey")), ("verdict_accept", score("o_custkey"))] + [(q, F.lit(0.9)) for q in verify.QUESTIONS[1:]]
+    pairs = [(verify.QUESTIONS[0], score("o_orderkey")), ("verdict_accept", score("o_custkey"))] + [(q, F.lit(0.9)) for q in verify.QUESTIONS[1:]]
     scores = F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)])
     choice = F.when(F.col("o_orderstatus") == "F", "revise").otherwise("accept")
     return b.table(spark, d, "orders").select("o_orderkey", verify.gate_accepts(scores, choice, 0.8).alias("accepted"))
@@ -755,12 +750,25 @@ def html_linked_data(spark, d):
     return parsed.filter("enough and via = 'linked'").select(F.col("page_id").cast("long").alias("nationkey"), F.col("title").alias("name"), F.size("steps").alias("n"))
 
 
-@query(r"""SELECT p_partkey, 'MERGE (n:Tool {node_id: ''tool_' || p_partkey || '''}) SET n += {name: ''' || replace(p_name || '''s', '''', '\''') || ''', node_id: ''tool_' || p_partkey || '''};' AS statement FROM part""")
+def _quoted(c):
+    return f"replace({c}, '''', '\\''')"
+
+
+@query("WITH p AS (SELECT *, 'k' || p_partkey AS id, p_name || '''s' AS phrase FROM part), n AS (SELECT * FROM p WHERE p_partkey % 2 = 0)" + rf"""
+SELECT 1::BIGINT AS section, id AS place, 'MERGE (n:Process {{node_id: ''' || id || '''}}) SET n += {{node_id: ''' || id || ''', node_type: ''Process'', action_phrase: ''' || {_quoted('phrase')} || ''', canonical_action: ''' || {_quoted("replace(lower(phrase), ' ', '_')")} || ''', mean_confidence: ' || round(p_size / 4.0::DOUBLE, 4) || ', source_recipe_ids: [''a'', ''b''], variant_phrases: [''x'']}};' AS statement FROM n
+UNION ALL SELECT 2, 'ing_' || id, 'MERGE (n:Ingredient {{node_id: ''ing_' || id || '''}}) SET n += {{name: ''' || {_quoted('phrase')} || ''', node_id: ''ing_' || id || '''}};' FROM p
+UNION ALL SELECT 3, 'tool_' || id, 'MERGE (n:Tool {{node_id: ''tool_' || id || '''}}) SET n += {{name: ''' || {_quoted('phrase')} || ''', node_id: ''tool_' || id || '''}};' FROM p
+UNION ALL SELECT 4, b, 'MERGE (n:SafetyBound {{node_id: ''bound_' || b || '''}}) SET n += {{node_id: ''bound_' || b || ''', bound_id: ''' || b || ''', label: ''' || l || ''', severity: ''' || s || '''' || coalesce(', temperature_c: ' || t, '') || coalesce(', k2_transition: ''' || k || '''', '') || '}};'
+  FROM (VALUES {', '.join("(" + ', '.join('NULL' if x is None else f"'{x}'" for x in (r[1], r[2], r[7], r[3], r[5])) + ")" for r in b.DIMS.bounds)}) v(b, l, s, t, k)
+UNION ALL SELECT 5, 'NEXT|' || id || '|z' || CASE WHEN p_size > 25 THEN '|r' ELSE '' END, 'MATCH (a {{node_id: ''' || id || '''}}), (b {{node_id: ''z''}}) MERGE (a)-[:NEXT' || CASE WHEN p_size > 25 THEN ' {{source_recipe_id: ''r''}}' ELSE '' END || ']->(b);' FROM n""")
 def cypher_rows(spark, d):
-    p = b.table(spark, d, "part").select(F.concat(F.lit("tool_"), F.col("p_partkey").cast("string")).alias("id"), F.concat("p_name", F.lit("'s")).alias("name"))
-    none = spark.createDataFrame([], "node_id string, node_type string, action_phrase string, canonical_action string, mean_confidence double")
-    rows = sinks.cypher_rows(none, graph.empty_edges(spark), spark.createDataFrame([], "id string, name string"), p, b.DIMS.bounds_df(spark).filter(F.lit(False)))
-    return rows.select(F.substring("place", 6, 30).cast("long").alias("p_partkey"), "statement")
+    """Statements of every section; half of the parts are nodes."""
+    p = b.table(spark, d, "part").withColumns({"id": F.concat(F.lit("k"), F.col("p_partkey").cast("string")), "phrase": F.concat("p_name", F.lit("'s"))})
+    nodes = p.filter("p_partkey % 2 = 0").select(F.col("id").alias("node_id"), F.lit("Process").alias("node_type"), F.col("phrase").alias("action_phrase"), tx.canonical_action(F.col("phrase")).alias("canonical_action"), (F.col("p_size") / F.lit(4.0)).alias("mean_confidence"), F.array(F.lit("x"), F.lit("x")).alias("variant_phrases"), "p_size")
+    edges = fuse.as_edges(nodes.select(F.col("node_id").alias("from_id"), F.lit("z").alias("to_id"), F.lit("NEXT").alias("edge_type"), F.when(F.col("p_size") > 25, "r").alias("recipe_id")))
+    seen = nodes.select("node_id", F.explode(F.array(F.lit("b"), F.lit("a"), F.lit("b"))).alias("recipe_id"))
+    named = lambda prefix: p.select(F.concat(F.lit(prefix), "id").alias("id"), F.col("phrase").alias("name"))
+    return sinks.cypher_rows(nodes.drop("p_size"), edges, named("ing_"), named("tool_"), b.DIMS.bounds_df(spark), seen)
 
 
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, 2::BIGINT AS n, 'A ' || n_name AS first FROM nation")
@@ -774,3 +782,50 @@ def cypher_statements(spark, d):
 def step_table(spark, d):
     rows = _compared(spark, d).withColumn("step_number", F.col("doc_id"))
     return sinks.step_table(rows).select(F.col("step_number").alias("doc_id"), "fields_changed")
+
+
+# More of the graph
+
+
+@query(WITH_ACTIONS + _MAP_SQL + """, m AS (SELECT rep, fp.* FROM fp JOIN mp ON mp.node = fp.node_id)
+SELECT rep AS node_id, count(*) AS n_observations, round(sum(k)::DOUBLE / count(*) / 10, 6) AS mean_confidence, (count(DISTINCT node_id) - 1)::BIGINT AS n_variants, count(DISTINCT CASE WHEN k > 5 THEN 'bolt' ELSE 'gear' END) + 1 AS n_ingredients FROM m GROUP BY rep""")
+def contracted_nodes(spark, d):
+    """All nodes of a block folded into its least one."""
+    out = merge.contract(fuse.nodes(b.fused(spark, d)), _mapping(spark, d))
+    return out.select("node_id", "n_observations", F.round("mean_confidence", 6).alias("mean_confidence"), F.size("variant_phrases").alias("n_variants"), F.size("ingredients").alias("n_ingredients"))
+
+
+@query(WITH_ACTIONS + """SELECT node_id, coalesce(arg_min('b' || k, (recipe_id, step_number)) FILTER (WHERE k > 4), '') AS bounds FROM fp GROUP BY node_id""")
+def first_bounds(spark, d):
+    """The first safety bounds of a node's observations that aren't empty."""
+    bounds = F.when(F.col("k") > 4, F.array(F.concat(F.lit("b"), F.col("k").cast("string")))).otherwise(F.array().cast("array<string>"))
+    return fuse.nodes(b.fused(spark, d).withColumn("safety_bounds", bounds)).select("node_id", F.array_join("safety_bounds", "|").alias("bounds"))
+
+
+@query(WITH_ACTIONS + """, nx AS (SELECT DISTINCT recipe_id, f, t FROM (SELECT recipe_id, node_id AS f, lead(node_id) OVER (PARTITION BY recipe_id ORDER BY step_number) AS t FROM fp) WHERE t IS NOT NULL),
+p AS (SELECT recipe_id, t AS n, string_agg(f, '|' ORDER BY f) AS previous_ids FROM nx GROUP BY 1, 2), q AS (SELECT recipe_id, f AS n, string_agg(t, '|' ORDER BY t) AS next_ids FROM nx GROUP BY 1, 2)
+SELECT recipe_id, n AS node_id, coalesce(previous_ids, '') AS previous_ids, coalesce(next_ids, '') AS next_ids FROM p FULL JOIN q USING (recipe_id, n)""")
+def neighbours(spark, d):
+    edges = fuse.next_edges(b.fused(spark, d))
+    return query_api.GraphQuery(spark.createDataFrame([], "node_id string"), edges).around().select("recipe_id", "node_id", F.array_join("previous_ids", "|").alias("previous_ids"), F.array_join("next_ids", "|").alias("next_ids"))
+
+
+@query(WITH_ACTIONS + _REQUIRED_SQL + """, nx AS (SELECT DISTINCT recipe_id, f, t FROM (SELECT recipe_id, node_id AS f, lead(node_id) OVER (PARTITION BY recipe_id ORDER BY step_number) AS t FROM fp) WHERE t IS NOT NULL)
+SELECT (SELECT count(DISTINCT node_id) FROM fp) AS nodes, (SELECT count(*) FROM nx) + (SELECT count(*) FROM req) AS edges, (SELECT count(*) FROM nx) AS next, (SELECT count(*) FROM req) AS requires, 0::BIGINT AS uses_tool""")
+def graph_counts(spark, d):
+    rows = b.fused(spark, d)
+    return metrics.graph_counts(fuse.nodes(rows), fuse.next_edges(rows).unionByName(_required(spark, d))).select("nodes", "edges", "next", "requires", "uses_tool")
+
+
+@query(WITH_ACTIONS + "SELECT DISTINCT 'egg:' || post_label AS entity_id FROM fp WHERE post_label <> 'solid'")
+def unknown_entities(spark, d):
+    """Entities of nodes that no dimension has."""
+    nodes = b.fused(spark, d).withColumn("post", F.transform("post", lambda c: c.withField("entity_id", F.concat(c["entity_id"], F.lit(":"), c["k2_label"]))))
+    return metrics.non_canonical(nodes, ["egg", "egg:solid"])
+
+
+@query(WITH_ACTIONS + "SELECT recipe_id, step_number // 3 AS step_number, arg_max(node_id, step_number) AS node_id FROM fp GROUP BY 1, 2")
+def nodes_of_steps(spark, d):
+    """The node that a step of a branch became, by its last observation."""
+    seen = fuse.provenance(b.fused(spark, d)).withColumn("step_number", F.floor(F.col("step_number") / 3).cast("int"))
+    return metrics.nodes_of_steps(seen)

@@ -209,3 +209,121 @@ def test_walk_is_whole(spark):
     with pytest.raises(ValueError, match="more than 4 hops"):
         walk(edges, starts, most=4)
     assert inspect.signature(walk).parameters["most"].default is None
+
+
+@pytest.mark.parametrize("most", [0, 1 << 16], ids=["joins", "tasks"])
+def test_walks_of_any_length(spark, monkeypatch, most):
+    """A chain of 5,000 nodes, a ring, a branching part, an unreached ring: in tasks and by joins."""
+    monkeypatch.setattr(graph, "TASK_EDGES", most)
+    rng = random.Random(5)
+    chain = [("long", f"n{i}", f"n{i + 1}") for i in range(5000)]
+    ring = [("ring", f"r{i}", f"r{(i + 1) % 40}") for i in range(40)] + [("ring", "x", "y"), ("ring", "y", "x")]
+    web = [("web", f"w{rng.randrange(60)}", f"w{rng.randrange(60)}") for _ in range(110)] + [("web", "w0", "t0"), *(("web", f"t{i}", f"t{i + 1}") for i in range(90)), ("web", "t90", "w1")]
+    edges = spark.createDataFrame([(r, u, v, "NEXT") for r, u, v in chain + ring + web], "recipe_id string, from_id string, to_id string, edge_type string")
+    starts = spark.createDataFrame([("long", "n0"), ("ring", "r3"), ("web", "w0"), ("alone", "z")], "recipe_id string, node string")
+    want = {("alone", "z", 0)}
+    for branch, rows, first in (("long", chain, "n0"), ("ring", ring, "r3"), ("web", web, "w0")):
+        after, hops, front = {}, {first: 0}, [first]
+        for _, u, v in rows:
+            after.setdefault(u, []).append(v)
+        while front:
+            front = [v for u in front for v in after.get(u, ()) if v not in hops and not hops.update({v: hops[u] + 1})]
+        want |= {(branch, n, h) for n, h in hops.items()}
+    assert {tuple(r) for r in graph.walk(edges, starts).select("recipe_id", "node", "hop").collect()} == want
+
+
+@pytest.mark.parametrize("most", [0, 1 << 16], ids=["joins", "tasks"])
+def test_peeling_and_breaking_by_tasks_and_joins(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "TASK_EDGES", most)
+    rng = random.Random(11)
+    rows = sorted({(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}", rng.choice(["NEXT", "NEXT", "REQUIRES"]), f"r{rng.randrange(6)}", float(rng.randrange(1, 4))) for _ in range(160)})
+    kept, removed = graph.break_cycles(edges_of(spark, rows))
+    assert graph.cyclic_scopes(graph.order_scopes(kept)).isEmpty() and kept.count() + removed.count() == len(rows)
+    test_peeling_and_breaking_by_tasks_and_joins.found.add(frozenset((r.from_id, r.to_id, r.edge_type, r.recipe_id) for r in removed.collect()))
+    assert len(test_peeling_and_breaking_by_tasks_and_joins.found) == 1
+
+
+test_peeling_and_breaking_by_tasks_and_joins.found = set()
+
+
+def test_simple_cycles_end_soon():
+    """Layers that all lead on, and none back but one: paths are many, cycles few."""
+    layers = [(f"a{i:02d}{x}", f"a{i + 1:02d}{y}") for i in range(40) for x in "pq" for y in "pq"]
+    assert graph.simple_cycles(layers) == []
+    assert graph.simple_cycles([*layers, ("a40p", "a39q")]) == [["a39q", "a40p"]]
+    assert len(graph.simple_cycles([*layers, ("a40p", "a00p")])) == 3
+    rng = random.Random(2)
+    for _ in range(200):
+        edges = sorted({(rng.randrange(6), rng.randrange(6)) for _ in range(rng.randrange(1, 14))})
+        after = {u: {v for a, v in edges if a == u} for u, _ in edges}
+
+        def paths(start, path):
+            for v in after.get(path[-1], ()):
+                if v == start:
+                    yield tuple(path)
+                elif v > start and v not in path:
+                    yield from paths(start, [*path, v])
+
+        want = {p for s in after for p in paths(s, [s])}
+        assert {tuple(c) for c in graph.simple_cycles(edges, 1000)} == want
+
+
+def test_orders_across_ranges(spark):
+    """Neighbours and segments where a branch and a node span several ranges of the order."""
+    n = 7000
+    rows = spark.range(n).select(F.lit("r").alias("recipe_id"), F.col("id").cast("int").alias("step_number"), F.lit(1).alias("sub_step"), (F.col("id") % 3).cast("string").alias("node_id"))
+    placed = fuse.with_seq(rows.repartition(5))
+    assert placed.select(F.shiftright("seq", fuse.RANGE_BITS)).distinct().count() > 1
+    near = fuse.neighbours(placed, ["step_number"]).select("step_number", F.col("_near.step_number").alias("then")).collect()
+    assert {(r.step_number, r.then) for r in near} == {(i, i + 1 if i + 1 < n else None) for i in range(n)}
+    seen = placed.withColumns({c: F.lit("x") for c in ("source_span", "extractor_model", "verdict")}).withColumn("confidence", F.lit(1.0))
+    got = sorted((r.node_id, r.segment, [p.step_number for p in r.provenance]) for r in fuse.nested_provenance(seen).collect())
+    for k in range(3):
+        mine = [i for i in range(n) if i % 3 == k]
+        assert [g[2] for g in got if g[0] == str(k)] == [mine[a : a + fuse.SEGMENT] for a in range(0, len(mine), fuse.SEGMENT)]
+
+
+def test_no_local_folder_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        graph.shared_dir(Session)
+
+
+def test_gate_request_and_errors():
+    from stepweave.operators import verify
+
+    asked = verify.request("text", {"action_phrase": "a"}, "hint")
+    assert set(asked["questions"]) == {*verify.QUESTIONS, "verdict"} and asked["revision_hint"] == "hint"
+    assert {asked["questions"][q]["type"] for q in verify.QUESTIONS} == {"noul"}
+    assert all(verify.is_retryable(RuntimeError(m)) for m in ("502", "Error 529", "model not found", "x is not a valid model", "Rate limit")) and not verify.is_retryable(ValueError("bad key"))
+    assert verify.is_retryable(type("NotFoundError", (Exception,), {})("gone"))
+    with pytest.raises(ValueError):
+        verify.score_map({q: {"noul": 0.9} for q in verify.QUESTIONS} | {"verdict": {"choice": "maybe"}})
+
+
+def test_containing_against_plain_search(spark):
+    from stepweave.operators import contain
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 3)))
+    docs = [(i, " ".join(word() for _ in range(rng.randrange(0, 40)))) for i in range(120)] + [(500, None), (501, ""), (502, "a  b"), (503, "x\ny z")]
+    passages = [(i, " ".join(word() for _ in range(rng.randrange(1, 12)))) for i in range(60)] + [(100 + i, t[rng.randrange(len(t) + 1) :][: rng.randrange(60)]) for i, t in docs[:90]] + [(900, None), (901, ""), (902, " "), (903, "y z")]
+    passages += [(2000 + i, "ab") for i in range(1200)]  # many short ones
+    got = contain.containing(spark.createDataFrame(passages, "item_id int, text string"), spark.createDataFrame(docs, "doc_id int, text string"))
+    assert {tuple(r) for r in got.select("item_id", "doc_id").collect()} == {(i, j) for i, p in passages for j, t in docs if p is not None and t is not None and p in t}
+    none = spark.createDataFrame([], "item_id int, text string")
+    assert contain.containing(none, spark.createDataFrame(docs, "doc_id int, text string")).collect() == []
+
+
+def test_mentioned_terms(spark):
+    from stepweave.operators import contain
+
+    docs = spark.createDataFrame([(1, "Add the Sea Salt, and eggs"), (2, "seasalt"), (3, None), (4, "an egg-white; SEA  salt"), (5, "für Öl")], "doc_id int, text string")
+    terms = spark.createDataFrame([("sea salt",), ("Egg",), ("eggs",), ("",), ("egg-white",), ("öl",), ("the",)], "term string")
+    assert {tuple(r) for r in contain.mentioned_terms(docs, terms).collect()} == {(1, "sea salt"), (1, "eggs"), (1, "the"), (4, "egg"), (4, "egg-white"), (5, "öl")}
