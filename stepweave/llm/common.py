@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,9 +18,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one is set only where none is."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where none is set, a local one is, if the driver
+    is the only executor; on a cluster its executors wouldn't see each other's files, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="stepweave-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -43,10 +47,15 @@ def drop_stored(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def dropped_with_stored(path: str) -> str:
+    """The path, noted for drop_stored."""
+    _STORED.append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Like cut, as a Parquet table: smaller, and read column by column."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _STORED.append(path)
+    path = dropped_with_stored(f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}")
     df.write.option("parquet.block.size", 16 << 20).parquet(path)  # texts in small row groups: a writer holds one in memory
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -68,27 +77,25 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def prefix_sums(rows: DataFrame, order: list[str], amount: str | None = None) -> DataFrame:
-    """Add `_before` (sum of amount over all rows ahead in the global order) and `_rank` (their number).
+def prefix_sums(rows: DataFrame, order: list[str], amount: str | None = None, also: dict[str, str] | None = None) -> DataFrame:
+    """Add `_before` (sum of amount over all rows ahead in the global order), `_rank` (their number) and, for each name in
+    `also`, the sum of its column over these rows.
 
     Rows are dealt into ranges of the order, each range is summed by itself, and the few range totals (one row per
     range) are accumulated and joined back: no task ever sees more than a range. Rows that tie in the whole order
     come in any order among themselves, so give it a last column that is unique where that matters.
     """
-    value = F.col(amount) if amount else F.lit(0).cast("long")
+    values = {"_before": F.col(amount) if amount else F.lit(0).cast("long"), "_rank": F.lit(1).cast("long"), **{k: F.col(c) for k, c in (also or {}).items()}}
     ranged = cut(rows.repartitionByRange(partitions(rows.sparkSession), *order).withColumn("_range", F.spark_partition_id()))
     ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    heads = (
-        ranged.groupBy("_range")
-        .agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_n"))
-        .select("_range", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_sum0"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_n0"))
-    )
+    sums = ranged.groupBy("_range").agg(*[F.sum(v).alias(f"_sum{k}") for k, v in values.items()])
+    heads = sums.select("_range", *[F.coalesce(F.sum(f"_sum{k}").over(ahead), F.lit(0)).alias(f"_ahead{k}") for k in values])
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        ranged.withColumns({"_run": F.sum(value).over(inside), "_row": F.count(F.lit(1)).over(inside)})
+        ranged.withColumns({f"_run{k}": F.sum(v).over(inside) for k, v in values.items()})
         .join(F.broadcast(heads), "_range")
-        .withColumns({"_before": F.col("_sum0") + F.col("_run") - value, "_rank": F.col("_n0") + F.col("_row") - 1})
-        .drop("_range", "_sum0", "_n0", "_run", "_row")
+        .withColumns({k: F.col(f"_ahead{k}") + F.col(f"_run{k}") - v for k, v in values.items()})
+        .drop("_range", *[f"_ahead{k}" for k in values], *[f"_run{k}" for k in values])
     )
 
 

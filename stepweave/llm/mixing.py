@@ -3,7 +3,8 @@
 A source's target is a whole number of passes over it and a part of one more. The part is cut by a threshold on a hash
 of the row: sums of tokens by source and hash bucket show in which bucket the budget ends; only that bucket is split
 into finer buckets, and again, until it holds one row. Rows are then filtered by one comparison with their source's
-threshold; nothing is sorted, and a larger budget always keeps what a smaller one kept (nested).
+threshold; nothing is sorted, and a larger budget always keeps what a smaller one kept (nested). Rows that repeat are
+numbered and hashed with their number, so that a threshold can fall between them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stepweave.llm.common import WORD, stored
+from stepweave.llm.common import WORD, prefix_sums, stored
 
 #: Bits of the hash that one histogram resolves, and how many histograms there are at most (60 bits in all).
 BITS, LEVELS = 12, 5
@@ -33,21 +34,43 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float) -> DataFra
     Solved at once: in the order of MAX_PASSES x size / weight the sources that stop come first, and from the first one
     that stays below its limit on, all do. Sources of size 0 get target 0.
     """
-    everything = Window.partitionBy()
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    turn = (F.row_number().over(by_name) - 1) % len(weights) + 1
-    ahead = Window.orderBy(F.col("_most") / F.col("_w"), F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    out = sizes.withColumns({"_w": F.element_at(F.array(*map(F.lit, weights)), turn.cast("int")).cast("long"), "_most": F.col("source_size") * MAX_PASSES})
-    out = out.withColumns({
-        "_share": F.sum("source_size").over(everything) * F.lit(share),
-        "_stopped": F.coalesce(F.sum("_most").over(ahead), F.lit(0)),
-        "_left_w": F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(ahead), F.lit(0)),
-    })
-    own = (F.col("_share") - F.col("_stopped")) * F.col("_w") / F.col("_left_w")
-    out = out.withColumn("_at", F.max(F.when(own <= F.col("_most"), F.struct("_left_w", "_stopped"))).over(everything))
-    level = (F.col("_share") - F.col("_at._stopped")) * F.col("_w") / F.col("_at._left_w")
-    target = F.when(level <= F.col("_most"), level).otherwise(F.col("_most").cast("double"))
-    return out.withColumn("target", target).drop("_w", "_most", "_share", "_stopped", "_left_w", "_at")
+    named = sizes.withColumn("_none", F.col("source").isNull())
+    turn = prefix_sums(named, ["_none", "source"]).withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights) + 1).cast("int")).cast("long"))
+    turn = turn.drop("_before", "_rank").withColumn("_most", F.col("source_size") * MAX_PASSES).withColumn("_fill", F.col("_most") / F.col("_w"))
+    out = stored(prefix_sums(turn, ["_fill", "_none", "source"], "_most", {"_ahead_w": "_w"}), "mix_order")
+    total = out.agg(F.sum("source_size").alias("size"), F.sum("_w").alias("w")).first()
+    amount, all_w = (total["size"] or 0) * share, total["w"] or 0
+    own = (F.lit(amount) - F.col("_before")) * F.col("_w") / (F.lit(all_w) - F.col("_ahead_w"))
+    at = out.filter(own <= F.col("_most")).agg(F.max(F.struct((F.lit(all_w) - F.col("_ahead_w")).alias("w"), F.col("_before").alias("stopped"))).alias("m")).first()["m"]
+    target = F.col("_most").cast("double")
+    if at:
+        level = (F.lit(amount) - F.lit(at["stopped"])) * F.col("_w") / F.lit(at["w"])
+        target = F.when(level <= F.col("_most"), level).otherwise(target)
+    return out.withColumn("target", target).drop("_none", "_w", "_most", "_fill", "_before", "_ahead_w", "_rank")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (_src, _u, _part, _at, ...) with the hash _u of a row's second, third, ... repetition made from it and its number.
+
+    Only hashes that occur again are touched. They are counted by hash and input partition (_part), so a row that a third
+    of all rows repeat is numbered by as many tasks as it came from.
+    """
+    again = stored(rows.groupBy("_src", "_u").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_src", "_u"), "mix_again")
+    if again.isEmpty():
+        return rows
+    several = rows.join(again, ["_src", "_u"], "left_semi")
+    ahead = Window.partitionBy("_src", "_u").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = several.groupBy("_src", "_u", "_part").agg(F.count(F.lit(1)).alias("_n")).select("_src", "_u", "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_src", "_u", "_part").orderBy("_at")
+    counted = several.withColumn("_k", F.row_number().over(inside) - 1).join(parts, ["_src", "_u", "_part"]).withColumn("_k", F.col("_k") + F.col("_base"))
+    other = hash60(F.concat(F.col("_u").cast("string"), F.lit(":"), F.col("_k").cast("string")))
+    moved = counted.withColumn("_u", F.when(F.col("_k") == 0, F.col("_u")).otherwise(other))
+    return stored(rows.join(again, ["_src", "_u"], "left_anti").select(rows.columns).union(moved.select(rows.columns)), "mix_numbered")
+
+
+def hash60(text: Column) -> Column:
+    """The first BITS * LEVELS bits of an MD5."""
+    return F.conv(F.substring(F.md5(text), 1, BITS * LEVELS // 4), 16, 10).cast("long")
 
 
 def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -84,15 +107,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     """One row per row of docs: doc_id, source, size, source_size, target, copies (0 to MAX_PASSES), taken, `carry`.
 
     size: words of the text (null: 0). copies: the whole passes of the source, and one more where the row's hash is
-    below the source's threshold; taken = copies * size. A source's taken words miss its target by half a row at most
-    (rows equal in doc_id and text share a hash and count as one row here). A null source is a source. An empty table
-    gives an empty result; columns of docs that aren't named play no part.
+    below the source's threshold; taken = copies * size. A source's taken words miss its target by half a row at most.
+    Rows equal in doc_id, text and source are numbered and taken one by one; which of them comes first is open. A null
+    source is a source. An empty table gives an empty result; columns of docs that aren't named play no part.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text))
-    u = F.conv(F.substring(digest, 1, BITS * LEVELS // 4), 16, 10).cast("long")
+    u = hash60(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text))
+    at = {"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}
     rows = docs.select("doc_id", "source", source_key(F.col("source")).alias("_src"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), u.alias("_u"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
-    rows = stored(rows, "mix_rows")
+    rows = numbered(stored(rows.withColumns(at), "mix_rows"))
     plan = targets(rows.groupBy("_src").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), weights, share)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = stored(plan.withColumn("_passes", passes.cast("int")).withColumn("_left", F.col("target") - F.col("_passes") * F.col("source_size")), "mix_plan")
@@ -110,10 +133,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same choice with running sums over the sorted hashes.
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, coalesce('s' || source, 'null') AS src, source,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS u
-  FROM documents),
+  SELECT doc_id, src, source, size, CASE WHEN k = 0 THEN u ELSE ('0x' || substr(md5(u || ':' || k), 1, 15))::BIGINT END AS u FROM (
+    SELECT *, row_number() OVER (PARTITION BY src, u) - 1 AS k FROM (
+      SELECT doc_id, coalesce('s' || source, 'null') AS src, source,
+             len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS u
+      FROM documents))),
 s AS (
   SELECT src, source, sum(size)::BIGINT AS source_size,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w
