@@ -21,8 +21,10 @@ from pyspark.sql.window import Window
 from stepweave.llm.common import small_batches, stored, trimmed
 from stepweave.llm.tokens import column_bytes, default_path, encoder, with_end
 
-#: Lengths in an enumerated combination; passes of the solver; parts in which pieces of one length are ranked.
-DEPTH, STEPS, SALTS = 3, 400, 128
+#: Lengths in an enumerated combination; passes of the solver.
+DEPTH, STEPS = 3, 400
+#: Pieces of one length are ranked in SALTS parts, and in as many more as it takes for PART pieces in each.
+SALTS, PART = 128, 1 << 16
 
 
 def combinations(hist: np.ndarray, window: int) -> np.ndarray:
@@ -135,7 +137,8 @@ def lookup_table(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarra
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFrame:
-    """Cut each document's ids (with the end id) at multiples of window: doc_id, start, length, ids_crc32, doc_tokens."""
+    """Cut each document's ids (with the end id) at multiples of window: doc_id, start, length, ids_crc32, doc_tokens, and
+    again, the number of rows before with this doc_id in the batch: rows that repeat differ in it."""
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -143,6 +146,9 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFra
         enc = encoder(tokenizer)
         for batch in batches:
             ids, first = with_end(*enc.encode(*column_bytes(batch.column(1))), end_id)
+            _, key, times = np.unique(batch.column(0).dictionary_encode().indices.fill_null(-1).to_numpy(), return_inverse=True, return_counts=True)
+            again = np.empty(len(key), np.int64)
+            again[np.argsort(key, kind="stable")] = np.arange(len(key)) - np.repeat(np.cumsum(times) - times, times)
             size = np.diff(first)
             n = -(-size // window)
             doc = np.repeat(np.arange(len(n)), n)
@@ -150,16 +156,16 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFra
             length = np.minimum(size[doc] - start, window)
             raw, at = memoryview(ids.astype("<u4")).cast("B"), (first[:-1][doc] + start) * 4
             crc = np.fromiter((zlib.crc32(raw[a : a + 4 * m]) for a, m in zip(at.tolist(), length.tolist(), strict=True)), np.int64, len(doc))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc), pa.array(size[doc])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc), pa.array(size[doc]), pa.array(again[doc])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "again"])
 
-    return docs.select("doc_id", "text").mapInArrow(trimmed(cut), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(cut), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, again long")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 1024, end_id: int = 0) -> DataFrame:
     """Pieces of all documents with their place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null or empty text is the end id alone. Repeated rows are packed as rows of their own; a null doc_id is kept. An
-    empty table gives an empty result. Other columns of docs play no part.
+    A null or empty text is the end id alone; a very long one is cut into many pieces. Repeated rows are packed as rows of
+    their own; a null doc_id is kept. An empty table gives an empty result. Other columns of docs play no part.
     """
     with small_batches(docs.sparkSession):
         cuts = stored(pieces(docs, tokenizer or default_path(), window, end_id), "pieces")
@@ -167,11 +173,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 1024, end_
     table = cuts.sparkSession.sparkContext.broadcast(lookup_table(make_plan(counts, window)))  # bounded by the combinations of a window
 
     # ranks among the pieces of a length: counted by length and salt, then inside each of these
-    salted = cuts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
+    many = [(n, -(-k // PART)) for n, k in counts.items() if k > SALTS * PART]  # whole windows, and few others
+    salts = F.coalesce(*[F.when(F.col("length") == n, k) for n, k in many], F.lit(SALTS))
+    salted = cuts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "again"), salts).cast("int"))
     ahead = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     base = salted.groupBy("length", "_salt").count().select("length", "_salt", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = salted.withColumn("_rank", F.row_number().over(inside) - 1).join(F.broadcast(base), ["length", "_salt"])  # window * SALTS rows at most
+    # not broadcast by hand: it grows with the pieces, and both sides are dealt by these keys already
+    ranked = salted.withColumn("_rank", F.row_number().over(inside) - 1).join(base, ["length", "_salt"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("_rank") + F.col("_base")).alias("_rank"))
 
     def place(batches: Iterator) -> Iterator:
