@@ -5,7 +5,8 @@ shard-NNNNN.ids   the ids of a range of doc_ids, in order, little-endian unsigne
 index/bucket-NNNNN.mph   the keys whose digest falls into the bucket: bit arrays of the minimal perfect hash, ranks at
                   their words, and by slot a 32-bit fingerprint, shard, first id and number of ids
 
-A key is (doc_id, occurrence), occurrence 0 but for repeated doc_ids. A lookup hashes the key to its bucket, walks the
+A key is (doc_id, occurrence), occurrence 0 but for repeated doc_ids; a doc_id is a whole number or a string. Rows are
+dealt to shards by doc_id and row, so a doc_id that very many rows share takes several shards. A lookup hashes the key to its bucket, walks the
 bit arrays (under two steps on average), compares the fingerprint, and reads the payload at the stored offset: constant
 time whatever the number of documents. Files are written under another name and moved, so a task may run again.
 """
@@ -13,6 +14,7 @@ time whatever the number of documents. Files are written under another name and
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import uuid
 import zlib
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import partitions, shared_dir, small_batches, stored, trimmed
+from stepweave.llm.common import dropped_with_stored, partitions, shared_dir, small_batches, stored, trimmed
 from stepweave.llm.tokens import column_bytes, default_path, encoder, mix64, with_end
 
 #: Keys in an index bucket on average; bits per key and level; levels before keys are listed as they are.
@@ -145,16 +147,27 @@ def find(uri: str, n_buckets: int, h: np.ndarray) -> np.ndarray:
     return out
 
 
+def numbers(doc_id) -> np.ndarray:
+    """64-bit numbers of the keys of an Arrow column: their own, or a hash of a string's bytes; 0 for null."""
+    import pyarrow as pa
+
+    if pa.types.is_integer(doc_id.type):
+        return doc_id.cast(pa.int64()).fill_null(0).to_numpy()
+    if not (pa.types.is_string(doc_id.type) or pa.types.is_large_string(doc_id.type)):
+        raise TypeError(f"keys are whole numbers or strings, not {doc_id.type}")
+    return np.array([int.from_bytes(hashlib.blake2b((k or "").encode(), digest_size=8).digest(), "little", signed=True) for k in doc_id.to_pylist()], np.int64)
+
+
 def key_columns(batch) -> np.ndarray:
-    doc_id, null = batch.column(0), batch.column(0).is_null().to_numpy(zero_copy_only=False)
-    return digest(doc_id.fill_null(0).to_numpy(), null, batch.column(1).to_numpy())
+    return digest(numbers(batch.column(0)), batch.column(0).is_null().to_numpy(zero_copy_only=False), batch.column(1).to_numpy())
 
 
 def write(docs: DataFrame, uri: str, tokenizer: str | None = None, end_id: int = 2, n_shards: int | None = None) -> DataFrame:
     """Write ids of all texts, each followed by end_id, in ascending doc_id order, with the index; its keys.
 
     Returns doc_id, occurrence. A null or empty text is the end id alone; a null doc_id comes first and is a key.
-    Rows that repeat a doc_id are numbered 0, 1, ... and each has its own ids. An empty table writes no shard.
+    Rows that repeat a doc_id are numbered 0, 1, ... and each has its own ids; their order among themselves is open. An
+    empty table writes no shard. Other columns of docs play no part.
     """
     tokenizer = tokenizer or default_path()
     spark = docs.sparkSession
@@ -186,11 +199,12 @@ def write(docs: DataFrame, uri: str, tokenizer: str | None = None, end_id: int =
             stream.close()
             system.move(part, name)
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(n_shards or partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    ordered = numbered.repartitionByRange(n_shards or partitions(spark), "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
     # runs once: what follows reads the table
     with small_batches(spark):
         entries = stored(ordered.mapInArrow(trimmed(shard), f"doc_id {key_type}, occurrence long, shard long, first long, n long"), "entries")
-    sums = sorted((r[0], r[1], r[2]) for r in entries.groupBy("shard").agg(F.sum("n"), F.count(F.lit(1))).collect())  # one row a shard
+    entries, sums = joined_numbers(entries)
     starts, total = {}, 0
     for number, n, _ in sums:
         starts[number], total = total, total + n
@@ -219,18 +233,41 @@ def write(docs: DataFrame, uri: str, tokenizer: str | None = None, end_id: int =
     return entries.select("doc_id", "occurrence")
 
 
+def joined_numbers(entries: DataFrame) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """Entries numbered on where a doc_id goes on from shard to shard, and (shard, ids, documents) of all shards in order."""
+    key = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")
+    by = entries.groupBy("shard").agg(F.sum("n").alias("ids"), F.count(F.lit(1)).alias("docs"), F.min(key).alias("lo"), F.max(key).alias("hi"), F.max(F.struct(key, "occurrence")).alias("last"))
+    rows = sorted((r["shard"], r["ids"], r["docs"], r["lo"], r["hi"], r["last"]["occurrence"]) for r in by.collect())  # one row a shard
+    moved, open_, so_far = [], None, 0
+    for shard, _, _, lo, hi, last in rows:
+        here = so_far if lo == open_ else 0
+        if here:
+            moved.append((shard, here))
+        so_far = last + 1 + (here if hi == lo else 0)
+        open_ = hi
+    if moved:
+        more = entries.sparkSession.createDataFrame(moved, "_shard long, _more long")  # a row a shard at most
+        first = entries.groupBy("shard").agg(F.min(key).alias("_lo")).select(F.col("shard").alias("_shard"), "_lo").join(more, "_shard")
+        on = (F.col("shard") == F.col("_shard")) & (key == F.col("_lo"))
+        names = entries.columns
+        entries = stored(entries.join(F.broadcast(first), on, "left").withColumn("occurrence", F.col("occurrence") + F.coalesce("_more", F.lit(0))).select(names), "entries")
+    return entries, [r[:3] for r in rows]
+
+
 def read_meta(uri: str) -> dict:
     system, root = files(uri)
     with system.open_input_stream(f"{root}/meta.json") as f:
         return json.loads(f.read())
 
 
-def lookup(uri: str, doc_id: int, occurrence: int = 0) -> np.ndarray | None:
+def lookup(uri: str, doc_id: int | str | None, occurrence: int = 0) -> np.ndarray | None:
     """Ids of one document, from two reads; None if there is no such key."""
     meta = read_meta(uri)
     if not meta["docs"]:
         return None
-    h = digest(np.array([doc_id or 0]), np.array([doc_id is None]), np.array([occurrence]))
+    import pyarrow as pa
+
+    h = digest(numbers(pa.array([doc_id], pa.string() if isinstance(doc_id, str) else pa.int64())), np.array([doc_id is None]), np.array([occurrence]))
     row = find(uri, meta["buckets"], h)[0]
     if row["n"] == np.iinfo(np.uint64).max:
         return None
@@ -287,5 +324,5 @@ def read(keys: DataFrame, uri: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uri = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    uri = dropped_with_stored(f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}")
     return read(write(spark.read.parquet(f"{sf_dir}/documents.parquet"), uri), uri)

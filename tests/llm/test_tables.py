@@ -116,6 +116,14 @@ def test_packing(all_docs, odd_docs, odd_rows, no_docs, library):
     assert packing.pack(no_docs).collect() == []
 
 
+def test_packing_in_many_parts(spark, library, monkeypatch):
+    """One row that is two thirds of all, and more parts than the least number."""
+    monkeypatch.setattr(packing, "SALTS", 2)
+    monkeypatch.setattr(packing, "PART", 20)
+    rows = [(7, "a b c " * 700, "s")] * 200 + [(i, "d e " * (i % 50), "s") for i in range(100)]
+    check_packing(packing.pack(docs_of(spark, rows).repartition(4)).collect(), rows, library)
+
+
 def test_plan_places_every_piece_and_fills_windows():
     rng = np.random.default_rng(2)
     counts = Counter(rng.integers(1, 1025, 200_000).tolist())
@@ -166,6 +174,28 @@ def test_token_files(spark, all_docs, odd_docs, odd_rows, no_docs, library, tmp_
     assert token_files.lookup(uri, 1) is None
 
 
+def test_token_files_of_one_repeated_key(spark, library, tmp_path):
+    """A doc_id that most rows share takes several shards; its rows are numbered on from shard to shard."""
+    rows = [(5, f"text {i}", "s") for i in range(900)] + [(i, "other", "s") for i in range(40)] + [(None, "none", "s")] * 300
+    uri = f"file://{tmp_path}/a"
+    docs = docs_of(spark, rows).repartition(6)
+    keys = token_files.write(docs, uri, n_shards=6)
+    assert Counter((r.doc_id, r.occurrence) for r in keys.collect()) == Counter([(5, k) for k in range(901)] + [(i, 0) for i in range(40) if i != 5] + [(None, k) for k in range(300)])
+    assert len(list((tmp_path / "a").glob("shard-*.ids"))) >= 4
+    check_token_files(spark, docs, rows, library, f"file://{tmp_path}/b", 6)
+    assert sorted(token_files.lookup(uri, 5, k).tolist() for k in range(901)) == sorted([*library(t), 2] for i, t, _ in rows if i == 5)
+    assert token_files.lookup(uri, 5, 901) is None and token_files.lookup(uri, None, 299).tolist() == [*library("none"), 2]
+
+
+def test_token_files_of_string_keys(spark, library, tmp_path):
+    rows = [(f"doc-{i:03d}", f"text {i}", "s") for i in range(50)] + [(None, "x", "s"), ("", "y", "s"), ("doc-001", "again", "s")]
+    uri = f"file://{tmp_path}/a"
+    check_token_files(spark, spark.createDataFrame(rows, "doc_id string, text string, source string"), rows, library, uri, 3)
+    assert token_files.lookup(uri, "doc-007").tolist() == [*library("text 7"), 2] and token_files.lookup(uri, "doc-999") is None
+    with pytest.raises(Exception, match="whole numbers or strings"):
+        token_files.write(spark.createDataFrame([(1.5, "x")], "doc_id double, text string"), f"file://{tmp_path}/c")
+
+
 def test_perfect_hash_is_minimal_and_rejects_strangers(tmp_path):
     h = tokens.mix64(np.arange(1, 20_001, dtype=np.uint64))
     levels, rest = token_files.build(h)
@@ -232,6 +262,19 @@ def test_mix_refines_only_the_boundary_bucket(spark, monkeypatch):
     assert max(off.values()) <= 7
 
 
+def test_mix_takes_repeated_rows_one_by_one(spark, sf):
+    """A row that a third of a source repeats: targets are met to half a row, however rows are dealt, as in the SQL."""
+    rows = [(7, "a b c d e f g", "s1")] * 700 + [(i, "w " * (1 + i % 9), f"s{i % 3}") for i in range(1400)] + [(None, None, None)] * 30
+    got = mixing.mix(docs_of(spark, rows).repartition(5)).collect()
+    assert max(check_mix(got, rows).values()) <= 4.5
+    seen = lambda xs: Counter(tuple(r) for r in xs)
+    assert seen(got) == seen(mixing.mix(docs_of(spark, rows).repartition(2)).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [list(r) for r in rows])
+    assert Counter((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in got) == Counter((i, n, m, round(t, 6), k) for i, n, m, t, k in con.execute(mixing.ORACLE).fetchall())
+
+
 # quality
 
 
