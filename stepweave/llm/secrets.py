@@ -14,6 +14,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,9 +145,9 @@ def candidates(texts: list[str | None], column) -> list[list[tuple[str, int, int
     raw = buf.tobytes()
     start, end = runs(buf, offsets)
     doc = np.searchsorted(offsets, start, "right") - 1
-    for d, a, b in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True):
+    points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80, dtype=np.int64)]) if len(start) else offsets  # code points before a byte
+    for d, a, b, at in zip(doc.tolist(), start.tolist(), end.tolist(), (points[start] - points[offsets[doc]]).tolist() if len(start) else [], strict=True):
         value = raw[a:b].decode()
-        at = len(raw[offsets[d] : a].decode())
         cores = [core for m in PART.finditer(value) if (core := trim(m[0], at + m.start())) and mixed(value[core[0] - at : core[1] - at])] if "=" in value else []
         if cores:
             found[d] += [("run", *core) for core in cores]
@@ -159,11 +160,14 @@ def candidates(texts: list[str | None], column) -> list[list[tuple[str, int, int
                     found[d] += [(rule, *m.span(m.re.groups)) for m in pattern.finditer(text)]
     out = []
     for spans, others in zip(found, whole, strict=True):
-        kept: list = []
+        kept: list = []  # in order of place; they don't overlap
+        starts: list[int] = []
         for s in sorted(spans, key=lambda s: (s[1] - s[2], s[1])) + others:
-            if all(s[2] <= k[1] or s[1] >= k[2] for k in kept):
-                kept.append(s)
-        out.append(sorted(kept, key=lambda s: s[1]))
+            i = bisect_left(starts, s[1])
+            if (i == 0 or kept[i - 1][2] <= s[1]) and (i == len(kept) or s[2] <= starts[i]):
+                kept.insert(i, s)
+                starts.insert(i, s[1])
+        out.append(kept)
     return out
 
 
@@ -264,7 +268,9 @@ def scan(docs: DataFrame, model: tuple[list, float] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_candidates, n_secrets, secrets (array of rule, start, end, score, sha256 of the
     value; code points, end exclusive).
 
-    A null or empty text has none. Repeated rows are alike; other columns of docs play no part.
+    A null or empty text has none. Repeated rows are alike, an empty table gives an empty result, and texts and values of
+    any length are read whole. Of candidates that overlap the longer stays, of equally long ones the first. Other columns
+    of docs play no part.
     """
     model = model or fit()
 
@@ -284,7 +290,8 @@ def scan(docs: DataFrame, model: tuple[list, float] | None = None) -> DataFrame:
 def redact(docs: DataFrame, model: tuple[list, float] | None = None, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret in text replaced by mark, and n_chars (where it is) set to the new length of changed texts.
 
-    All other columns pass through as they are; no row is dropped.
+    All other columns pass through as they are, whatever their names; no row is dropped. Null and empty texts, repeated
+    rows, overlaps and long values are as in `scan`; an empty table stays empty. Other integer or null n_chars values stay.
     """
     model = model or fit()
     names = docs.columns

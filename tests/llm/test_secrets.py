@@ -115,3 +115,13 @@ def test_long_secrets(spark):
     assert secrets.features("run", "", "a" * 512 + tail, "") != secrets.features("run", "", "a" * 512 + "b" * 600, "")
     odd = ["-----BEGIN PRIVATE KEY-----" * 2000, "eyJ-" * 30_000, "password=" * 20_000, "-" * 100_000, "secret = " + ";" * 100_000]
     secrets.candidates(odd, pa.array(odd))
+
+
+def test_many_candidates_in_one_text():
+    import time
+
+    text = "é " + "token=24be64439e3e49cf46b2d7c90f3602a3 " * 60_000
+    begun = time.time()
+    found = secrets.candidates([text], pa.array([text]))[0]
+    assert len(found) == 60_000 and all(text[a:b] == "24be64439e3e49cf46b2d7c90f3602a3" for _, a, b in found[:5] + found[-5:])
+    assert time.time() - begun < 30
