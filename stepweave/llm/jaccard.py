@@ -8,8 +8,9 @@ never indexes a frequent one, so a passage that many documents share brings noth
 
 Nodes that meet in an index list are candidates, kept as a star around the list's least node. Connected candidates form
 blocks, and blocks are verified exactly: small ones in one task each, by a search that compares a node with the block's
-nodes that nothing has reached yet; larger ones by joins over the lists, first with a few pivots, then with all pairs of
-a list that are still in different components.
+nodes that nothing has reached yet; larger ones by joins over the lists, first with a few pivots. Lists that still hold
+different components and too many pairs are split by longer combinations: their nodes are indexed again under three, then
+four tokens of a class, with a prefix longer by as much, and only what is left in one list then is compared pair by pair.
 
 Frequent is what two documents have; in very large corpora the limit rises, so that the map of frequent tokens keeps its
 size. A token that only shares its place in that map with a frequent one counts as frequent everywhere, which changes
@@ -37,8 +38,9 @@ FREQUENT_BITS, MAX_FREQUENT, COUNTED = 27, 1 << 24, 1 << 20
 SEEN = 1 << 17
 #: Bytes hashed at a time; tokens of a block up to which one task verifies it; bits of the filter of candidate nodes.
 BYTES, BLOCK_TOKENS, FILTER_BITS = 1 << 18, 1 << 22, 1 << 26
-#: Rounds of pivots for larger blocks before the rest is compared pair by pair.
-PIVOT_ROUNDS = 3
+#: Rounds of pivots for the lists of larger blocks; pairs for each of their nodes up to which they are compared one by
+#: one; the most tokens in a combination, after which they are compared whatever their number.
+PIVOT_ROUNDS, PAIRS, MAX_COMBINED = 3, 64, 4
 
 _hash = SpanHasher()
 
@@ -103,8 +105,12 @@ def needed(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def prefix_signatures(tokens: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """Hashes of the single tokens and pairs under which a set is indexed; often: which of its tokens are frequent."""
+def prefix_signatures(tokens: np.ndarray, often: np.ndarray, size: int = 2) -> np.ndarray:
+    """Hashes of the single tokens and combinations of `size` under which a set is indexed; often: which are frequent.
+
+    The prefix has as many tokens as the set may miss and one more, and size - 1 for each class that it touches: of two
+    similar sets' shared tokens in it at least `size` are then in one class, or one is rare.
+    """
     need = needed(len(tokens))
     n, rare = len(tokens), tokens[~often][:need]
     out, missing = [rare], need - len(rare)
@@ -118,22 +124,32 @@ def prefix_signatures(tokens: np.ndarray, often: np.ndarray) -> np.ndarray:
             starts = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=classes))[:-1]])
             nth = np.empty(len(common), np.int64)
             nth[order] = np.arange(len(common)) - starts[kind[order]]
-            gained = np.cumsum(nth > 0)  # all but the first token of a class bring the prefix on
+            gained = np.cumsum(nth >= size - 1)  # all but the first size - 1 tokens of a class bring the prefix on
             end = int(np.searchsorted(gained, missing)) + 1
             kind, part = kind[:end], common[:end]
             order = np.argsort(kind, kind="stable")
             kind, part = kind[order], part[order]
-            step = 1
-            while step < len(part):
-                same = kind[step:] == kind[:-step]
-                if not same.any():
-                    break
-                low, high = part[:-step][same], part[step:][same]
-                out.append(mix64(np.minimum(low, high) + mix64(np.maximum(low, high)) * np.uint64(2 * bucket + 1)))
-                step += 1
+            out.append(combined(kind, part, size, np.uint64(2 * bucket + 1)))
     return np.concatenate(out)
 
 
+def combined(kind: np.ndarray, part: np.ndarray, size: int, salt: np.uint64) -> np.ndarray:
+    """A hash for each combination of `size` tokens of one class; rows are in order of class, then of token."""
+    low, last = part, np.arange(len(part))  # of a combination: its hash, the place of its last token
+    for _ in range(size - 1):
+        hashes, places, step = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 1
+        while step < len(part):
+            ok = last + step < len(part)
+            ok[ok] = kind[last[ok] + step] == kind[last[ok]]
+            if not ok.any():
+                break
+            hashes.append(mix64(low[ok] + mix64(part[last[ok] + step]) * salt))
+            places.append(last[ok] + step)
+            step += 1
+        low, last = np.concatenate(hashes), np.concatenate(places)
+    return low
+
+
 def similar(overlap: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 100 * overlap >= PERCENT * (n + m - overlap)
 
@@ -191,12 +207,18 @@ def nodes(docs: DataFrame, keep: list[str]) -> DataFrame:
         return stored(docs.select(*keep, "text").mapInArrow(trimmed(scan), f"{types}, node long, n long"), "nodes")
 
 
+def coded(n: np.ndarray) -> np.ndarray:
+    """Counts in one byte: up to 127 as they are, then four steps for each power of two (up to 2 ** 39)."""
+    return np.where(n < 128, n, 100 + np.floor(4 * np.log2(np.maximum(n, 1)))).clip(0, 255).astype(np.uint8)
+
+
 def frequent_bits(docs: DataFrame) -> np.ndarray:
     """A bit for each value of a token's first FREQUENT_BITS bits: set where frequent tokens fall.
 
     All tokens of all documents are counted, by their first bits: so many that there are several buckets for each
     shuffle partition, and 32 more. Each task sends the sorted rest of its tokens to the bucket of their first ones. The
-    limit (2 at first) rises until at most MAX_FREQUENT tokens are frequent.
+    limit (2 at first) rises until at most MAX_FREQUENT tokens are frequent, which some limit below 2 ** 39 gives in any
+    corpus of less than 2 ** 63 tokens.
     """
     spark = docs.sparkSession
     first = min(max((4 * partitions(spark) - 1).bit_length(), 8), 16)
@@ -229,7 +251,7 @@ def frequent_bits(docs: DataFrame) -> np.ndarray:
         import pyarrow as pa
 
         print_, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("rest")]), return_counts=True)
-        print_, n = print_[n > 1], np.minimum(n[n > 1], 255).astype(np.uint8)
+        print_, n = print_[n > 1], coded(n[n > 1])
         return pa.table({"bucket": table.column("bucket")[:1], "rest": pa.array([print_.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
 
     def tally(batches: Iterator) -> Iterator:
@@ -267,10 +289,50 @@ def frequent(tokens: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def index_lists(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(sig, first, node): every list of two nodes or more, with the least node of each list in all its rows."""
+def listed(batches: Iterator) -> Iterator:
+    """Lists of two nodes or more from sorted rows (sig, node); the first row of a batch may belong to the list before."""
+    import pyarrow as pa
+
+    last_sig = last_node = first = None
+    alone = False
+    for batch in batches:
+        sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(sig):
+            continue
+        if last_sig is not None:  # the row before, again
+            sig, node = np.concatenate([[last_sig], sig]), np.concatenate([[last_node], node])
+        new = np.ones(len(sig), bool)
+        new[1:] = sig[1:] != sig[:-1]
+        again = np.zeros(len(sig), bool)
+        again[1:] = ~new[1:] & (node[1:] == node[:-1])
+        run = np.cumsum(new) - 1
+        heads = node[new]
+        if last_sig is not None:
+            heads[0] = first
+        lead = heads[run]
+        member = ~again & (node != lead)
+        has = np.zeros(len(heads), bool)
+        has[run[member]] = True
+        # a list's first row goes out once, when a second node is found
+        opening = np.flatnonzero(has)
+        if last_sig is not None and not alone:
+            opening = opening[opening > 0]
+            member[0] = False
+        elif last_sig is not None:
+            member[0] = False
+        starts = np.flatnonzero(new)[opening]
+        at = np.concatenate([starts, np.flatnonzero(member)])
+        out_node = np.concatenate([heads[opening], node[member]])
+        yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array(lead[at]), pa.array(out_node)], names=["sig", "first", "node"])
+        same = last_sig is not None and run[-1] == 0
+        alone = (alone if same else True) and not has[-1]
+        last_sig, last_node, first = sig[-1], node[-1], heads[-1]
+
+
+def index_lists(docs: DataFrame, shared) -> DataFrame:
+    """(sig, first, node): every list of two nodes or more, with the least node of each list in all its rows. shared: the
+    broadcast map of frequent tokens (FREQUENT_BITS bits)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(bits)  # FREQUENT_BITS bits
 
     def emit(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -288,47 +350,30 @@ def index_lists(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(owners))], names=["sig", "node"])
 
-    def lists(batches: Iterator) -> Iterator:
+    with small_batches(spark):
+        return as_lists(docs.select("text").mapInArrow(trimmed(emit), "sig long, node long"))
+
+
+def as_lists(sigs: DataFrame) -> DataFrame:
+    spark = sigs.sparkSession
+    rows = sigs.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "node")
+    return stored(rows.mapInArrow(trimmed(listed), "sig long, first long, node long"), "lists")
+
+
+def longer_lists(sets: DataFrame, shared, size: int) -> DataFrame:
+    """Lists of nodes (node, tokens) under combinations of `size` tokens."""
+
+    def emit(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        last_sig = last_node = first = None
-        alone = False
         for batch in batches:
-            sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(sig):
-                continue
-            if last_sig is not None:  # the row before, again
-                sig, node = np.concatenate([[last_sig], sig]), np.concatenate([[last_node], node])
-            new = np.ones(len(sig), bool)
-            new[1:] = sig[1:] != sig[:-1]
-            again = np.zeros(len(sig), bool)
-            again[1:] = ~new[1:] & (node[1:] == node[:-1])
-            run = np.cumsum(new) - 1
-            heads = node[new]
-            if last_sig is not None:
-                heads[0] = first
-            lead = heads[run]
-            member = ~again & (node != lead)
-            has = np.zeros(len(heads), bool)
-            has[run[member]] = True
-            # a list's first row goes out once, when a second node is found
-            opening = np.flatnonzero(has)
-            if last_sig is not None and not alone:
-                opening = opening[opening > 0]
-                member[0] = False
-            elif last_sig is not None:
-                member[0] = False
-            starts = np.flatnonzero(new)[opening]
-            at = np.concatenate([starts, np.flatnonzero(member)])
-            out_node = np.concatenate([heads[opening], node[member]])
-            yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array(lead[at]), pa.array(out_node)], names=["sig", "first", "node"])
-            same = last_sig is not None and run[-1] == 0
-            alone = (alone if same else True) and not has[-1]
-            last_sig, last_node, first = sig[-1], node[-1], heads[-1]
+            sets_ = [np.frombuffer(raw.as_buffer(), np.uint64) for raw in batch.column(1)]
+            sigs = [np.zeros(0, np.uint64), *(prefix_signatures(s, frequent(s, shared.value), size) for s in sets_)]
+            owners = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sigs[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(owners)], names=["sig", "node"])
 
-    with small_batches(spark):
-        sigs = docs.select("text").mapInArrow(trimmed(emit), "sig long, node long").repartition(partitions(spark), "sig").sortWithinPartitions("sig", "node")
-        return stored(sigs.mapInArrow(trimmed(lists), "sig long, first long, node long"), "lists")
+    with small_batches(sets.sparkSession):
+        return as_lists(sets.select("node", "tokens").mapInArrow(trimmed(emit), "sig long, node long"))
 
 
 def node_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -379,32 +424,50 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return stored(both.mapInArrow(trimmed(test), "a long, b long"), "links")
 
 
-def large_block_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) for lists of large blocks, by joins: pivots first, then every pair still in two components."""
+def large_block_links(lists: DataFrame, sets: DataFrame, shared) -> DataFrame:
+    """Links (a, b) for lists of large blocks, by joins: pivots first, then longer combinations for lists that still have
+    many pairs of nodes in two components, then every such pair."""
     spark = lists.sparkSession
     links = spark.createDataFrame([], "a long, b long")
-    label = lists.select("node").distinct().withColumn("root", F.col("node"))
-    for turn in range(PIVOT_ROUNDS + 1):
+    everything = lists.select("node").distinct()
+    label = everything.withColumn("root", F.col("node"))
+
+    def still_open(label: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """Rows (sig, node, root), and of lists with two components (sig, a pivot, size)."""
         rows = stored(lists.select("sig", "node").join(label, "node"), "members")
-        open_ = rows.groupBy("sig").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")).alias("_p")).filter("_lo <> _hi").select("sig", "_p")
-        if open_.isEmpty():
+        by = rows.groupBy("sig").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")).alias("_p"), F.count(F.lit(1)).alias("_n"))
+        return rows, stored(by.filter("_lo <> _hi").select("sig", "_p", "_n"), "open")
+
+    def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = stored(links.union(verified(stored(pairs.distinct(), "pairs"), sets)), "links")
+        return found, everything.join(components(found), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+    for size in range(2, MAX_COMBINED + 1):
+        for turn in range(PIVOT_ROUNDS):
+            rows, open_ = still_open(label, turn)
+            if open_.isEmpty():
+                return links
+            pivots = rows.join(open_, "sig").filter(F.col("root") != F.col("_p.root"))
+            links, label = linked(pivots.select(F.least("node", "_p.node").alias("a"), F.greatest("node", "_p.node").alias("b")))
+        rows, open_ = still_open(label, PIVOT_ROUNDS)
+        left = stored(rows.join(open_.select("sig", "_n"), "sig"), "left")
+        work = left.agg(F.sum(F.col("_n").cast("double")).alias("pairs"), F.count_distinct("node").alias("nodes")).first()
+        if not work["nodes"]:
+            return links
+        if size == MAX_COMBINED or work["pairs"] <= 2 * PAIRS * work["nodes"]:
             break
-        if turn < PIVOT_ROUNDS:
-            pairs = rows.join(open_, "sig").filter(F.col("root") != F.col("_p.root")).select(F.least("node", "_p.node").alias("a"), F.greatest("node", "_p.node").alias("b")).distinct()
-        else:
-            mine = rows.join(open_.select("sig"), "sig")
-            other = mine.select("sig", F.col("node").alias("_n"), F.col("root").alias("_r"))
-            pairs = mine.join(other, "sig").filter((F.col("node") < F.col("_n")) & (F.col("root") != F.col("_r"))).select(F.col("node").alias("a"), F.col("_n").alias("b")).distinct()
-        links = stored(links.union(verified(stored(pairs, "pairs"), sets)), "links")
-        found = components(links)
-        label = lists.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    return links
+        # similar nodes meet under the longer combinations too, and only nodes of open lists are still apart
+        lists = longer_lists(stored(sets.join(left.select("node").distinct(), "node", "left_semi"), "open_sets"), shared, size + 1)
+    other = left.select("sig", F.col("node").alias("_n2"), F.col("root").alias("_r"))
+    pairs = left.join(other, "sig").filter((F.col("node") < F.col("_n2")) & (F.col("root") != F.col("_r")))
+    return linked(pairs.select(F.col("node").alias("a"), F.col("_n2").alias("b")))[0]
 
 
 def links_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (a, b) between nodes that connect exactly what all similar pairs connect."""
     spark = docs.sparkSession
-    lists = index_lists(docs, frequent_bits(docs))
+    shared = spark.sparkContext.broadcast(frequent_bits(docs))
+    lists = index_lists(docs, shared)
     stars = lists.filter("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     blocks = components(stars)
     sizes = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"))
@@ -429,7 +492,7 @@ def links_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     if large.isEmpty():
         return small
     unique = stored(sets.join(large, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")), "large_sets")
-    return small.union(large_block_links(stored(lists.join(large, "node", "left_semi"), "large_lists"), unique))
+    return small.union(large_block_links(stored(lists.join(large, "node", "left_semi"), "large_lists"), unique, shared))
 
 
 def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

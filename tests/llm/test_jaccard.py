@@ -89,6 +89,20 @@ def test_components(spark, monkeypatch, most, block):
     assert got_of(jaccard.near_duplicates(docs_of(spark, rows).repartition(3))) == brute(rows)
 
 
+@pytest.mark.parametrize(("rounds", "pairs", "size"), [(0, 0, 4), (1, 0, 3), (0, 1 << 30, 4)], ids=["four tokens", "three tokens", "pairs only"])
+def test_large_blocks_by_longer_combinations(spark, monkeypatch, rounds, pairs, size):
+    for name, value in (("BLOCK_TOKENS", 1), ("PIVOT_ROUNDS", rounds), ("PAIRS", pairs), ("MAX_COMBINED", size)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = corpus(3)
+    assert got_of(jaccard.near_duplicates(docs_of(spark, rows).repartition(3))) == brute(rows)
+
+
+def test_counts_in_a_byte():
+    n = np.unique(np.concatenate([np.arange(1, 2000), 2 ** np.arange(1, 45), 2 ** np.arange(1, 45) - 1]))
+    code = jaccard.coded(n)
+    assert (np.diff(code.astype(int)) >= 0).all() and (code[n < 128] == n[n < 128]).all() and jaccard.coded(np.array([2**38]))[0] < jaccard.coded(np.array([2**38 * 2]))[0]
+
+
 def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
     assert got_of(jaccard.near_duplicates(clashing(odd_docs))) == brute(odd_rows)
     assert jaccard.near_duplicates(no_docs).collect() == []
@@ -122,8 +136,9 @@ def test_similar_sets_share_a_signature(n):
         if not jaccard.similar(k, n, len(y)) or (cut == 0 and len(y) == n):
             continue
         frequent = np.sort(rng.permutation(pool)[: rng.integers(0, len(pool) + 1)])
-        a, b = (set(jaccard.prefix_signatures(np.sort(s), np.isin(np.sort(s), frequent)).tolist()) for s in (x, y))
-        assert a & b
+        for size in (2, 3, 4) if min(len(x), len(y)) > 3 else (2,):
+            a, b = (set(jaccard.prefix_signatures(np.sort(s), np.isin(np.sort(s), frequent), size).tolist()) for s in (x, y))
+            assert a & b
 
 
 def test_token_sets_over_block_edges(monkeypatch, odd_rows):
