@@ -36,17 +36,15 @@ def own_words(parsed: Column) -> Column:
 
 
 def passages(parsed: Column) -> Column:
-    """Array of (level, text): runs of quoted lines of one level."""
-    none = F.array().cast("array<struct<level:int,text:string>>")
+    """Array of (level, text): runs of quoted lines of one level. Lines are sliced from run to run, each once."""
+    return let(parsed, _runs)  # bound: a filter that is pushed down would put all of it wherever it is named
 
-    def step(a: Column, x: Column) -> Column:
-        last = F.get(a["out"], F.size(a["out"]) - 1)
-        longer = F.concat(F.slice(a["out"], 1, F.greatest(F.size(a["out"]) - 1, F.lit(0))), F.array(F.struct(x["level"].alias("level"), F.concat(last["text"], F.lit("\n"), x["body"]).alias("text"))))
-        new = F.concat(a["out"], F.array(F.struct(x["level"].alias("level"), x["body"].alias("text"))))
-        out = F.when(x["level"] == 0, a["out"]).when(x["level"] == a["level"], longer).otherwise(new)
-        return F.struct(x["level"].alias("level"), out.alias("out"))
 
-    return F.aggregate(parsed, F.struct(F.lit(0).alias("level"), none.alias("out")), step, lambda a: a["out"])
+def _runs(parsed: Column) -> Column:
+    begins = F.filter(F.transform(parsed, lambda x, i: F.when((i == 0) | (x["level"] != F.get(parsed, i - 1)["level"]), i)), lambda i: i.isNotNull())
+    run = lambda b: lambda s, j: F.struct(F.get(parsed, s)["level"].alias("level"), s.alias("at"), (F.coalesce(F.get(b, j + 1), F.size(parsed)) - s).alias("n"))
+    text = lambda r: F.array_join(F.transform(F.slice(parsed, r["at"] + 1, r["n"]), lambda x: x["body"]), "\n")
+    return let(begins, lambda b: F.transform(F.filter(F.transform(b, run(b)), lambda r: r["level"] > 0), lambda r: F.struct(r["level"].alias("level"), text(r).alias("text"))))
 
 
 def units(text: Column) -> Column:
