@@ -79,19 +79,24 @@ def _shrunk(by: DataFrame, max_rate: float) -> DataFrame:
     return by.withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host_rate") > max_rate)
 
 
-def judge(docs: DataFrame, max_rate: float = MAX_HOST_RATE, carry: tuple[str, ...] = ()) -> DataFrame:
+def domain(url: Column) -> Column:
+    """The host of a URL in lower case, without www.; null where there is none. For judge's `host`."""
+    return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+
+
+def judge(docs: DataFrame, max_rate: float = MAX_HOST_RATE, carry: tuple[str, ...] = (), host: Column | None = None) -> DataFrame:
     """One row per row of docs: doc_id, source, n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines
     with a word, equal to an earlier line), n_repeat_words (words in windows of WINDOW_WORDS found twice or more, the
     first included), base_failed, kept, and `carry`.
 
-    kept is false for documents that fail and for all documents of a rejected host. A null text counts as empty: all
-    measures 0, and it fails. A null source is a host of its own. An empty table gives an empty result. Rows are judged
+    kept is false for documents that fail and for all documents of a rejected host: the source, or what `host` gives (the
+    domain of a URL, say). A null text counts as empty: all measures 0, and it fails. A null host is a host of its own. An empty table gives an empty result. Rows are judged
     one by one, repeated rows alike; columns of docs that aren't named play no part.
     """
-    rows = docs.select("doc_id", "source", "text", *[F.col(c).alias(f"_carry_{c}") for c in carry])
+    rows = docs.select("doc_id", "source", "text", source_key(F.col("source") if host is None else host).alias("_host"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
     for step in measure(F.col("text")):
         rows = rows.withColumns(step)
-    rows = stored(rows.drop("text", "_w", "_l", "_h").withColumn("_host", source_key(F.col("source"))), "quality")
+    rows = stored(rows.drop("text", "_w", "_l", "_h"), "quality")
     # written, so that its true size decides how it is joined
     verdict = stored(hosts(rows, max_rate).select("_host", "host_rejected"), "hosts")
     out = rows.join(verdict, "_host").withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
