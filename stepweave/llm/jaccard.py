@@ -6,21 +6,26 @@ frequent tokens of one class, for which the prefix is extended by one token a cl
 range; their number follows the size of the set, so pairs stay in proportion to the prefix. A set with enough rare tokens
 never indexes a frequent one, so a passage that many documents share brings nothing together.
 
-Nodes that meet in an index list are candidates, kept as a star around the list's least node. Connected candidates form
+Nodes that meet in an index list are candidates. All pairs of a short list are, unless sizes or marks rule them out: a
+mark is the parity of a set's tokens in as many slots as it has tokens, and two sets differ in at least as many tokens as
+their marks do in slots. So documents that only share a token by chance don't meet, however many a corpus has of them. Of
+a long list all are candidates, kept as a star around its least node. Connected candidates form
 blocks, and blocks are verified exactly: small ones in one task each, by a search that compares a node with the block's
-nodes that nothing has reached yet; larger ones by joins over the lists, first with a few pivots. Lists that still hold
+nodes that nothing has reached yet; larger ones by joins over their own lists, first with a few pivots. Lists that still hold
 different components and too many pairs are split by longer combinations: their nodes are indexed again under three, then
 four tokens of a class, with a prefix longer by as much, and only what is left in one list then is compared pair by pair.
 
-Frequent is what two documents have; in very large corpora the limit rises, so that the map of frequent tokens keeps its
-size. A token that only shares its place in that map with a frequent one counts as frequent everywhere, which changes
-the speed and not the result.
+Frequent is what two documents have; in large corpora the limit rises, so that the map of frequent tokens keeps its
+size, and tokens of a few documents count as rare. A token that only shares its place in that map with a frequent one
+counts as frequent everywhere, which changes the speed and not the result.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +46,9 @@ BYTES, BLOCK_TOKENS, FILTER_BITS = 1 << 18, 1 << 22, 1 << 26
 #: Rounds of pivots for the lists of larger blocks; pairs for each of their nodes up to which they are compared one by
 #: one; the most tokens in a combination, after which they are compared whatever their number.
 PIVOT_ROUNDS, PAIRS, MAX_COMBINED = 3, 64, 4
+#: Nodes of a list up to which its pairs are looked at one by one; ratio of the sizes of one code, steps between similar ones.
+SHORT_LIST, SIZE_STEP = 32, 1.05
+SIZE_CODES = math.ceil(math.log(100 / PERCENT) / math.log(SIZE_STEP))
 
 _hash = SpanHasher()
 
@@ -96,8 +104,24 @@ def token_sets(column) -> list[np.ndarray]:
 
 
 def node_of(tokens: np.ndarray) -> int:
-    """64 bits for a set."""
-    return int(mix64(mix64(tokens).sum(keepdims=True) + np.full(1, len(tokens), np.uint64)).view(np.int64)[0])
+    """64 bits for a set; the last 8 are a code of its size, by which sets of too different sizes are told apart."""
+    h = mix64(mix64(tokens).sum(keepdims=True) + np.full(1, len(tokens), np.uint64)).view(np.int64)[0]
+    return int(h) & ~255 | min(255, int(math.log(max(len(tokens), 1)) / math.log(SIZE_STEP)))
+
+
+def mark_of(tokens: np.ndarray) -> bytes:
+    """The parity of the tokens in each of a power of two of slots, as many as there are tokens or more."""
+    slots = 1 << max(6, (len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount((tokens & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1).tobytes()
+
+
+def may_be_similar(x: bytes, n: int, y: bytes, m: int) -> bool:
+    """False only for sets that aren't similar: marks x and y of sets of n and m tokens."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    least, most = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    for bits in range((8 * len(y)).bit_length() - 2, (8 * len(x)).bit_length() - 2, -1):  # to the slots of the smaller one
+        most = (most ^ most >> (1 << bits)) & (1 << (1 << bits)) - 1
+    return bool(similar(min((n + m - (least ^ most).bit_count()) // 2, n, m), n, m))
 
 
 def needed(n: int) -> int:
@@ -193,7 +217,7 @@ def block_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def nodes(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, node, n (size of the set) for every row of docs."""
+    """keep, node, n (size of the set), mark for every row of docs."""
     types = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def scan(batches: Iterator) -> Iterator:
@@ -201,10 +225,10 @@ def nodes(docs: DataFrame, keep: list[str]) -> DataFrame:
 
         for batch in batches:
             sets = token_sets(batch.column(len(keep)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=[*keep, "node", "n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([mark_of(s) for s in sets], pa.binary())], names=[*keep, "node", "n", "mark"])
 
     with small_batches(docs.sparkSession):
-        return stored(docs.select(*keep, "text").mapInArrow(trimmed(scan), f"{types}, node long, n long"), "nodes")
+        return stored(docs.select(*keep, "text").mapInArrow(trimmed(scan), f"{types}, node long, n long, mark binary"), "nodes")
 
 
 def coded(n: np.ndarray) -> np.ndarray:
@@ -329,10 +353,65 @@ def listed(batches: Iterator) -> Iterator:
         last_sig, last_node, first = sig[-1], node[-1], heads[-1]
 
 
-def index_lists(docs: DataFrame, shared) -> DataFrame:
-    """(sig, first, node): every list of two nodes or more, with the least node of each list in all its rows. shared: the
-    broadcast map of frequent tokens (FREQUENT_BITS bits)."""
-    spark = docs.sparkSession
+def met(batches: Iterator, most: int) -> Iterator:
+    """Candidates (a, b, sure), a < b, from sorted rows (sig, node): pairs of lists of up to `most` nodes whose sizes can be
+    similar; of longer lists, each node with the first one, and sure, as that stands for pairs that nobody has looked at."""
+    import pyarrow as pa
+
+    sig = node = np.zeros(0, np.int64)
+    goes_on = None  # sig and first node of a longer list at the end of the rows before
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            sig, node = np.concatenate([sig, batch.column(0).to_numpy()]), np.concatenate([node, batch.column(1).to_numpy()])
+        if not len(sig):
+            continue
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        sig, node = sig[fresh], node[fresh]
+        new = np.ones(len(sig), bool)
+        new[1:] = sig[1:] != sig[:-1]
+        run, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+        heads, long = node[starts], np.diff(np.append(starts, len(sig))) > most
+        if goes_on and sig[0] == goes_on[0]:
+            heads[0], long[0] = goes_on[1], True
+        goes_on = (sig[-1], heads[-1]) if long[-1] else None
+        end = len(sig) if batch is None or goes_on else starts[-1]  # the last list waits for its rest
+        own, run = node[:end], run[:end]
+        star = long[run] & (own != heads[run])
+        a, b = [heads[run][star]], [own[star]]
+        n_sure = len(a[0])
+        for d in range(1, most):
+            ok = (run[d:] == run[:-d]) & ~long[run[d:]]
+            if not ok.any():
+                break
+            x, y = own[:-d][ok], own[d:][ok]
+            near = np.abs((x & 255) - (y & 255)) <= SIZE_CODES
+            a.append(x[near])
+            b.append(y[near])
+        sig, node = sig[end:], node[end:]
+        a, b = np.concatenate(a), np.concatenate(b)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) < n_sure)], names=["a", "b", "sure"])
+
+
+def possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the marks (node, n, mark) don't rule out."""
+
+    def test(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = [may_be_similar(*row) for row in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    own = lambda end, m, n: marks.select(F.col("node").alias(end), F.col("mark").alias(m), F.col("n").alias(n))
+    both = pairs.join(own("a", "x", "n"), "a").join(own("b", "y", "m"), "b").select("a", "b", "x", "n", "y", "m")
+    return both.mapInArrow(trimmed(test), "a long, b long")
+
+
+def candidates(docs: DataFrame, shared, marks: DataFrame, most: int | None = None) -> DataFrame:
+    """Pairs (a, b) whose components hold every two similar nodes together. shared: the broadcast map of frequent tokens
+    (FREQUENT_BITS bits); most: SHORT_LIST if not given."""
+    spark, most = docs.sparkSession, SHORT_LIST if most is None else most
 
     def emit(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -351,16 +430,23 @@ def index_lists(docs: DataFrame, shared) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(owners))], names=["sig", "node"])
 
     with small_batches(spark):
-        return as_lists(docs.select("text").mapInArrow(trimmed(emit), "sig long, node long"))
+        rows = by_list(docs.select("text").mapInArrow(trimmed(emit), "sig long, node long"))
+        pairs = rows.mapInArrow(trimmed(lambda batches: met(batches, most)), "a long, b long, sure boolean")
+        found = stored(pairs.groupBy("a", "b").agg(F.max("sure").alias("sure")), "met")
+        near = possible(found.filter("not sure").select("a", "b"), marks)
+        return stored(found.filter("sure").select("a", "b").union(near), "candidates")
+
+
+def by_list(sigs: DataFrame) -> DataFrame:
+    return sigs.repartition(partitions(sigs.sparkSession), "sig").sortWithinPartitions("sig", "node")
 
 
 def as_lists(sigs: DataFrame) -> DataFrame:
-    spark = sigs.sparkSession
-    rows = sigs.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "node")
-    return stored(rows.mapInArrow(trimmed(listed), "sig long, first long, node long"), "lists")
+    """(sig, first, node): every list of two nodes or more, with the least node of each list in all its rows."""
+    return stored(by_list(sigs).mapInArrow(trimmed(listed), "sig long, first long, node long"), "lists")
 
 
-def longer_lists(sets: DataFrame, shared, size: int) -> DataFrame:
+def lists_of(sets: DataFrame, shared, size: int = 2) -> DataFrame:
     """Lists of nodes (node, tokens) under combinations of `size` tokens."""
 
     def emit(batches: Iterator) -> Iterator:
@@ -424,10 +510,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return stored(both.mapInArrow(trimmed(test), "a long, b long"), "links")
 
 
-def large_block_links(lists: DataFrame, sets: DataFrame, shared) -> DataFrame:
-    """Links (a, b) for lists of large blocks, by joins: pivots first, then longer combinations for lists that still have
-    many pairs of nodes in two components, then every such pair."""
-    spark = lists.sparkSession
+def large_block_links(sets: DataFrame, shared, marks: DataFrame) -> DataFrame:
+    """Links (a, b) for nodes of large blocks, by joins over their lists: pivots first, then longer combinations for lists
+    that still have many pairs of nodes in two components, then every such pair that marks don't rule out."""
+    spark, lists = sets.sparkSession, lists_of(sets, shared)
     links = spark.createDataFrame([], "a long, b long")
     everything = lists.select("node").distinct()
     label = everything.withColumn("root", F.col("node"))
@@ -439,7 +525,7 @@ def large_block_links(lists: DataFrame, sets: DataFrame, shared) -> DataFrame:
         return rows, stored(by.filter("_lo <> _hi").select("sig", "_p", "_n"), "open")
 
     def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        found = stored(links.union(verified(stored(pairs.distinct(), "pairs"), sets)), "links")
+        found = stored(links.union(verified(stored(possible(pairs.distinct(), marks), "pairs"), sets)), "links")
         return found, everything.join(components(found), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
     for size in range(2, MAX_COMBINED + 1):
@@ -457,7 +543,7 @@ def large_block_links(lists: DataFrame, sets: DataFrame, shared) -> DataFrame:
         if size == MAX_COMBINED or work["pairs"] <= 2 * PAIRS * work["nodes"]:
             break
         # similar nodes meet under the longer combinations too, and only nodes of open lists are still apart
-        lists = longer_lists(stored(sets.join(left.select("node").distinct(), "node", "left_semi"), "open_sets"), shared, size + 1)
+        lists = lists_of(stored(sets.join(left.select("node").distinct(), "node", "left_semi"), "open_sets"), shared, size + 1)
     other = left.select("sig", F.col("node").alias("_n2"), F.col("root").alias("_r"))
     pairs = left.join(other, "sig").filter((F.col("node") < F.col("_n2")) & (F.col("root") != F.col("_r")))
     return linked(pairs.select(F.col("node").alias("a"), F.col("_n2").alias("b")))[0]
@@ -467,9 +553,8 @@ def links_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (a, b) between nodes that connect exactly what all similar pairs connect."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent_bits(docs))
-    lists = index_lists(docs, shared)
-    stars = lists.filter("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    blocks = components(stars)
+    marks = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("mark").alias("mark"))
+    blocks = components(candidates(docs, shared, marks))
     sizes = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"))
     members = stored(blocks.join(sizes, "node"), "block_nodes")
     weight = members.groupBy("root").agg(F.sum("n").alias("_sum"))
@@ -492,7 +577,7 @@ def links_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     if large.isEmpty():
         return small
     unique = stored(sets.join(large, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")), "large_sets")
-    return small.union(large_block_links(stored(lists.join(large, "node", "left_semi"), "large_lists"), unique, shared))
+    return small.union(large_block_links(unique, shared, marks))
 
 
 def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -97,6 +97,55 @@ def test_large_blocks_by_longer_combinations(spark, monkeypatch, rounds, pairs,
     assert got_of(jaccard.near_duplicates(docs_of(spark, rows).repartition(3))) == brute(rows)
 
 
+def test_tokens_shared_by_chance_bring_nothing_together(spark, monkeypatch):
+    """Every document shares passages with the next one, and none is similar to another: no set is fetched, no block is made."""
+    rng, rows = random.Random(8), {}
+    words = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(30)) for _ in range(301)]
+    docs = [(i, f"{words[i]} {words[i + 1]}", "s") for i in range(300)] + [(300, f"{words[7]} {words[8]} end", "s")]
+    stored = jaccard.stored
+
+    def noted(df, name="table"):
+        out = stored(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", noted)
+    monkeypatch.setattr(jaccard, "MAX_FREQUENT", 0)  # as in a large corpus, tokens of few documents count as rare
+    assert got_of(jaccard.near_duplicates(docs_of(spark, docs).repartition(3))) == brute(docs)
+    assert rows["sets"] == 2 and rows["block_nodes"] == 2
+
+
+@pytest.mark.parametrize(("most", "rows"), [(4, 1), (4, 7), (4, 1000), (2, 3), (32, 5)])
+def test_candidates_of_sorted_lists(most, rows):
+    rng = random.Random(most * rows)
+    at = sorted((rng.randint(-9, 9) * 3, rng.randint(-30, 30) * 256 + rng.choice([3, 5, 40])) for _ in range(120))
+    batches = [pa.RecordBatch.from_arrays([pa.array([s for s, _ in part], pa.int64()), pa.array([n for _, n in part], pa.int64())], names=["sig", "node"]) for part in (at[i : i + rows] for i in range(0, len(at), rows))]
+    got = {(r["a"], r["b"], r["sure"]) for batch in jaccard.met(iter(batches), most) for r in batch.to_pylist()}
+    lists, want = defaultdict(set), set()
+    for s, n in at:
+        lists[s].add(n)
+    for nodes in map(sorted, lists.values()):
+        pairs = [(x, y) for k, x in enumerate(nodes) for y in nodes[k + 1 :]]
+        want |= {(x, y, True) for x, y in pairs if x == nodes[0]} if len(nodes) > most else {(x, y, False) for x, y in pairs if abs(x % 256 - y % 256) <= 5}
+    assert got == want
+
+
+@pytest.mark.parametrize("n", [1, 4, 9, 60, 64, 65, 130, 700])
+def test_marks_and_sizes_rule_out_no_similar_pair(n):
+    rng, ruled_out = np.random.default_rng(n), 0
+    for _ in range(200):
+        pool = np.unique(rng.integers(0, 1 << 63, 3 * n + 3, dtype=np.uint64))
+        x = rng.permutation(pool)[:n]
+        y = np.concatenate([x[rng.integers(0, n // 4 + 1) :], rng.permutation(np.setdiff1d(pool, x))[: rng.integers(0, n // 3 + 1)]])
+        may = jaccard.may_be_similar(jaccard.mark_of(x), n, jaccard.mark_of(y), len(y))
+        if jaccard.similar(len(np.intersect1d(x, y)), n, len(y)):
+            assert may and jaccard.may_be_similar(jaccard.mark_of(y), len(y), jaccard.mark_of(x), n)
+            assert abs((jaccard.node_of(np.sort(x)) & 255) - (jaccard.node_of(np.sort(y)) & 255)) <= jaccard.SIZE_CODES
+        z = rng.permutation(np.setdiff1d(pool, x))[:n]
+        ruled_out += not jaccard.may_be_similar(jaccard.mark_of(x), n, jaccard.mark_of(z), n)
+    assert n < 60 or ruled_out == 200
+
+
 def test_counts_in_a_byte():
     n = np.unique(np.concatenate([np.arange(1, 2000), 2 ** np.arange(1, 45), 2 ** np.arange(1, 45) - 1]))
     code = jaccard.coded(n)
