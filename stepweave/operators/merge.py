@@ -16,6 +16,10 @@ from stepweave.operators.fuse import unique_edges
 from stepweave.operators.graph import components, cut, cycles, cyclic_core, order_scopes
 
 
+#: Nodes of a block whose pairs are made in one go.
+PART = 1024
+
+
 def with_block(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("block", nested.block_key(F.col("node_type"), F.col("pre"), F.col("post")))
 
@@ -36,6 +40,28 @@ def review_queue(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.withColumn("_turn", turn).filter("_turn = 1").drop("_turn", "_made").orderBy(F.desc_nulls_last("block_size"), "block", "a", "b")
 
 
+def block_queue(blocked: DataFrame, labels: DataFrame, node: str = "node_id", block: str = "block") -> DataFrame:
+    """The review queue of all blocks, without a shuffle of its pairs: parts of blocks are put in order, each with the nodes that
+    its own meet, and pairs are made where the parts are. Where a node is in several blocks, pairs are compared by id."""
+    rows = cut(blocked.select(F.col(block).alias("block"), F.col(node).alias("node")).filter("block is not null and node is not null").distinct())
+    if not rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return review_queue(candidate_pairs(rows, "node"), labels)
+    whole = rows.groupBy("block").agg(F.array_sort(F.collect_list("node")).alias("_nodes")).withColumn("block_size", F.size("_nodes").cast("long"))
+    starts = whole.filter("block_size > 1").withColumn("_at", F.explode(F.sequence(F.lit(1), F.size("_nodes"), F.lit(PART))))
+    parts = starts.select("block_size", "block", "_at", F.slice("_nodes", F.col("_at"), F.size("_nodes")).alias("_nodes"))
+    order = [F.desc("block_size"), "block", "_at"]
+    n = int(blocked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(parts.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    ahead = placed.select("block_size", "block", "_nodes", F.posexplode(F.slice("_nodes", 1, PART)).alias("_own", "a"))
+    made = ahead.select("block", "block_size", "a", F.explode(F.slice("_nodes", F.col("_own") + 2, F.size("_nodes"))).alias("b"))
+    made = made.select("block", "block_size", "a", "b", F.concat("a", F.lit("__"), "b").alias("pair_id"))
+    hand = labels.filter("added_by_hand").select("pair_id", F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).dropDuplicates(["pair_id"])
+    ends = [rows.select("block", F.col("node").alias(x)) for x in "ab"]
+    hand = hand.join(hand.join(ends[0], "a").join(ends[1], ["block", "b"]).select("pair_id"), "pair_id", "left_anti")
+    hand = hand.select(F.lit(None).cast(rows.schema["block"].dataType).alias("block"), F.lit(None).cast("long").alias("block_size"), "a", "b", "pair_id")
+    return made.union(hand.orderBy("a", "b"))
+
+
 def current_labels(labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """Labels whose two nodes are in the graph."""
     ids = nodes.select("node_id")

@@ -131,7 +131,7 @@ def pair_queue(spark, d):
     rows = p.select(F.concat("p_brand", F.lit(" "), F.col("p_size").cast("string")).alias("block"), F.format_string("%08d", "p_partkey").alias("node_id"))
     a, z = F.format_string("%08d", "p_partkey"), F.format_string("%08d", F.col("p_partkey") + 1)
     hand = p.filter("p_partkey % 10 = 0").select(tx.pair_id(a, z).alias("pair_id"), z.alias("a_id"), a.alias("b_id"), F.lit(True).alias("added_by_hand"))
-    return merge.review_queue(merge.candidate_pairs(rows), hand).select("pair_id", "block")
+    return merge.block_queue(rows, hand).select("pair_id", "block")
 
 
 @query("SELECT printf('%08d__%08d', a.p_partkey, b.p_partkey) AS pair_id, a.p_brand AS component FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 AND a.p_brand = b.p_brand WHERE a.p_partkey % 3 = 0")

@@ -327,3 +327,18 @@ def test_mentioned_terms(spark):
     docs = spark.createDataFrame([(1, "Add the Sea Salt, and eggs"), (2, "seasalt"), (3, None), (4, "an egg-white; SEA  salt"), (5, "für Öl")], "doc_id int, text string")
     terms = spark.createDataFrame([("sea salt",), ("Egg",), ("eggs",), ("",), ("egg-white",), ("öl",), ("the",)], "term string")
     assert {tuple(r) for r in contain.mentioned_terms(docs, terms).collect()} == {(1, "sea salt"), (1, "eggs"), (1, "the"), (4, "egg"), (4, "egg-white"), (5, "öl")}
+
+
+def test_queue_of_blocks_is_the_queue_of_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(merge, "PART", 3)
+    rows = [(f"b{i % 5}" if i % 9 else "b0", f"n{i:02d}") for i in range(40)] + [("b0", "n00"), (None, "n90"), ("alone", "n91")]
+    labels = spark.createDataFrame([("n00__n09", "n09", "n00", True), ("n00__n01", "n01", "n00", True), ("n00__n01", "n00", "n01", True), ("n02__n03", "n02", "n03", False), ("n01__zz", "zz", "n01", True)], "pair_id string, a_id string, b_id string, added_by_hand boolean")
+    for extra in ([], [("b1", "n00"), ("b1", "n05")]):  # nodes of two blocks too
+        blocked = spark.createDataFrame(rows + extra, "block string, node_id string")
+        pairs = merge.candidate_pairs(blocked)
+        want = [(r.block_size, r.a, r.b, r.pair_id) for r in merge.review_queue(pairs, labels).collect()]
+        queue = merge.block_queue(blocked, labels)
+        got = [(r.block_size, r.a, r.b, r.pair_id) for r in queue.collect()]
+        assert got == want
+    queue = merge.block_queue(spark.createDataFrame(rows, "block string, node_id string"), labels)
+    assert "Window" not in queue._jdf.queryExecution().executedPlan().toString()  # pairs aren't shuffled to be numbered
