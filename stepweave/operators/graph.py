@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +86,27 @@ def order_scopes(edges: DataFrame) -> DataFrame:
     return out
 
 
+def peeled(edges) -> set:
+    """Nodes of the edges (u, v) that peeling takes."""
+    after, before = {}, {}
+    for u, v in edges:
+        after.setdefault(u, set()).add(v)
+        before.setdefault(v, set()).add(u)
+    todo = [n for n in {*after, *before} if n not in before or n not in after]
+    gone = set()
+    while todo:
+        n = todo.pop()
+        if n in gone:
+            continue
+        gone.add(n)
+        for near, back in ((after, before), (before, after)):
+            for m in near.get(n, ()):
+                back[m].discard(n)
+                if not back[m]:
+                    todo.append(m)
+    return gone
+
+
 def cyclic_core(edges: DataFrame, scope: str = "scope", a: str = "from_id", b: str = "to_id") -> DataFrame:
     """Edges that peeling leaves: nodes that nothing leads to, or that lead nowhere, go with their edges until none is left.
 
@@ -95,22 +117,7 @@ def cyclic_core(edges: DataFrame, scope: str = "scope", a: str = "from_id", b: s
     large = cut(distinct.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TASK_EDGES).select("scope"))
 
     def peel(pdf):
-        after, before = {}, {}
-        for u, v in zip(pdf["from_id"], pdf["to_id"], strict=True):
-            after.setdefault(u, set()).add(v)
-            before.setdefault(v, set()).add(u)
-        todo = [n for n in {*after, *before} if n not in before or n not in after]
-        gone = set()
-        while todo:
-            n = todo.pop()
-            if n in gone:
-                continue
-            gone.add(n)
-            for near, back in ((after, before), (before, after)):
-                for m in near.get(n, ()):
-                    back[m].discard(n)
-                    if not back[m]:
-                        todo.append(m)
+        gone = peeled(zip(pdf["from_id"], pdf["to_id"], strict=True))
         return pdf[~(pdf["from_id"].isin(gone) | pdf["to_id"].isin(gone))]
 
     kinds = ", ".join(f"{c} {t}" for c, t in distinct.dtypes)
@@ -169,6 +176,49 @@ def find_cycle(edges: list[tuple]) -> list[int]:
     return []
 
 
+def cycle_cuts(edges: list[tuple]) -> list[int]:
+    """Positions of the edges that go when of each cycle that find_cycle names the first edge does, until there is none.
+
+    Nodes from which a search came back empty stay done, since taking edges away makes no cycle; what a search finds depends
+    on the order of edges alone, so the cycles are those of a search from the beginning.
+    """
+    after: dict = {}
+    for i, (u, v) in enumerate(edges):
+        after.setdefault(u, []).append((i, v))
+    done, gone = set(), []
+    while found := _next_cycle(after, done):
+        i = min(found)
+        gone.append(i)
+        u = edges[i][0]
+        after[u].remove((i, edges[i][1]))
+        if not after[u]:
+            del after[u]
+    return gone
+
+
+def _next_cycle(after: dict, done: set) -> list[int]:
+    for start in sorted((n for n in after if n not in done), key=lambda n: after[n][0][0]):
+        if start in done:
+            continue
+        path, trail, on = [(start, iter(after[start]))], [], {start: 0}
+        while path:
+            node, rest = path[-1]
+            i, v = next(rest, (None, None))
+            if i is None:
+                path.pop()
+                done.add(node)
+                on.pop(node)
+                if trail:
+                    trail.pop()
+            elif v in on:
+                return [*trail[on[v] :], i]
+            elif v not in done:
+                on[v] = len(path)
+                path.append((v, iter(after.get(v, ()))))
+                trail.append(i)
+    return []
+
+
 def simple_cycles(edges: list[tuple], most: int = 3) -> list[list]:
     """Up to `most` simple cycles as lists of nodes, each from its least node on.
 
@@ -233,12 +283,19 @@ def break_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     Of a cycle a NEXT edge goes before a REQUIRES edge, the lightest first, ties by branch and nodes. The scope of all
     REQUIRES edges is cleared first, since its edges are in the branches' scopes too; then branches, each by itself.
     Only what peeling leaves is gathered: by scope, and by connected part where a scope has more than TASK_EDGES such
-    edges (a cycle never leaves its part, so that changes nothing).
+    edges (a cycle never leaves its part, so that changes nothing). Branches of up to TASK_EDGES NEXT edges are cleared in the
+    tasks that hold them, without a table of their REQUIRES edges, where those are as few.
     """
     edges = cut(edges.withColumn("_edge", F.monotonically_increasing_id()))
     removed = None
     for wanted in (F.col("scope") == REQUIRED, F.col("scope") != REQUIRED):
         left = edges if removed is None else edges.join(removed, "_edge", "left_anti")
+        if removed is not None and (requires := few_requires(left)) is not None:
+            nexts, left = by_branch(left, ["weight", "recipe_id", "_edge"])
+            new = cut(nexts.filter(wanted).mapInArrow(each_scope(_cuts_of(requires), "_edge"), "_edge long").distinct())
+            removed = cut(removed.union(new).distinct())
+            if left is None:
+                continue
         scopes = order_scopes(left).filter(wanted)
         core = cyclic_core(scopes).distinct()
         todo = scopes.join(core, ["scope", "from_id", "to_id"], "left_semi").select("scope", "_edge", "from_id", "to_id", "edge_type", "recipe_id", "weight")
@@ -250,15 +307,9 @@ def break_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
             todo = todo.join(parts, F.xxhash64("scope", "from_id") == F.col("_spot"), "left").withColumn("part", F.coalesce("_part", F.col("part"))).drop("_spot", "_part")
 
         def drop(pdf):
+            # rows are in the order of removal: NEXT sorts before REQUIRES
             pdf = pdf.sort_values(["edge_type", "weight", "recipe_id", "from_id", "to_id", "_edge"], na_position="first", ignore_index=True)
-            gone: list = []
-            while found := find_cycle(list(zip(pdf["from_id"], pdf["to_id"], strict=True))):
-                # rows are in the order of removal: NEXT sorts before REQUIRES
-                gone.append(pdf["_edge"].iloc[min(found)])
-                pdf = pdf.drop(index=min(found)).reset_index(drop=True)
-            import pandas as pd
-
-            return pd.DataFrame({"_edge": pd.Series(gone, dtype="int64")})
+            return pdf.loc[cycle_cuts(list(zip(pdf["from_id"], pdf["to_id"], strict=True))), ["_edge"]]
 
         new = cut(todo.groupBy("scope", "part").applyInPandas(drop, "_edge long").distinct())
         removed = new if removed is None else cut(removed.union(new).distinct())
@@ -266,6 +317,81 @@ def break_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, edges.join(removed, "_edge", "left_semi").drop("_edge")
 
 
+def few_requires(edges: DataFrame) -> list | None:
+    """The REQUIRES edges, in the order in which they go from a cycle; None where they are more than TASK_EDGES."""
+    ends = edges.filter("edge_type = 'REQUIRES' and from_id is not null and to_id is not null")
+    rows = ends.select("from_id", "to_id", *[c for c in ("weight", "_edge") if c in edges.columns]).limit(TASK_EDGES + 1).collect()
+    if len(rows) > TASK_EDGES:
+        return None
+    return sorted(rows, key=lambda r: (_nulls_first(r["weight"]), r["from_id"], r["to_id"], r["_edge"] if "_edge" in r else 0))
+
+
+def _nulls_first(x) -> tuple:
+    return (0,) if x is None or x != x else (1, x)
+
+
+def by_branch(edges: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(scope, named, from_id, to_id, columns) of the NEXT edges of branches of up to TASK_EDGES, each branch in a row in one
+    task; and the edges of larger branches with all REQUIRES edges, None if there is no such branch."""
+    named = F.coalesce(F.col("recipe_id"), F.lit("")) != ""
+    scoped = edges.withColumn("scope", F.when(named, F.col("recipe_id")).otherwise(F.lit(LOOSE))).withColumn("named", named)
+    nexts = scoped.filter("edge_type = 'NEXT'")
+    large = cut(nexts.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TASK_EDGES).select("scope"))
+    few = nexts.filter("from_id is not null and to_id is not null").select("scope", "named", "from_id", "to_id", *columns)
+    few = few.join(large, "scope", "left_anti").repartition("scope").sortWithinPartitions("scope")
+    if large.isEmpty():
+        return few, None
+    return few, scoped.filter("edge_type = 'REQUIRES'").unionByName(nexts.join(large, "scope", "left_semi")).select(edges.columns)
+
+
+def each_scope(run: Callable[[str, list], Iterator], *names: str) -> Callable[[Iterator], Iterator]:
+    """For mapInArrow over rows of by_branch: the rows (tuples of names) that run(scope, rows) gives for each scope."""
+
+    def scopes(batches: Iterator) -> Iterator:
+        scope, held = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[0] != scope:
+                    yield scope, held
+                    held = []
+                scope = row[0]
+                held.append(row[1:])
+        if held:
+            yield scope, held
+
+    def out(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kinds = {"_edge": pa.int64(), "scope": pa.string(), "cycle": pa.list_(pa.string())}
+        for scope, rows in scopes(batches):
+            if found := list(run(scope, rows)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, kinds[n]) for n, x in zip(names, zip(*found, strict=True), strict=True)], names=list(names))
+
+    return out
+
+
+def _inside(requires: list) -> Callable[[set], list]:
+    """A function that gives the REQUIRES edges (rows that begin with both ends) among nodes, in their order."""
+    after: dict = {}
+    for i, r in enumerate(requires):
+        after.setdefault(r[0], []).append((i, r[1]))
+    return lambda nodes: [requires[i] for i in sorted(i for u in nodes for i, v in after.get(u, ()) if v in nodes)]
+
+
+def _cuts_of(requires: list) -> Callable[[str, list], Iterator]:
+    """The edges that go from a branch."""
+    inside = _inside([(r["from_id"], r["to_id"], r["_edge"]) for r in requires])
+
+    def run(scope: str, rows: list) -> Iterator:
+        rows = sorted(rows, key=lambda r: (_nulls_first(r[3]), _nulls_first(r[4]), r[1], r[2], r[5]))
+        edges = [(u, v, edge) for _, u, v, _, _, edge in rows] + inside({n for named, u, v, *_ in rows if named for n in (u, v)})
+        gone = peeled((u, v) for u, v, _ in edges)
+        core = [e for e in edges if e[0] not in gone and e[1] not in gone]
+        yield from ((core[i][2],) for i in cycle_cuts([e[:2] for e in core]))
+
+    return run
+
+
 def walk(edges: DataFrame, starts: DataFrame, branch: str = "recipe_id", most: int | None = None) -> DataFrame:
     """branch, node, hop along NEXT edges from each branch's starts; hop is the least number of edges from a start.
 

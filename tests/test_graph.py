@@ -342,3 +342,32 @@ def test_queue_of_blocks_is_the_queue_of_their_pairs(spark, monkeypatch):
         assert got == want
     queue = merge.block_queue(spark.createDataFrame(rows, "block string, node_id string"), labels)
     assert "Window" not in queue._jdf.queryExecution().executedPlan().toString()  # pairs aren't shuffled to be numbered
+
+
+def test_cuts_are_those_of_searches_from_the_beginning():
+    rng = random.Random(12)
+    for _ in range(300):
+        edges = [(rng.randrange(9), rng.randrange(9)) for _ in range(rng.randrange(40))]
+        left, want = list(range(len(edges))), []
+        while found := graph.find_cycle([edges[i] for i in left]):
+            want.append(left.pop(min(found)))
+        assert graph.cycle_cuts(edges) == want
+
+
+def test_breaking_makes_no_table_of_the_branches_required_edges(spark, monkeypatch):
+    """Each branch has 20 nodes between which there are 100 REQUIRES edges: they aren't written once a branch."""
+    requires = [(f"n{i}", f"n{j}", "REQUIRES", "r0", 1.0) for i in range(10) for j in range(10, 20)]
+    nexts = [(f"n{(i * k) % 21 % 20}", f"n{(i * k + k) % 21 % 20}", "NEXT", f"r{k}", 1.0 + i % 3) for k in range(1, 21) for i in range(21)]
+    rows, written, cut = sorted(set(requires + nexts)), [], graph.cut
+    want = [{(r.from_id, r.to_id, r.edge_type, r.recipe_id) for r in x.collect()} for x in graph.break_cycles(edges_of(spark, rows))]
+
+    def noted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", noted)
+    graph.break_cycles(edges_of(spark, rows))
+    assert max(written) <= len(rows)
+    monkeypatch.setattr(graph, "TASK_EDGES", 0)  # by joins
+    assert want[1] and [{(r.from_id, r.to_id, r.edge_type, r.recipe_id) for r in x.collect()} for x in graph.break_cycles(edges_of(spark, rows))] == want
