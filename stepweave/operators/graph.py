@@ -392,6 +392,31 @@ def _cuts_of(requires: list) -> Callable[[str, list], Iterator]:
     return run
 
 
+def cycles_after_merge(nexts: DataFrame, requires: list, mapping: dict, most: int = 3) -> DataFrame:
+    """scope, cycle: the first few of each scope whose edges have a cycle once nodes are mapped and loops dropped; nexts as of
+    by_branch, requires as of few_requires."""
+
+    def moved(pairs):
+        ends = {(mapping.get(u, u), mapping.get(v, v)) for u, v in pairs}
+        return {(u, v) for u, v in ends if u != v}
+
+    everything = sorted(moved((r["from_id"], r["to_id"]) for r in requires))
+    inside = _inside(everything)
+
+    def found(scope: str, edges: list) -> Iterator:
+        gone = peeled(edges)
+        core = [e for e in edges if e[0] not in gone and e[1] not in gone]
+        return ((scope, c + c[:1]) for c in (simple_cycles(core, most) if core else ()))
+
+    def run(scope: str, rows: list) -> Iterator:
+        loose, own = (moved((u, v) for named, u, v in rows if named is is_named) for is_named in (False, True))
+        return found(scope, [*loose, *own, *inside({n for e in own for n in e})])
+
+    kinds = "scope string, cycle array<string>"
+    first = nexts.sparkSession.createDataFrame(list(found(REQUIRED, everything)), kinds)
+    return first.union(nexts.mapInArrow(each_scope(run, "scope", "cycle"), kinds))
+
+
 def walk(edges: DataFrame, starts: DataFrame, branch: str = "recipe_id", most: int | None = None) -> DataFrame:
     """branch, node, hop along NEXT edges from each branch's starts; hop is the least number of edges from a start.
 

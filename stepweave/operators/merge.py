@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from stepweave.functions import nested
 from stepweave.functions import text as tx
 from stepweave.operators.fuse import unique_edges
-from stepweave.operators.graph import components, cut, cycles, cyclic_core, order_scopes
+from stepweave.operators.graph import by_branch, components, cut, cycles, cycles_after_merge, few_requires, order_scopes
 
 
 #: Nodes of a block whose pairs are made in one go.
@@ -145,24 +145,30 @@ def apply_merges(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> tuple
             todo.append((entry, [(r["node_id"], reps[component]) for r in rows]))
         report.append(entry)
     kept: list[tuple[str, str]] = []
-    merged = edges
+    mapped = lambda pairs: spark.createDataFrame(pairs, "node string, representative string")
+    requires, nexts, large = few_requires(edges), None, edges
+    if requires is not None and todo:  # small branches are tried where they are, each in its task
+        nexts, large = by_branch(edges, [])
+        nexts = cut(nexts)
+
+    def closed(pairs: list[tuple[str, str]]) -> list[DataFrame]:
+        """Frames (scope, cycle) that have rows if folding the pairs closes a cycle."""
+        small = [] if nexts is None else [cycles_after_merge(nexts, requires, dict(pairs))]
+        return small + ([] if large is None else [cycles(cut(order_scopes(cut(redirect(large, mapped(pairs)))).select("scope", "from_id", "to_id")))])
 
     step = 1  # groups tried at a time
     while todo:
-        mapping = spark.createDataFrame(kept + [pair for _, pairs in todo[:step] for pair in pairs], "node string, representative string")
-        candidate = redirect(edges, mapping)
-        scopes = order_scopes(candidate)
-        core = cyclic_core(scopes)
-        if core.isEmpty():
-            kept += [pair for _, pairs in todo[:step] for pair in pairs]
-            merged, todo, step = candidate, todo[step:], 2 * step
+        new = [pair for _, pairs in todo[:step] for pair in pairs]
+        found = closed(kept + new)
+        if all(f.isEmpty() for f in found):
+            kept, todo, step = kept + new, todo[step:], 2 * step
         elif step > 1:
             step //= 2
         else:
-            todo[0][0]["reason"] = "order cycle: " + "; ".join(f"{r['scope']}: {' -> '.join(r['cycle'])}" for r in cycles(core).collect())
+            named = sorted({(r["scope"], tuple(r["cycle"])) for f in found for r in f.collect()})
+            todo[0][0]["reason"] = "order cycle: " + "; ".join(f"{scope}: {' -> '.join(cycle)}" for scope, cycle in named)
             todo = todo[1:]
-    merged = cut(merged)
-    return spark.createDataFrame(kept, "node string, representative string"), merged, report
+    return mapped(kept), cut(redirect(edges, mapped(kept)) if kept else edges), report
 
 
 def conflicts(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> list[dict]:

@@ -371,3 +371,24 @@ def test_breaking_makes_no_table_of_the_branches_required_edges(spark, monkeypat
     assert max(written) <= len(rows)
     monkeypatch.setattr(graph, "TASK_EDGES", 0)  # by joins
     assert want[1] and [{(r.from_id, r.to_id, r.edge_type, r.recipe_id) for r in x.collect()} for x in graph.break_cycles(edges_of(spark, rows))] == want
+
+
+def test_merges_are_tried_in_branches_as_by_joins(spark, monkeypatch):
+    rng = random.Random(4)
+    names = [f"n{i:02d}" for i in range(24)]
+    state = "array<struct<entity_id:string,physics_state:string,k2_label:string>>"
+    nodes = spark.createDataFrame([(n, "Process", f"do {n}", 1 + i % 3) for i, n in enumerate(names)], "node_id string, node_type string, action_phrase string, n_recipes int").selectExpr("*", f"cast(array() as {state}) pre", f"cast(array() as {state}) post")
+    rows = {(u, v, kind, branch if kind == "NEXT" else None, 1.0) for u, v, kind, branch in ((*sorted(rng.sample(names, 2)), rng.choice(["NEXT", "NEXT", "REQUIRES"]), rng.choice(["r1", "r2", "r3", None])) for _ in range(45))}
+    labels = labels_of(spark, [(names[i], names[i + 12], "same") for i in range(12)])
+    e = edges_of(spark, sorted(rows, key=str))
+    results = []
+    joins = []
+    order_scopes = merge.order_scopes
+    monkeypatch.setattr(merge, "order_scopes", lambda edges: joins.append(1) or order_scopes(edges))
+    for most in (1 << 16, 0):
+        monkeypatch.setattr(graph, "TASK_EDGES", most)
+        mapping, merged, report = merge.apply_merges(nodes, e, labels)
+        results.append((sorted(map(tuple, mapping.collect())), sorted(map(str, merged.collect())), [(r["nodes"], r["reason"]) for r in report]))
+        assert bool(joins) == (most == 0)  # no table of scopes where branches are small
+    assert results[0] == results[1]
+    assert {bool(reason) for _, reason in results[0][2]} == {True, False}
