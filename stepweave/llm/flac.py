@@ -96,10 +96,10 @@ def linear(x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def predict(x: np.ndarray, coef: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    out = np.zeros(x.shape, np.int64)
+    out, coef = np.zeros(x.shape, x.dtype), coef.astype(x.dtype)
     for j in range(coef.shape[1]):
         out[:, j + 1 :] += coef[:, j, None] * x[:, : x.shape[1] - j - 1]
-    return out >> shift[:, None]
+    return out >> shift.astype(x.dtype)[:, None]
 
 
 def encode_frames(data: np.ndarray, start: np.ndarray, size: np.ndarray, number: np.ndarray) -> list[bytes]:
@@ -107,12 +107,12 @@ def encode_frames(data: np.ndarray, start: np.ndarray, size: np.ndarray, number:
     n, width = len(start), int(size.max())
     col = np.arange(width)
     valid = col < size[:, None]
-    x = np.where(valid, data[np.minimum(start[:, None] + col, len(data) - 1)].astype(np.int64) - 128, 0)
+    x = np.where(valid, data[np.minimum(start[:, None] + col, len(data) - 1)].astype(np.int32) - np.int32(128), np.int32(0))  # 8-bit samples and 12-bit coefficients: sums fit 32 bits
     coef, shift = linear(x, size)
     best = None
     for order, (c, s) in enumerate([(np.tile(np.array(f, np.int64), (n, 1)), np.zeros(n, np.int64)) for f in FIXED[:3]] + [(coef, shift)]):
         warm = ORDER if order == 3 else order
-        r = np.where(valid & (col >= warm), x - predict(x, c, s), 0)
+        r = np.where(valid & (col >= warm), x - predict(x, c, s), np.int32(0))
         cost = np.abs(r).sum(1) + (40 if order == 3 else 0)
         kind = np.full(n, order)
         if best is None:
@@ -124,12 +124,12 @@ def encode_frames(data: np.ndarray, start: np.ndarray, size: np.ndarray, number:
     _, r, kind = best
     lpc = kind == 3
     order = np.where(lpc, ORDER, kind)
-    u = (r << 1) ^ (r >> 63)
+    u = (r << 1) ^ (r >> 31)
     count = size - order
     # the best Rice parameter is near the logarithm of the mean
     guess = np.floor(np.log2(np.maximum(u.sum(1) / np.maximum(count, 1), 1))).astype(np.int64)
     tries = [np.clip(guess + d, 0, 14) for d in (-1, 0, 1)]
-    bits = np.stack([(u >> k[:, None]).sum(1) + count * (k + 1) for k in tries])
+    bits = np.stack([(u >> k.astype(np.int32)[:, None]).sum(1) + count * (k + 1) for k in tries])
     pick = bits.argmin(0)
     k = np.choose(pick, tries)
     coded = valid & (col >= order[:, None])
@@ -140,7 +140,7 @@ def encode_frames(data: np.ndarray, start: np.ndarray, size: np.ndarray, number:
     base = np.cumsum(total) - total
     out = np.zeros(int(total.sum()) + 8, np.uint8)
     # items: a value, and the bit after its last one; all fit in 17 bits
-    q = u >> k[:, None]
+    q = u >> k.astype(np.int32)[:, None]
     ends = np.cumsum(np.where(coded, q + 1 + k[:, None], 0), 1) + (8 * base + fields)[:, None]
     low = (u & ((1 << k) - 1)[:, None]) | (1 << k)[:, None]
     values, stops = [low[coded]], [ends[coded]]

@@ -213,3 +213,12 @@ def test_pcm_blocks(spark, odd_docs, odd_rows, tmp_path):
     assert [r.first_sample for r in rows] == [i * flac.BLOCK for i in range(len(rows))]
     samples = np.frombuffer(b"".join(bytes(r.pcm) for r in rows), np.int8).astype(int) + 128
     assert bytes(samples.astype(np.uint8).tolist())[: len(raw)] == raw
+
+
+def test_prediction_in_32_bits_is_that_in_64():
+    """Samples and coefficients at their limits: sums fit, and the encoder's arrays are half as large."""
+    rng = np.random.default_rng(4)
+    x = rng.choice([-128, 127], (40, 64))
+    coef, shift = rng.choice([-2047, 2047], (40, 4)), rng.integers(0, 16, 40)
+    narrow = flac.predict(x.astype(np.int32), coef, shift)
+    assert narrow.dtype == np.int32 and (narrow == flac.predict(x, coef, shift)).all()
