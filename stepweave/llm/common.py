@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import re
 import tempfile
 import uuid
@@ -60,6 +61,13 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have shuffle files removed that no DataFrame refers to any more: Spark does so when the driver collects its garbage,
+    which it may not do for as long as a job runs. For use after a shuffle about as large as the input."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

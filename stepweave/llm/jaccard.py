@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stepweave.llm.common import components, partitions, small_batches, stored, trimmed
+from stepweave.llm.common import components, partitions, release, small_batches, stored, trimmed
 from stepweave.llm.tokens import SpanHasher, column_bytes, mix64
 
 #: Words of an n-gram; similarity as a percentage.
@@ -43,6 +43,8 @@ FREQUENT_BITS, MAX_FREQUENT, COUNTED = 27, 1 << 24, 1 << 20
 SEEN = 1 << 17
 #: Bytes hashed at a time; tokens of a block up to which one task verifies it; bits of the filter of candidate nodes.
 BYTES, BLOCK_TOKENS, FILTER_BITS = 1 << 18, 1 << 22, 1 << 26
+#: Bits of the map of rows that one_of_each has to bring together.
+MOVED_BITS = 1 << 24
 #: Rounds of pivots for the lists of larger blocks; pairs for each of their nodes up to which they are compared one by
 #: one; the most tokens in a combination, after which they are compared whatever their number.
 PIVOT_ROUNDS, PAIRS, MAX_COMBINED = 3, 64, 4
@@ -553,8 +555,11 @@ def links_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (a, b) between nodes that connect exactly what all similar pairs connect."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent_bits(docs))
+    release(spark)  # all tokens went through a shuffle
     marks = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("mark").alias("mark"))
-    blocks = components(candidates(docs, shared, marks))
+    met_pairs = candidates(docs, shared, marks)
+    release(spark)  # so did all signatures
+    blocks = components(met_pairs)
     sizes = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"))
     members = stored(blocks.join(sizes, "node"), "block_nodes")
     weight = members.groupBy("root").agg(F.sum("n").alias("_sum"))
@@ -591,6 +596,7 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
     keep = list(keep)
     rows = nodes(docs, keep)
     graph = components(stored(links_of(docs, rows), "links"))
+    release(docs.sparkSession)  # so did the sets of candidates
     least = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("_least"))
     placed = least.join(graph, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "_least")
     smallest = placed.groupBy("root").agg(F.min("_least").alias("component_id"))
@@ -610,10 +616,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = stored(near_duplicates(marked, ("doc_id", text_hash, key)), "groups")
     first = found.filter("n_shingles > 0").groupBy("group_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", text_hash, key)).alias("_first"))
     chosen = first.select(F.col(f"_first.{key}").alias(key), F.lit(True).alias(f"_one_{tail}")).union(found.filter("n_shingles = 0").select(key, F.lit(False)).distinct())
-    # texts move once, by the key of the join; rows that are equal meet there
+    # only rows whose key isn't that of one chosen row move, by the key of the join, and a few that share a bit with them
+    rows = found.filter("n_shingles > 0").groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    doubtful = rows.join(chosen.filter(f"_one_{tail}"), key, "left").filter(F.col(f"_one_{tail}").isNull() | (F.col("_n") > 1))
+    slot, bits = F.pmod(F.xxhash64(key), F.lit(MOVED_BITS)), f"_bits_{tail}"
+    word, bit = F.shiftright(slot, 6), (slot % 64).cast("int")
+    map_ = stored(doubtful.select(word.alias(f"_word_{tail}"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit")).groupBy(f"_word_{tail}").agg(F.bit_or("_bit").alias(bits)), "doubtful")
+    told = marked.join(F.broadcast(map_), word == F.col(f"_word_{tail}"), "left")  # MOVED_BITS bits
+    doubt = F.coalesce(F.call_function("shiftright", F.col(bits), bit) % 2 != 0, F.lit(False))
+    # rows that are equal meet at their key
     turn = F.row_number().over(Window.partitionBy(key).orderBy(text_hash))
-    out = marked.join(chosen, key).withColumn(f"_turn_{tail}", turn).filter(~F.col(f"_one_{tail}") | (F.col(f"_turn_{tail}") == 1))
-    return out.select(docs.columns)
+    moved = told.filter(doubt).join(chosen, key).withColumn(f"_turn_{tail}", turn).filter(~F.col(f"_one_{tail}") | (F.col(f"_turn_{tail}") == 1))
+    return told.filter(~doubt).select(docs.columns).union(moved.select(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
