@@ -119,6 +119,13 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(name, before)
 
 
+def sliced(batches: Iterator, rows: int = 1000) -> Iterator:
+    """Arrow batches cut to so many rows, for functions whose DataFrame is run when small_batches no longer holds."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node it is connected to) for edges (a, b) of longs, by least labels and pointer jumps.
 
